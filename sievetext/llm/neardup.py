@@ -160,7 +160,8 @@ def _wanted(table: pa.Table) -> np.ndarray:
     sketch, bands, group, side = _rows(table, "sketch"), _rows(table, "bands"), table["label"].to_numpy(), table["side"].to_numpy()
     apart = np.zeros((len(sketch), len(sketch)), np.uint16)
     for k in range(sketch.shape[1]):
-        apart += np.bitwise_count(sketch[:, k][:, None] ^ sketch[:, k][None, :])
+        word = sketch[:, k].copy().view(U64)  # the count of a signed word is that of its magnitude
+        apart += np.bitwise_count(word[:, None] ^ word[None, :])
     want = (apart <= MOST_BITS) & (group[:, None] != group[None, :])
     if table["i"][0] != table["j"][0]:
         want &= side[:, None] != side[None, :]
