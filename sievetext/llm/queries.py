@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievetext.llm import neardup
+from sievetext.llm import media, neardup, secretscan, skipcrf, spans
 from sievetext.session import read_table
 
 
@@ -13,5 +14,31 @@ def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash_neardup": op1_minhash_neardup}
+def op7_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base spans, and all spans, of every document."""
+    found = skipcrf.detect(read_table(spark, sf_dir, "documents"), ["doc_id"])
+    counts = [spans.base_count(F.col("spans"), k).alias(f"n_{k}") for k in skipcrf.KINDS]
+    return found.select("doc_id", *counts, spans.digest(F.col("spans")).alias("base_sha256"), spans.written(F.col("spans")).alias("spans"))
+
+
+def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's GIF and of the payload read back from it."""
+    stored = media.store_and_read(read_table(spark, sf_dir, "documents"), ["doc_id"])
+    feature = F.concat(F.lit("grey="), F.array_join(F.transform("grey", lambda x: x.cast("string")), ","), F.lit(";frames="), F.col("n_frames").cast("string"), F.lit(";ms="), F.col("duration_ms").cast("string"))
+    return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def op10_zstd_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base spans, and all spans, of every document."""
+    found = secretscan.scan_secrets(read_table(spark, sf_dir, "documents"), ["doc_id"])
+    counts = [spans.base_count(F.col("spans"), k).alias(f"n_{k}") for k in secretscan.KINDS[:3]]
+    return found.select("doc_id", *counts, spans.digest(F.col("spans")).alias("base_sha256"), spans.written(F.col("spans")).alias("spans"))
+
+
+QUERIES = {
+    "op1_minhash_neardup": op1_minhash_neardup,
+    "op7_skip_chain_pii": op7_skip_chain_pii,
+    "op8_gif_media": op8_gif_media,
+    "op10_zstd_secrets": op10_zstd_secrets,
+}
 ORACLES: dict[str, str] = {}
