@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievetext.llm import media, neardup, secretscan, skipcrf, spans
+from sievetext.llm import media, neardup, secretscan, skipcrf, spans, toxcnn
 from sievetext.session import read_table
 
 
@@ -14,6 +14,14 @@ def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score and decision of every document."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxcnn.fit_on(docs, read_table(spark, sf_dir, "labels"))
+    scored = toxcnn.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", toxcnn.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digest of the base spans, and all spans, of every document."""
     found = skipcrf.detect(read_table(spark, sf_dir, "documents"), ["doc_id"])
@@ -37,6 +45,7 @@ def op10_zstd_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_neardup": op1_minhash_neardup,
+    "op5_toxicity_cnn": op5_toxicity_cnn,
     "op7_skip_chain_pii": op7_skip_chain_pii,
     "op8_gif_media": op8_gif_media,
     "op10_zstd_secrets": op10_zstd_secrets,
