@@ -38,7 +38,7 @@ from sievetext.session import cut_lineage
 
 SAMPLES, BANDS, SKETCH_BITS = 128, 32, 512
 SKETCH_FLOOR = 0.56
-BLOCK = 256
+BLOCK = 512
 #: Ids (8 bytes each) that are sent to every executor; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _RNG = np.random.default_rng(20_240_501)
