@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievetext.llm import media, neardup, secretscan, skipcrf, spans, toxcnn
+from sievetext.llm import media, neardup, packing, secretscan, skipcrf, spans, toxcnn
 from sievetext.session import read_table
 
 
@@ -14,6 +14,18 @@ def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    """The public byte-level BPE file that the contract names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_grouped_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 1024 tokens."""
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score and decision of every document."""
     docs = read_table(spark, sf_dir, "documents")
@@ -45,6 +57,7 @@ def op10_zstd_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_neardup": op1_minhash_neardup,
+    "op2_grouped_packing": op2_grouped_packing,
     "op5_toxicity_cnn": op5_toxicity_cnn,
     "op7_skip_chain_pii": op7_skip_chain_pii,
     "op8_gif_media": op8_gif_media,
