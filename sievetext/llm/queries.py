@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievetext.llm import media, neardup, packing, secretscan, skipcrf, spans, toxcnn
+from sievetext.llm import media, mixing, neardup, packing, secretscan, skipcrf, spans, toxcnn
 from sievetext.session import read_table
 
 
@@ -26,6 +26,12 @@ def op2_grouped_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block, window, slot and place in the mixture of every document."""
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixed.select("doc_id", "source", *[F.col(f"__{c}").alias(c) for c in ("block", "release", "deadline", "slot", "mix_order")])
+
+
 def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score and decision of every document."""
     docs = read_table(spark, sf_dir, "documents")
@@ -58,9 +64,10 @@ def op10_zstd_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_neardup": op1_minhash_neardup,
     "op2_grouped_packing": op2_grouped_packing,
+    "op3_pfair_mixing": op3_pfair_mixing,
     "op5_toxicity_cnn": op5_toxicity_cnn,
     "op7_skip_chain_pii": op7_skip_chain_pii,
     "op8_gif_media": op8_gif_media,
     "op10_zstd_secrets": op10_zstd_secrets,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_pfair_mixing": mixing.ORACLE}
