@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievetext.llm import media, mixing, neardup, packing, secretscan, skipcrf, spans, toxcnn
+from sievetext.llm import balltree, media, mixing, neardup, packing, secretscan, skipcrf, spans, toxcnn
 from sievetext.session import read_table
 
 
@@ -40,6 +40,12 @@ def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxcnn.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows for every row whose id is divisible by 20."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return balltree.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op7_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digest of the base spans, and all spans, of every document."""
     found = skipcrf.detect(read_table(spark, sf_dir, "documents"), ["doc_id"])
@@ -66,8 +72,9 @@ QUERIES = {
     "op2_grouped_packing": op2_grouped_packing,
     "op3_pfair_mixing": op3_pfair_mixing,
     "op5_toxicity_cnn": op5_toxicity_cnn,
+    "op6_ball_tree_topk": op6_ball_tree_topk,
     "op7_skip_chain_pii": op7_skip_chain_pii,
     "op8_gif_media": op8_gif_media,
     "op10_zstd_secrets": op10_zstd_secrets,
 }
-ORACLES = {"op3_pfair_mixing": mixing.ORACLE}
+ORACLES = {"op3_pfair_mixing": mixing.ORACLE, "op6_ball_tree_topk": balltree.ORACLE}
