@@ -1,10 +1,83 @@
-"""The corpus pipeline; its stages are added as their operators are."""
+"""Documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages it is written
+as Parquet and read again. All but the last return the columns of ``documents``.
+
+1. toxicity: documents that the classifier scores 0.5 or more go;
+2. minhash_neardup: of each near-duplicate group the document with the smallest id stays;
+3. pii: spans are replaced by their kind, ``n_chars`` follows;
+4. mixing: rows are written in the order of the source mixture;
+5. packing: pieces of at most 1024 tokens with their sequence and offset.
+
+Documents with null or empty text pass every stage (the packer gives them their end id).
+Of rows that repeat a doc_id the near-duplicate stage keeps one; rows without an id all stay.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sievetext.llm import mixing, neardup, packing, skipcrf, toxcnn
+from sievetext.llm.queries import tokenizer_path
+from sievetext.session import checkpoint_dir, read_table
+
+#: Ids (8 bytes each) that are sent to every executor; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` without the documents that the classifier rejects."""
+    model = toxcnn.fit_on(docs, read_table(spark, sf_dir, "labels"))
+    return toxcnn.score(docs, model, docs.columns).where("score < 0.5").select(*docs.columns)
+
+
+def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one with the smallest id."""
+    found = neardup.near_duplicates(docs)
+    gone = neardup.cut_lineage(found.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct())
+    hint = F.broadcast if gone.count() <= BROADCAST_IDS else (lambda x: x)
+    rest = docs.join(hint(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
+    twice = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__twice")).count().where("count > 1").select("__twice")
+    twice = neardup.cut_lineage(twice)
+    repeated = twice.count()
+    if not repeated:
+        return rest
+    hint = F.broadcast if repeated <= BROADCAST_IDS else (lambda x: x)
+    once = rest.join(hint(twice), F.col("doc_id") == F.col("__twice"), "left_anti")
+    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+    more = rest.join(hint(twice), F.col("doc_id") == F.col("__twice"), "left_semi").withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
+    return once.unionByName(more)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` with personal data replaced by its kind."""
+    return skipcrf.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` in the order of the source mixture."""
+    return mixing.in_mix_order(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [("toxicity", toxicity), ("minhash_neardup", minhash_neardup), ("pii", pii), ("mixing", mix_sources), ("packing", pack_sequences)]
+
+#: SQL can express neither the classifier nor the tokeniser.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; the stages' tables lie in the shared checkpoint folder."""
+    folder = f"{checkpoint_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

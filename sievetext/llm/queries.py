@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievetext.llm import balltree, chatformat, media, mixing, neardup, packing, secretscan, skipcrf, spans, toxcnn
+from sievetext.llm import balltree, chatformat, htmlblocks, media, mixing, neardup, packing, secretscan, skipcrf, spans, toxcnn
 from sievetext.session import read_table
 
 
@@ -68,6 +68,12 @@ def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def op9_two_pass_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = htmlblocks.extract(read_table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_zstd_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digest of the base spans, and all spans, of every document."""
     found = secretscan.scan_secrets(read_table(spark, sf_dir, "documents"), ["doc_id"])
@@ -84,6 +90,7 @@ QUERIES = {
     "op6_ball_tree_topk": op6_ball_tree_topk,
     "op7_skip_chain_pii": op7_skip_chain_pii,
     "op8_gif_media": op8_gif_media,
+    "op9_two_pass_html": op9_two_pass_html,
     "op10_zstd_secrets": op10_zstd_secrets,
 }
 ORACLES = {"op3_pfair_mixing": mixing.ORACLE, "op4_incremental_chat": chatformat.ORACLE, "op6_ball_tree_topk": balltree.ORACLE}
