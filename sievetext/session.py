@@ -12,14 +12,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the folder that ``spark.checkpoint.dir`` names.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate data.
 
-    The folder is the cluster's shared one, so a lost executor costs a re-read, not a
-    recomputation. Only a session without that setting (tests) gets a temporary folder.
+    It is the one that ``spark.checkpoint.dir`` names; only a session without that setting
+    (tests) gets a temporary folder.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sievetext-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder, so a lost executor costs only a re-read."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
