@@ -155,61 +155,73 @@ def _rows(table: pa.Table, name: str) -> np.ndarray:
     return list_rows(table[name])[1].reshape(table.num_rows, -1)
 
 
-def _wanted(table: pa.Table) -> np.ndarray:
-    """Pairs of a block pair that cross groups, meet here first, and pass the sketch."""
-    sketch, bands, group, side = _rows(table, "sketch"), _rows(table, "bands"), table["label"].to_numpy(), table["side"].to_numpy()
-    apart = np.zeros((len(sketch), len(sketch)), np.uint16)
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the two blocks of a block pair; twice all rows if it is one block."""
+    every = np.arange(table.num_rows)
+    if table["i"][0] == table["j"][0]:
+        return every, every
+    side = table["side"].to_numpy()
+    return every[side == 0], every[side == 1]
+
+
+def _wanted(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both sides' rows, and their pairs that cross groups, meet here first and pass the sketch."""
+    left, right = _sides(table)
+    sketch, bands, group = _rows(table, "sketch"), _rows(table, "bands"), table["label"].to_numpy()
+    apart = np.zeros((len(left), len(right)), np.uint16)
     for k in range(sketch.shape[1]):
         word = sketch[:, k].copy().view(U64)  # the count of a signed word is that of its magnitude
-        apart += np.bitwise_count(word[:, None] ^ word[None, :])
-    want = (apart <= MOST_BITS) & (group[:, None] != group[None, :])
-    if table["i"][0] != table["j"][0]:
-        want &= side[:, None] != side[None, :]
-    want = np.triu(want, 1)
+        apart += np.bitwise_count(word[left][:, None] ^ word[right][None, :])
+    want = (apart <= MOST_BITS) & (group[left][:, None] != group[right][None, :])
+    if left is right:
+        want = np.triu(want, 1)
     if want.any():
-        want &= ~_shared_earlier(bands, bands, table["bkey"][0].as_py())
-    return want
+        want &= ~_shared_earlier(bands[left], bands[right], table["bkey"][0].as_py())
+    return left, right, want
 
 
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members of block pairs that have a pair to confirm there."""
     for table in grouped(batches, ["bkey", "i", "j"]):
-        want = _wanted(table)
-        keep = want.any(0) | want.any(1)
+        left, right, want = _wanted(table)
+        keep = np.zeros(table.num_rows, bool)
+        keep[left[want.any(1)]] = True
+        keep[right[want.any(0)]] = True
         if keep.any():
             kept = table.filter(pa.array(keep))
             yield from kept.combine_chunks().to_batches()
 
 
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Exact intersection sizes of all sets of a block, as a product of incidence matrices."""
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(count > 1)
-    place = np.full(len(values), -1)
-    place[shared] = np.arange(len(shared))
-    column = place[column]
-    rows, column = rows[column >= 0], column[column >= 0]
-    order = np.argsort(column, kind="stable")
-    rows, column = rows[order], column[order]
-    total = np.zeros((len(sets), len(sets)), np.int64)
-    for begin in range(0, len(shared), 8192):
-        lo, hi = np.searchsorted(column, [begin, begin + 8192])
-        block = np.zeros((len(sets), 8192), np.float32)
-        block[rows[lo:hi], column[lo:hi] - begin] = 1
-        total += (block @ block.T).astype(np.int64)
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Exact intersection sizes of sets of two blocks, as a product of incidence matrices."""
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    total = np.zeros((len(left), len(right)), np.int32)
+    for begin in range(0, len(shared), 2048):
+        columns = shared[begin : begin + 2048]
+        sides = []
+        for sets in (left, right):
+            matrix = np.zeros((len(sets), len(columns)), np.float32)
+            for row, values in enumerate(sets):  # sets and columns are sorted
+                part = values[np.searchsorted(values, columns[0]) : np.searchsorted(values, columns[-1], "right")]
+                at = np.searchsorted(columns, part)
+                matrix[row, at[columns[at] == part]] = 1
+            sides.append(matrix)
+        total += (sides[0] @ sides[1].T).astype(np.int32)
     return total
 
 
 def _confirm_blocks(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, ["bkey", "i", "j"]):
+            left, right, want = _wanted(table)
+            if not want.any():
+                continue
             ids, label = table["id"].to_numpy(), table["label"].to_numpy()
             offsets, flat = list_rows(table["shingles"])
-            sets = [flat[a:b] for a, b in zip(offsets, offsets[1:])]
+            sets = [np.sort(flat[a:b]) for a, b in zip(offsets, offsets[1:])]
             size = np.diff(offsets)
-            both = intersections(sets)
-            linked = _wanted(table) & (100 * both >= percent * (size[:, None] + size[None, :] - both))
+            both = intersections([sets[k] for k in left], [sets[k] for k in right])
+            linked = want & (100 * both >= percent * (size[left][:, None] + size[right][None, :] - both))
             group = {x: x for x in label.tolist()}
 
             def find(x: int) -> int:
@@ -219,6 +231,7 @@ def _confirm_blocks(percent: int):
 
             out = []
             for a, b in zip(*np.nonzero(linked)):
+                a, b = left[a], right[b]
                 p, q = find(int(label[a])), find(int(label[b]))
                 if p != q:
                     group[max(p, q)] = min(p, q)

@@ -117,6 +117,20 @@ def _knapsack(sizes: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray
     return count
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination without BLAS, whose threads can stall in a driver that forks."""
+    n = len(matrix)
+    work = np.concatenate([matrix, np.eye(n)], 1)
+    for k in range(n):
+        row = k + int(np.abs(work[k:, k]).argmax())
+        work[[k, row]] = work[[row, k]]
+        work[k] /= work[k, k]
+        rest = work[:, k].copy()
+        rest[k] = 0
+        work -= rest[:, None] * work[k]
+    return work[:, n:]
+
+
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, most_steps: int = 4000) -> list[tuple[np.ndarray, int]]:
     """(counts of each size, sequences), rounded down, from the configuration programme."""
     k = len(sizes)
@@ -128,7 +142,7 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, most_st
         column = _knapsack(sizes, price, capacity).astype(float)
         if price @ column <= 1 + GAP:
             break
-        direction = inverse @ column
+        direction = (inverse * column).sum(1)
         able = direction > 1e-9
         if not able.any():
             break
@@ -141,8 +155,8 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, most_st
         inverse -= np.outer(direction, pivot)
         inverse[out] = pivot
         if step % 100 == 99:
-            inverse = np.linalg.inv(columns)
-            amount = np.maximum(inverse @ demand, 0)
+            inverse = _inverse(columns)
+            amount = np.maximum((inverse * demand).sum(1), 0)
     return [(columns[:, j].astype(np.int64), int(np.floor(amount[j] + 1e-6))) for j in range(k)]
 
 

@@ -12,7 +12,7 @@ import xxhash
 U64 = np.uint64
 WORDS = 5
 #: Words whose hashes a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -33,6 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievetext.llm.sampling import hashed_share
 from sievetext.llm.spans import Span, map_spans
 
 KINDS = ("email", "ip", "card", "phone")
@@ -288,8 +289,8 @@ def _finder(model: SkipChainCrf):
 
 
 def fit_on(docs: DataFrame, id_column: str = "doc_id", text: str = "text", sample_rows: int = 1000) -> SkipChainCrf:
-    """Fit on the ``sample_rows`` documents with a digit or ``@`` whose ids hash lowest."""
-    marked = docs.where(F.col(text).rlike("[0-9@]")).select(F.xxhash64(F.col(id_column)).alias("h"), F.col(text).cast("string").alias("t"))
+    """Fit on at most ``sample_rows`` documents with a digit or ``@`` whose ids hash lowest."""
+    marked = hashed_share(docs, F.col(id_column), sample_rows).where(F.col(text).rlike("[0-9@]")).select(F.xxhash64(F.col(id_column)).alias("h"), F.col(text).cast("string").alias("t"))
     return fit([r["t"] for r in marked.orderBy("h", "t").limit(sample_rows).collect()])
 
 
