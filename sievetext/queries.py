@@ -2,5 +2,18 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievetext.operators import pii
+from sievetext.session import read_table
+
+
+def pii_redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with emails and cards masked."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.redact(docs).select("doc_id", F.md5("redacted").alias("redacted_md5"), F.length("redacted").cast("long").alias("n_chars"))
+
+
+QUERIES: dict = {"pii_redact_documents": pii_redact_documents}
 ORACLES: dict = {}
