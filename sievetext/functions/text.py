@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sievetext.functions.regexes import let, to_java
 
@@ -14,7 +15,7 @@ ZERO_WIDTH = r"[\x{200b}-\x{200f}\x{2060}\x{feff}]"
 SPACE = to_java(r"\s")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
