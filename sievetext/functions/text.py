@@ -11,6 +11,8 @@ from pyspark.sql.types import StringType
 
 from sievetext.functions.regexes import let, to_java
 
+#: Characters up to U+0131 that compatibility composition leaves alone.
+STABLE = r"^[\x00-\x{9F}\x{A1}-\x{A7}\x{A9}\x{AB}-\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{131}]*$"
 ZERO_WIDTH = r"[\x{200b}-\x{200f}\x{2060}\x{feff}]"
 SPACE = to_java(r"\s")
 
@@ -21,8 +23,8 @@ def _nfkc(text: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility composition; pure ASCII rows never reach Python's normaliser."""
-    plain = text.rlike(r"^[\x00-\x7F]*$")
+    """Compatibility composition; rows of stable Latin characters never reach Python."""
+    plain = text.rlike(STABLE)
     return F.when(plain, text).otherwise(_nfkc(F.when(~plain, text)))
 
 

@@ -52,7 +52,8 @@ def _has(text: Column, words: str) -> Column:
 
 # Patterns.
 EMAIL = r"(?<![A-Z0-9._%+-/])[A-Z0-9._%+-]{1,64}@[A-Z0-9.-]{1,253}\.[A-Z]{2,63}(?![\w])"
-CARD = r"(?<![\d])\b(?:\d[ -]?){12,18}\d\b(?![\d])"
+#: Begins with the digit, so that other characters are passed over at once.
+CARD = r"\d(?<![0-9A-Za-z_]\d)(?:[ -]?\d){12,18}(?![0-9A-Za-z_])"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"\b{OCTET}(?:\.{OCTET}){{3}}\b"
 H = "[0-9A-Fa-f]{1,4}"

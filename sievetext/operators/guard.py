@@ -6,13 +6,15 @@ A null text is unsafe with risk 100; a blank one is safe with risk 0.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievetext.functions import text as T
 from sievetext.functions.regexes import let, spans, to_java
-from sievetext.operators.injection import MARKERS, PATTERNS, RULES, TRIGGER, TRUST_FACTOR, TRUST_ORDER, Pattern, Rule, ordered
+from sievetext.operators.injection import MARKERS, PATTERNS, RULES, TRUST_FACTOR, TRUST_ORDER, Pattern, Rule, ordered
 
 MATCH = "struct<pattern:string,index:int,match:string,severity:string,category:string,confidence:int>"
 NO_MATCH = f"cast(array() as array<{MATCH}>)"
@@ -34,14 +36,16 @@ class Guard:
     custom_rules: tuple[Rule, ...] = ()
 
 
-def _found(content: Column, p: Pattern, most: int) -> Column:
+def _found(content: Column, low: Column, p: Pattern, most: int) -> Column:
     def shaped(m: Column) -> Column:
         return F.struct(
             F.lit(p.id).alias("pattern"), (F.instr(content, m) - 1).alias("index"), m.alias("match"), F.lit(p.severity).alias("severity"), F.lit(p.category).alias("category"), F.lit(p.weight).alias("confidence")
         )
 
-    found = F.regexp_extract_all(content, F.lit(p.java), F.lit(0))
-    return F.transform(F.slice(found, 1, most), shaped)
+    found = F.transform(F.slice(F.regexp_extract_all(content, F.lit(p.java), F.lit(0)), 1, most), shaped)
+    if not p.needs:
+        return found
+    return F.when(reduce(or_, (low.contains(x) for x in p.needs)), found).otherwise(F.expr(NO_MATCH))
 
 
 def matches(content: Column, patterns: tuple[Pattern, ...] = PATTERNS, severities: tuple[str, ...] | None = None, most: int = MOST, each: int = EACH) -> Column:
@@ -50,10 +54,12 @@ def matches(content: Column, patterns: tuple[Pattern, ...] = PATTERNS, severitie
     Equal match texts share the index of the first. The cap is tested between patterns, so a
     pattern's matches stay together.
     """
-    groups = F.array(*[_found(content, p, each) for p in ordered(patterns, severities)])
-    capped = F.aggregate(groups, F.expr(NO_MATCH), lambda kept, more: F.when(F.size(kept) >= most, kept).otherwise(F.concat(kept, more)))
-    builtin = all(p in PATTERNS for p in patterns)
-    return F.when(content.rlike(TRIGGER), capped).otherwise(F.expr(NO_MATCH)) if builtin else capped
+
+    def tried(low: Column) -> Column:
+        groups = F.array(*[_found(content, low, p, each) for p in ordered(patterns, severities)])
+        return F.aggregate(groups, F.expr(NO_MATCH), lambda kept, more: F.when(F.size(kept) >= most, kept).otherwise(F.concat(kept, more)))
+
+    return let(F.lower(content), tried)
 
 
 def _weight(table: dict[str, int], severity: Column) -> Column:

@@ -14,6 +14,8 @@ class Pattern(NamedTuple):
     category: str
     weight: int
     flags: str = "i"
+    #: Lower-case literals of which every match holds one; none given: always tried.
+    needs: tuple[str, ...] = ()
 
     @property
     def java(self) -> str:
@@ -64,8 +66,16 @@ PATTERNS = (
     Pattern("leet_speak", r"1gn0r3|d1sr3g4rd|f0rg3t|3x3cut3|r3v34l", "low", OBFUSCATE, 40),
     Pattern("excessive_spacing", r"\s{10,}", "low", OBFUSCATE, 30, ""),
 )
-#: One of these words or signs is in every text that any pattern but the last three matches.
-TRIGGER = r"(?i)ignore|disregard|forget|instruction|command|directive|rule|prompt|override|system|\[inst|<\||you\s|reveal|show|display|what\s|tell\s|debug|developer|admin|maintenance|execute|run|eval|decode|base64|atob|rm\s|process\.start|exec\(|spawn\(|anything|dan\s|jailbreak|evil|malicious|unrestricted|uncensored|1gn0r3|d1sr3g4rd|f0rg3t|3x3cut3|r3v34l|[\x{200b}-\x{200f}\x{2060}\x{feff}]|[\s\x{a0}\x{2000}-\x{200a}\x{3000}]{10}"
+#: Literals by pattern, tested before the regex.
+NEEDS = {
+    "ignore_previous": "ignore", "ignore_everything_above": "ignore", "ignore_guidelines": "ignore", "disregard_above": "disregard", "forget_instructions": "forget",
+    "new_instruction": "instruction: command: directive: rule: prompt:", "override_safety": "override", "system_marker": "system", "instruction_marker": "[inst [system", "chat_marker": "<|",
+    "role_play": "different new another", "reveal_system": "prompt instruction training", "extract_secrets": "secret hidden confidential", "show_configuration": "config settings",
+    "debug_mode": "debug developer admin maintenance", "execute_code": "code command script python", "eval_function": "eval", "base64_decode": "decode base64 atob", "shell_command": "command",
+    "dangerous_commands": "-rf process.start exec( spawn( system(", "dan_prompt": "anything dan jailbreak", "hypothetical": "could", "character_play": "evil malicious unrestricted uncensored",
+    "imagine_unrestricted": "free unrestricted uncensored", "leet_speak": "1gn0r3 d1sr3g4rd f0rg3t 3x3cut3 r3v34l",
+}
+PATTERNS = tuple(p._replace(needs=tuple(NEEDS.get(p.id, "").split())) for p in PATTERNS)
 
 PAST = "(?:previous|prior|above|earlier)"
 RULES = (
