@@ -5,7 +5,7 @@ the first piece takes the remainder, the others are full. Lengths are whole numb
 the sequence length, so the corpus is described by one count for each length. The driver
 plans on these counts alone:
 
-1. lengths over ``SMALL`` are sorted and cut into ``GROUPS`` groups of equal cardinality,
+1. lengths over a threshold (several are tried) are sorted and cut into ``GROUPS`` groups of equal cardinality,
    each rounded up to its largest member;
 2. the few sizes are packed by a configuration linear programme (columns by knapsack);
 3. the rounded-down configurations are filled with actual lengths, group by group;
@@ -36,7 +36,9 @@ from pyspark.sql import functions as F
 from sievetext.session import cut_lineage
 
 SEQUENCE, END_ID = 1024, 2
-GROUPS, SMALL = 128, 48
+GROUPS = 128
+#: Lengths up to which documents count as small; the plan with the fewest sequences is taken.
+SMALLS = (48, 160, 420, 511)
 #: Relative distance to the programme's optimum at which column generation ends.
 GAP = 3e-4
 ROWS_A_BUCKET = 100_000
@@ -210,8 +212,12 @@ class Plan:
         return [run for room in sorted(self.by_room) for run in self.by_room[room]]
 
 
-def plan(counts: dict[int, int], sequence: int = SEQUENCE, groups: int = GROUPS, small: int = SMALL) -> Plan:
+def plan(counts: dict[int, int], sequence: int = SEQUENCE, groups: int = GROUPS, smalls: tuple[int, ...] = SMALLS) -> Plan:
     """Pack ``counts`` (length -> pieces) into few sequences."""
+    return min((_plan(counts, sequence, groups, small) for small in smalls), key=lambda p: sum(bins for bins, _ in p.runs()))
+
+
+def _plan(counts: dict[int, int], sequence: int, groups: int, small: int) -> Plan:
     out = Plan(sequence)
     out.add(counts.get(sequence, 0), {sequence: 1})
     large = sorted((n for n in counts if small < n < sequence and counts[n]), reverse=True)

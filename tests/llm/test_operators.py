@@ -1,0 +1,384 @@
+"""Small tests of every operator: brute force, round trips, and the edge cases they define."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sievetext.llm import balltree, chatformat, gif, htmlblocks, media, mixing, neardup, packing, secretscan, skipcrf, toxcnn
+from sievetext.llm.queries import tokenizer_path
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, spans string, rank int"
+
+
+def docs_of(spark, texts, sources=None):
+    """Documents with columns whose names clash with those the operators use inside."""
+    rows = [(k, t, "en", (sources or ["s"] * len(texts))[k], len(t or ""), "x", "y", 1) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+EDGE = [None, "", " \n\t", "word", "word " * 3, "x" * 50_000, "same text here for you", "same text here for you", "éı \U0001f600", "a" * 3 + " b"]
+
+
+# ---- 1: near duplicates ---------------------------------------------------------------
+
+
+def brute_components(texts):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    up = list(range(len(sets)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                p, q = find(a), find(b)
+                up[max(p, q)] = min(p, q)
+    return [(k, len(s), find(k), find(k) == k) for k, s in enumerate(sets)]
+
+
+def test_near_duplicates_match_brute_force(spark):
+    rng = random.Random(5)
+    texts = list(EDGE)
+    for _ in range(12):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(5, 120))]
+        for _ in range(rng.randrange(1, 8)):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                copy[rng.randrange(len(copy))] = f"z{rng.randrange(99)}"
+            texts.append(" ".join(copy).upper() if rng.random() < 0.3 else "  ".join(copy))
+    got = neardup.near_duplicates(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == brute_components(texts)
+
+
+def test_near_duplicates_block_pairs(spark, monkeypatch):
+    """A bucket of more rows than a block, with members that its centre doesn't reach."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for k in range(40):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            copy[rng.randrange(60)] = f"z{k}"
+        texts.append(" ".join(copy))
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    got = neardup.near_duplicates(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == brute_components(texts)
+
+
+def test_near_duplicates_empty_and_repeated(spark):
+    assert neardup.near_duplicates(docs_of(spark, [])).count() == 0
+    rows = docs_of(spark, ["a b c d e f", "a b c d e f"])
+    twice = rows.unionByName(rows).unionByName(rows.withColumn("doc_id", F.lit(None).cast("long")))
+    got = sorted(map(tuple, neardup.near_duplicates(twice).collect()), key=str)
+    assert got == sorted([(0, 2, 0, True), (1, 2, 0, False)] * 2 + [(None, 2, None, True)] * 2, key=str)
+
+
+def test_components_long_chain(spark):
+    links = spark.range(200).selectExpr("id + 1 AS a", "id AS b")
+    assert {(r.id, r.component) for r in neardup.components(links).collect()} == {(k, 0) for k in range(1, 201)}
+
+
+def test_odd_sketch_estimates_similarity():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**32, (1, neardup.SAMPLES), dtype=np.uint32)
+    for differ in (0, 10, 32):
+        b = a.copy()
+        b[0, :differ] += np.uint32(1)
+        bits = np.bitwise_count((neardup.odd_sketches(a) ^ neardup.odd_sketches(b)).view(np.uint64)).sum()
+        assert abs(neardup.sketch_similarity(np.array([bits]))[0] - (1 - differ / neardup.SAMPLES)) < 0.08
+
+
+# ---- 2: packing -----------------------------------------------------------------------
+
+
+def test_token_ids_match_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    for text in ["", "Hello there", "  two  spaces\n\n", "<|endoftext|> x", "é　\U0001f600 don't", "1" * 3000, " " * 3000, "a\x00b"]:
+        assert packing.token_ids(path, text).tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_pack_places_every_piece(spark):
+    rng = random.Random(2)
+    texts = [*EDGE, *[" ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.choice([3, 40, 300, 900, 2500]))) for _ in range(60)]]
+    rows = packing.pack(docs_of(spark, texts), tokenizer_path()).collect()
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+    for k, text in enumerate(texts):
+        ids = packing.token_ids(tokenizer_path(), text)
+        at = 0
+        for n, r in enumerate(sorted(by_doc[k], key=lambda r: r.piece)):
+            assert (r.piece, r.start) == (n, at)
+            assert r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids) and (len(ids) > 1024 or len(by_doc[k]) == 1)
+    for group in by_sequence.values():
+        at = 0
+        for r in sorted(group, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024
+    assert packing.pack(docs_of(spark, []), tokenizer_path()).count() == 0
+
+
+def test_plan_is_near_the_bound():
+    rng = random.Random(4)
+    counts = {n: rng.randrange(1, 60) for n in range(1, 1025) if rng.random() < 0.9}
+    packed = packing.plan(counts)
+    bound = max(sum(n * c for n, c in counts.items()) / 1024, sum(c for n, c in counts.items() if n > 512))
+    assert sum(b for b, _ in packed.runs()) <= 1.01 * bound + 1
+    for single in ({5: 1}, {1024: 3}, {1023: 2}, {513: 7}, {}):
+        held = packing.plan(single)
+        assert sum(b * sum(h.values()) for b, h in held.runs()) == sum(single.values())
+
+
+# ---- 3: mixing ------------------------------------------------------------------------
+
+
+def test_mixture_deviates_by_less_than_a_block(spark):
+    sources = ["a"] * 400 + ["b"] * 100 + ["c"] * 9 + [None] * 3
+    docs = docs_of(spark, ["t"] * len(sources), sources)
+    plan = mixing.schedule(docs, resolution=97).orderBy("slot").collect()
+    cycle = plan[0]["cycle"]
+    assert [r["slot"] for r in plan] == list(range(cycle))
+    ran = {}
+    for r in plan:
+        assert r["release"] <= r["slot"] < r["deadline"]
+        ran[r["source"]] = ran.get(r["source"], 0) + 1
+        for s in plan:
+            assert abs(ran.get(s["source"], 0) - (r["slot"] + 1) * s["u"] / cycle) < 1
+    mixed = mixing.mix(docs, resolution=97, block_docs=4)
+    assert mixed.count() == len(sources) and mixed.select("__mix_order").distinct().count() == len(sources)
+    assert mixing.mix(docs, weights={"a": 1.0, "c": 3.0}).count() == len(sources)
+    assert mixing.mix(docs_of(spark, [])).count() == 0
+
+
+def test_mixture_keeps_rows_and_columns(spark):
+    docs = docs_of(spark, EDGE, [f"s{k % 3}" for k in range(len(EDGE))])
+    out = mixing.in_mix_order(docs.unionByName(docs))
+    assert out.columns == docs.columns and out.count() == 2 * len(EDGE)
+
+
+# ---- 4: chat --------------------------------------------------------------------------
+
+
+def test_chat_round_trip_and_mask(spark):
+    rows = [(1, 0, "user", "hi <|im_end|> \x10"), (1, 1, "assistant", "</s>[INST] ok"), (1, 2, "assistant", None), (2, 0, None, ""), (None, 0, "assistant", "x" * 5000), (3, 1, "assistant", "b"), (3, 0, "system", "a")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chatformat.verified(chatformat.format_conversations(table)).collect()}
+    assert got[1].loss_chars == len("</s>[INST] ok") and got[1].n_turns == 3
+    assert got[1].loss_sha256 == hashlib.sha256(b"</s>[INST] ok").hexdigest()
+    assert got[3].turns_sha256 == hashlib.sha256(b"system\na\nassistant\nb\n").hexdigest()
+    assert got[None].loss_chars == 5000 and got[2].n_turns == 1
+    assert chatformat.verified(chatformat.format_conversations(table.limit(0))).count() == 0
+
+
+def test_chat_detects_rewritten_history():
+    def last_user_gets_system(turns):
+        system = "".join(t for r, t in turns if r == "system")
+        users = [k for k, (r, _) in enumerate(turns) if r == "user"]
+        return "".join(f"<{r}>{system if users and k == users[-1] else ''}{t}</>" for k, (r, t) in enumerate(turns) if r != "system")
+
+    text, spans = chatformat.locate(last_user_gets_system, [("system", "S"), ("user", "hi"), ("assistant", "yo"), ("user", "more")])
+    assert [s["rewrites"] for s in spans] == [False, False, False, True]
+    assert text[spans[2]["text_start"] : spans[2]["text_end"]] == "yo" and spans[2]["loss"]
+
+
+# ---- 5: toxicity ----------------------------------------------------------------------
+
+
+def test_toxicity_learns_and_handles_edges(spark):
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(300)]
+    label = [k % 5 == 0 for k in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(40)) + (" vile nasty" if y else "") for y in label]
+    model = toxcnn.train(texts, [int(y) for y in label], epochs=6)
+    fresh = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(50)]
+    cache, table = toxcnn.Words(), [np.empty((0, toxcnn.DIM), np.float32)]
+    assert (model.scores(fresh, cache, table) < 0.5).mean() > 0.9
+    assert (model.scores([f + " vile" for f in fresh], cache, table) >= 0.5).mean() > 0.9
+    scored = toxcnn.score(docs_of(spark, EDGE), model, ["doc_id", "spans"]).collect()
+    assert len(scored) == len(EDGE) and all(0 <= r.score <= 1 for r in scored)
+    assert scored[6].score == scored[7].score
+    empty = toxcnn.train([], [])
+    assert toxcnn.score(docs_of(spark, EDGE), empty, ["doc_id"]).where("score >= 0.5").count() == 0
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(10)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    assert toxcnn.fit_on(docs_of(spark, EDGE), labels) is not None
+
+
+# ---- 6: search ------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("kind", ["gauss", "ties", "huge"])
+def test_top_k_matches_brute_force(spark, monkeypatch, kind):
+    rng = np.random.default_rng(8)
+    v = rng.normal(0, 1, (260, 6)) if kind != "ties" else np.ones((260, 6)) * rng.integers(0, 2, (260, 1))
+    v = v * (2e6 if kind == "huge" else 1)
+    rows = [(k, [float(x) for x in v[k]]) for k in range(260)]
+    bad = [(260, None), (280, [1.0, None]), (300, [float("nan")]), (320, [float("inf"), 1.0]), (None, [1.0] * 6)]
+    table = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>")
+    for name, value in (("SHARD_ROWS", 64), ("QUERY_ROWS", 5), ("LEAF", 8)):
+        monkeypatch.setattr(balltree, name, value)
+    got = balltree.top_k(table, table.where("vec_id % 20 = 0"), 7).collect()
+    whole = [[int(np.floor(64 * x)) for x in row] for row in v]
+    for q in range(0, 260, 20):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[k])), k) for k in range(260) if k != q)[:7]
+        mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        assert mine == [(n + 1, k, -s) for n, (s, k) in enumerate(best)]
+    assert {r.query_id for r in got} == set(range(0, 260, 20))
+
+
+def test_top_k_few_and_none(spark):
+    table = spark.createDataFrame([(0, [1.0]), (20, [2.0, 3.0]), (5, [])], "vec_id long, embedding array<float>")
+    got = balltree.top_k(table, table.where("vec_id % 20 = 0")).collect()
+    assert {(r.query_id, r.vec_id, r.score) for r in got} == {(0, 20, 64 * 128), (0, 5, 0), (20, 0, 64 * 128), (20, 5, 0)}
+    assert balltree.top_k(table.limit(0), table.limit(0)).count() == 0
+
+
+# ---- 7 and 10: spans ------------------------------------------------------------------
+
+E = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+I = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+C = re.compile(r"[0-9]([\x20-]?[0-9])+")
+P = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_pii(t):
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    out = [("email", *m.span()) for m in E.finditer(t)]
+    out += [("ip", *m.span()) for m in I.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", *m.span()) for m in C.finditer(t) if 13 <= len(digits(m)) <= 19 and skipcrf.luhn(digits(m))]
+    return out + [("phone", *m.span()) for m in P.finditer(t) if 9 <= len(digits(m)) <= 15]
+
+
+def test_pii_base_spans_match_the_patterns():
+    rng = random.Random(1)
+    for _ in range(4000):
+        t = "".join(rng.choice("aB.@-+0123 1.2.3.4(%") for _ in range(rng.randrange(60)))
+        assert [s[:3] for s in skipcrf.base_spans(t)] == plain_pii(t)
+
+
+def test_pii_field_adds_and_redacts(spark):
+    texts = [*EDGE, "mail a.b@mail.example.com or a.b@mail.example.com", "call +1 (017) 555-7713 now", "card 4111 1111 1111 1111", "ip 10.0.0.1!", "1 2 3"]
+    docs = docs_of(spark, texts)
+    got = skipcrf.detect(docs, ["doc_id"]).orderBy("doc_id").collect()
+    for r, t in zip(got, texts):
+        assert [(s.kind, s.start, s.end) for s in r.spans if s.base] == plain_pii(t or "")
+    clean = skipcrf.redact(docs).orderBy("doc_id").collect()
+    assert clean[10].text == "mail [EMAIL] or [EMAIL]" and clean[10].n_chars == len("mail [EMAIL] or [EMAIL]")
+    assert clean[0].text is None and clean[14].text == texts[14] and clean[10].spans == "y"
+    assert skipcrf.detect(docs.limit(0), ["doc_id"]).count() == 0
+
+
+def test_skip_edges_carry_labels():
+    texts = ["id 4111111111111111 seen; again 4111111111111111 end"] * 30 + ["number 7 and 12 of 90"] * 30
+    model = skipcrf.fit(texts)
+    nodes = skipcrf.nodes_of(0, "ref 4111111111111111 then 4111111111111111", [])
+    nodes[0].clamp = skipcrf.LABELS.index("card")
+    free = model.marginals([nodes[1]])[0]
+    linked = model.marginals(nodes)[1]
+    assert linked[skipcrf.LABELS.index("card")] >= free[skipcrf.LABELS.index("card")]
+
+
+def plain_secrets(t):
+    rx = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    out = [("assign", *m.span()) for m in rx.finditer(t) if len(m[2]) >= 8]
+    out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    out += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    return sorted(out, key=lambda s: (s[1], secretscan.KINDS.index(s[0])))
+
+
+def test_secrets(spark):
+    rng = random.Random(6)
+    pieces = ["token", "TOKEN ", "= ", ": ", '"', "password", "api_key", "AKIA", "ABCDEFGH12345678", "0123456789abcdef" * 2, "deadbeef", " ", "x", "ſecret"]
+    texts = [*EDGE, *["".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(300)]]
+    got = secretscan.scan_secrets(docs_of(spark, texts), ["doc_id", "id"]).orderBy("doc_id").collect()
+    for r, t in zip(got, texts):
+        assert [(s.kind, s.start, s.end) for s in r.spans if s.base] == plain_secrets(t or "")
+    assert secretscan.scan_secrets(docs_of(spark, []), ["doc_id"]).count() == 0
+
+
+def test_novel_strings_are_reported():
+    found = secretscan.find_secrets(["the secret is kept under Zx81kQp0LmT4sVb9aWq2 there", "the secret is configuration_version_2024 here", "nothing Zx81kQp0LmT4sVb9aWq2"])
+    assert [[s[0] for s in x] for x in found] == [["novel"], [], []]
+
+
+# ---- 8: media -------------------------------------------------------------------------
+
+
+def test_gif_round_trip(spark):
+    got = media.store_and_read(docs_of(spark, EDGE), ["doc_id"]).orderBy("doc_id").collect()
+    for r, t in zip(got, EDGE):
+        stored = media.payload(t)
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(stored[-64:]))
+        assert sum(r.grey) == len(stored)
+    assert got[6].media_sha256 == got[7].media_sha256
+    frames = media.decode(media.encode(docs_of(spark, EDGE), ["doc_id"]), ["doc_id"]).orderBy("doc_id").collect()
+    assert len(frames[5].frames) == -(-50_048 // (64 * gif.FRAME_ROWS)) and frames[5].frames[0].delay_ms == 100
+    assert media.store_and_read(docs_of(spark, []), ["doc_id"]).count() == 0
+
+
+def test_gif_random_bytes():
+    rng = np.random.default_rng(0)
+    for high in (2, 16, 256):
+        data = rng.integers(0, high, 64 * 700, dtype=np.uint8).tobytes()
+        assert media.samples_of(gif.write_gif(data))[0] == data
+
+
+def test_gif_disposal_transparency_and_local_palette():
+    u16 = lambda *x: b"".join(v.to_bytes(2, "little") for v in x)
+
+    def image(left, top, w, h, pixels, control, flags=b"\0", palette=b""):
+        codes = np.array(pixels)
+        bits = "".join(f"{c:03b}"[::-1] for c in [4])
+        width, out, size = 3, [bits], 6
+        for k, c in enumerate(codes):
+            width = 3 if 5 + k < 8 else 4 if 5 + k < 16 else 5
+            out.append(f"{c:0{width}b}"[::-1])
+        width = 3 if 5 + len(codes) < 8 else 4 if 5 + len(codes) < 16 else 5
+        out.append(f"{5:0{width}b}"[::-1])
+        del size
+        stream = "".join(out)
+        stream += "0" * (-len(stream) % 8)
+        data = bytes(int(stream[k : k + 8][::-1], 2) for k in range(0, len(stream), 8))
+        return control + b"\x2c" + u16(left, top, w, h) + flags + palette + b"\x02" + bytes([len(data)]) + data + b"\0"
+
+    head = b"GIF89a" + u16(2, 2) + b"\xf1\0\0" + bytes([0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255])
+    control = lambda disposal, clear=None: b"\x21\xf9\x04" + bytes([disposal << 2 | (clear is not None)]) + u16(5) + bytes([clear or 0]) + b"\0"
+    data = head + image(0, 0, 2, 2, [1, 1, 1, 1], control(1)) + image(0, 0, 1, 1, [2], control(3)) + image(1, 1, 1, 1, [3], control(2)) + image(0, 0, 2, 1, [0, 2], control(0, 0)) + b"\x3b"
+    red, green, blue, black = (255, 0, 0), (0, 255, 0), (0, 0, 255), (0, 0, 0)
+    shown = [[tuple(p) for row in f.canvas.tolist() for p in row] for f in gif.read_gif(data)]
+    assert shown == [[red] * 4, [green, red, red, red], [red, red, red, blue], [red, green, red, black]]
+    with pytest.raises(ValueError):
+        list(gif.read_gif(b"no gif at all"))
+
+
+# ---- 9: pages -------------------------------------------------------------------------
+
+
+def test_html_article_and_noise(spark):
+    body = "This is the first of the paragraphs and it is long enough to be the kind of text that the rules take as good, with the usual words in it. " * 2
+    page = f"""<html><head><title>T</title><style>p{{}}</style></head><body><nav><a href=x>Menu</a></nav><div class="ad">Buy it now and be the first of all.</div>
+    <article><h1>Head&amp;line</h1><p>{body}<p>Short  one.<br>Two<!-- no --></p><div class="share"><a href=y>Share</a></div><script>var a="</p>"</script></article>
+    <div class="comments"><p>{body}</p></div><footer>&copy; me</footer>"""
+    want = "Head&line\n\n" + " ".join(body.split()) + "\n\nShort one. Two"
+    rows = [(1, "u", page, "k"), (2, "u", None, "k"), (3, "u", "", "k"), (4, "u", "<" * 1000 + "<a href='", "k"), (5, "u", f"<div><p>{body}</p><p>ok then</p><p>{body}</p></div>", "k")]
+    got = {r.page_id: r.text for r in htmlblocks.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"), ["page_id"]).collect()}
+    assert got[1] == want and got[2] == got[3] == "" and isinstance(got[4], str)
+    assert got[5] == "\n\n".join([" ".join(body.split()), "ok then", " ".join(body.split())])

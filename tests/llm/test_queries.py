@@ -1,0 +1,46 @@
+"""The registered queries run over whole tables, and SQL gives the same rows where there is any."""
+
+import duckdb
+import pytest
+
+from sievetext.llm import queries
+
+SF = "/root/testdata/sf0.001"
+KEYS = {
+    "op1_minhash_neardup": ("documents", "doc_id"), "op2_grouped_packing": ("documents", "doc_id"), "op3_pfair_mixing": ("documents", "doc_id"), "op5_toxicity_cnn": ("documents", "doc_id"),
+    "op7_skip_chain_pii": ("documents", "doc_id"), "op8_gif_media": ("documents", "doc_id"), "op9_two_pass_html": ("pages", "page_id"), "op10_zstd_secrets": ("documents", "doc_id"),
+}
+
+
+@pytest.mark.parametrize("name", KEYS)
+def test_every_row_is_returned(spark, name):
+    table, key = KEYS[name]
+    got = queries.QUERIES[name](spark, SF).select(key).distinct().count()
+    assert got == spark.read.parquet(f"{SF}/{table}.parquet").select(key).distinct().count()
+
+
+@pytest.mark.parametrize("name", queries.ORACLES)
+def test_sql_agrees(spark, name):
+    found = queries.QUERIES[name](spark, SF).toPandas()
+    with duckdb.connect() as c:
+        for table in ("documents", "embeddings", "conversations"):
+            c.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
+        wanted = c.execute(queries.ORACLES[name]).df()
+    columns = sorted(found.columns)
+    assert columns == sorted(wanted.columns)
+    rows = lambda x: sorted(map(tuple, x[columns].astype(str).values.tolist()))
+    assert rows(found) == rows(wanted)
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen = docs.count()
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert 0 < len(rows) <= seen
+        docs, seen = spark.createDataFrame(rows, docs.schema), len(rows)
+    assert p.STAGES[-1][1](spark, docs, SF).select("doc_id").distinct().count() == seen
