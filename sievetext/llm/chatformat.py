@@ -24,9 +24,9 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,9 +54,18 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+@lru_cache(maxsize=2048)
+def _framed_turn(role: str, text: str) -> str:
+    role = escape(role)
+    return f"{START}{len(role)}:{role}\n{escape(text)}{END}"
+
+
 def framed(turns: list[Turn]) -> str:
-    """Each turn as a start mark, the role's length and the role, the text, and an end mark."""
-    return "".join(f"{START}{len(escape(role))}:{escape(role)}\n{escape(text)}{END}" for role, text in turns)
+    """Each turn as a start mark, the role's length and the role, the text, and an end mark.
+
+    A turn's rendering is kept for the next prefixes that hold it.
+    """
+    return "".join([_framed_turn(role, text) for role, text in turns])
 
 
 def read_back(formatted: str) -> list[Turn]:
@@ -75,7 +84,15 @@ def read_back(formatted: str) -> list[Turn]:
 
 
 def _common(a: str, b: str) -> int:
-    return len(os.path.commonprefix((a, b)))
+    """Length of the common head, by comparing whole slices."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
 
 def _probed(render: Template, turns: list[Turn], k: int, whole: str) -> tuple[int, int]:
