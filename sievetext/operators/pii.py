@@ -217,7 +217,7 @@ def detect(src: Column, policy: Policy = Policy()) -> Column:
         return scored
 
     short = F.length(src) <= MOST_CHARS
-    return F.when(src.isNotNull() & short & (F.length(src) > 0), let(src, of)).when(short, F.expr(NONE)).otherwise(F.raise_error(F.lit("text too long")).cast(f"array<{HIT}>"))
+    return F.when(src.isNull() | (F.length(src) == 0), F.expr(NONE)).when(short, let(src, of)).otherwise(F.raise_error(F.lit("text too long")).cast(f"array<{HIT}>"))
 
 
 def mask(hit: Column, policy: Policy = Policy()) -> Column:

@@ -68,7 +68,7 @@ def to_json(policy: GuardPolicy) -> str:
 
 def from_json(text: str) -> GuardPolicy:
     body = json.loads(text)
-    patterns = tuple(Pattern(**{"flags": "i", **p}) for p in body.get("patterns", []))
+    patterns = tuple(Pattern(**{"flags": "i", **p, "needs": tuple(p.get("needs", ()))}) for p in body.get("patterns", []))
     rules = tuple(Rule(**{"flags": "i", **r}) for r in body.get("rules", []))
     return GuardPolicy(body["name"], patterns, rules, body.get("threshold", 60), body.get("sanitize", True), body.get("description", ""), tuple(body.get("tags", ())))
 
