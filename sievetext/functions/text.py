@@ -15,6 +15,23 @@ from sievetext.functions.regexes import let, to_java
 STABLE = r"^[\x00-\x{9F}\x{A1}-\x{A7}\x{A9}\x{AB}-\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{131}]*$"
 ZERO_WIDTH = r"[\x{200b}-\x{200f}\x{2060}\x{feff}]"
 SPACE = to_java(r"\s")
+#: The characters of SPACE, for functions that take a list.
+SPACES = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def trim(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(text, F.lit(SPACES))
+
+
+def is_blank(text: Column) -> Column:
+    return ~text.rlike(to_java(r"\S"))
+
+
+def _replaced(text: Column, pattern: str, new: str, present: str | None = None) -> Column:
+    """Replace where a cheaper search finds anything to replace."""
+    return F.when(text.rlike(present or pattern), F.regexp_replace(text, pattern, new)).otherwise(text)
+
 
 
 @F.pandas_udf(StringType())
@@ -31,10 +48,12 @@ def nfkc(text: Column) -> Column:
 def normalize(text: Column) -> Column:
     """NFKC, one dash and one blank; printable ASCII without double blanks is left alone."""
     untouched = text.rlike(r"^[\x20-\x7E]+$") & ~text.rlike(r"[ \t]{2,}")
-    out = F.regexp_replace(nfkc(F.when(~untouched, text)), r"[\x{2212}\x{2010}-\x{2015}\x{30FC}]", "-")
-    out = F.regexp_replace(out, r"[ \t\x{3000}]+", " ")
-    trimmed = F.regexp_replace(out, f"^{SPACE}+|{SPACE}+$", "")
-    return F.when(untouched, text).otherwise(F.when(F.length(trimmed) > 0, trimmed).otherwise(out))
+
+    def cleaned(t: Column) -> Column:
+        dashed = _replaced(t, r"[\x{2212}\x{2010}-\x{2015}\x{30FC}]", "-")
+        return let(_replaced(dashed, r"[ \t\x{3000}]+", " ", r"[ \t\x{3000}]{2}|[\t\x{3000}]"), lambda out: F.when(is_blank(out), out).otherwise(trim(out)))
+
+    return F.when(untouched, text).otherwise(let(nfkc(F.when(~untouched, text)), cleaned))
 
 
 #: Fixed character references.

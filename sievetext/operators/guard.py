@@ -148,10 +148,6 @@ def sanitize(content: Column, found: Column, rules: tuple[Rule, ...] = RULES) ->
     return let(out, passes)
 
 
-def _trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{T.SPACE}+|{T.SPACE}+$", "")
-
-
 def segments(content: Column, trust: str = "user") -> Column:
     """The text cut at trust markers; a marker is itself an untrusted segment of risk 80."""
 
@@ -167,7 +163,7 @@ def segments(content: Column, trust: str = "user") -> Column:
     none = F.lit(None).cast("string")
 
     def added(out: Column, text: Column, level: Column, source: str = "segmentation") -> Column:
-        return let(_trim(text), lambda t: F.when(t != "", F.concat(out, F.array(made(t, level, 0, source, none)))).otherwise(out))
+        return let(T.trim(text), lambda t: F.when(t != "", F.concat(out, F.array(made(t, level, 0, source, none)))).otherwise(out))
 
     def step(s: Column, m: Column) -> Column:
         gap = F.when(m["index"] > s["at"], F.substring(content, s["at"] + 1, m["index"] - s["at"])).otherwise("")
@@ -213,7 +209,7 @@ def threat_level(value: Column) -> Column:
 
 def scan(docs: DataFrame, guard: Guard = Guard(), trust: str = "user", text: str = "text") -> DataFrame:
     """``docs`` with matches, segments, risk, safe and sanitized."""
-    blank = F.coalesce(_trim(F.col(text)) == "", F.lit(False))
+    blank = F.coalesce(T.is_blank(F.col(text)), F.lit(False))
     usable = F.col(text).isNotNull() & ~blank
     out = docs.withColumn("__c", F.when(usable, T.normalize_encoding(F.col(text))))
     rules = (*guard.custom_rules, *RULES)

@@ -14,7 +14,7 @@ from sievetext.functions.regexes import spans
 from sievetext.operators import evaluation, guard, pii
 from sievetext.operators.injection import PATTERNS, ordered
 from sievetext.plans.dictionaries import compile_entries, removed_sources
-from sievetext.session import read_table
+from sievetext.session import read_table, read_texts
 from sievetext.sources import jsonrpc
 
 QUERIES: dict = {}
@@ -85,7 +85,7 @@ FROM hits"""
 )
 def pii_hits_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every email and card of every document, with its place and confidence."""
-    found = pii.with_hits(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.with_hits(read_texts(spark, sf_dir, "documents").select("doc_id", "text"))
     hit = found.select("doc_id", F.explode("hits").alias("h"))
     return hit.select("doc_id", *[F.col(f"h.{c}").alias(c) for c in ("type", "start", "end", "value", "confidence")])
 
@@ -99,7 +99,7 @@ FROM src LEFT JOIN joined USING (doc_id) LEFT JOIN last USING (doc_id)"""
 )
 def pii_redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with emails and cards masked, as digest and length."""
-    out = pii.redact(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pii.redact(read_texts(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.md5("redacted").alias("redacted_md5"), F.length("redacted").cast("long").alias("n_chars"))
 
 
@@ -107,14 +107,14 @@ def pii_redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pii_all_packs_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of every document under all detector packs, by type and risk."""
     policy = pii.Policy(packs=("core", "network", "jp", "us", "security"))
-    found = pii.with_hits(read_table(spark, sf_dir, "documents").select("doc_id", "text"), policy)
+    found = pii.with_hits(read_texts(spark, sf_dir, "documents").select("doc_id", "text"), policy)
     return found.select(F.explode("hits").alias("h")).groupBy(F.col("h.type").alias("type"), F.col("h.risk").alias("risk")).agg(F.count(F.lit(1)).alias("hits"), F.round(F.avg("h.confidence"), 6).alias("confidence"))
 
 
 @query(rf"WITH {_SRC} SELECT doc_id, md5(s) AS text_md5, length(s) AS n_chars FROM src")
 def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = T.normalize(F.col("text"))
-    return read_table(spark, sf_dir, "documents").select("doc_id", src.alias("s")).select("doc_id", F.md5("s").alias("text_md5"), F.length("s").cast("long").alias("n_chars"))
+    return read_texts(spark, sf_dir, "documents").select("doc_id", src.alias("s")).select("doc_id", F.md5("s").alias("text_md5"), F.length("s").cast("long").alias("n_chars"))
 
 
 _KEY = "0123456789abcdef0123456789abcdef-key"
@@ -156,7 +156,7 @@ def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, CAST(i AS INTEGER) * 1024 AS position, length(substr(text, i * 1024 + 1, 1024)) AS size FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 1023) // 1024)) AS i FROM documents)")
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in pieces of 1024 characters."""
-    cut = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(T.chunks(F.col("text"))).alias("c"))
+    cut = read_texts(spark, sf_dir, "documents").select("doc_id", F.explode(T.chunks(F.col("text"))).alias("c"))
     return cut.select("doc_id", F.col("c.position").alias("position"), F.length("c.chunk").cast("long").alias("size"))
 
 
@@ -164,7 +164,7 @@ def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]{1,3}(?:\.[0-9]{1,3}){3}') AS m, string_split_regex(text, '[0-9]{1,3}(?:\.[0-9]{1,3}){3}') AS g FROM documents))""")
 def span_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of all matches of a pattern, without a UDF."""
-    found = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(spans(F.col("text"), r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")).alias("s"))
+    found = read_texts(spark, sf_dir, "documents").select("doc_id", F.explode(spans(F.col("text"), r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")).alias("s"))
     return found.select("doc_id", F.col("s.value").alias("value"), F.col("s.start").alias("start"))
 
 
@@ -179,7 +179,7 @@ _PHRASE_SQL = "CASE doc_id % 7 " + " ".join(f"WHEN {k} THEN '{p}'" for k, p in e
 
 def _injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("doc_id") % 7 + 1).cast("int"))
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.concat("text", phrase).alias("text"))
+    return read_texts(spark, sf_dir, "documents").select("doc_id", F.concat("text", phrase).alias("text"))
 
 
 def _sql_matches(severity: str | None = None) -> tuple[str, str]:
@@ -238,7 +238,7 @@ SELECT source, count(*) AS texts, count(*) FILTER (risk >= 60) AS dangerous, max
 )
 def guard_summary_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts, dangerous ones, highest risk and matches of each source."""
-    sources = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    sources = read_texts(spark, sf_dir, "documents").select("doc_id", "source", "text")
     phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("doc_id") % 7 + 1).cast("int"))
     out = guard.scan(sources.withColumn("text", F.concat("text", phrase)), guard.Guard(sanitize=False, separate=False))
     return out.groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.count_if(~F.col("safe")).alias("dangerous"), F.max(F.round("risk", 6)).alias("highest_risk"), F.sum(F.size("matches")).cast("long").alias("matches"))
@@ -266,7 +266,7 @@ TERMS = ({"pattern": r"\bthe\s+of\b", "type": "term_a", "risk": "low", "priority
 def dictionary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of a compiled dictionary in ASCII documents; an invalid pattern is left out."""
     compiled = compile_entries(list(TERMS))[:1]
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("src")).where(F.col("src").rlike(r"^[\x00-\x7F]*$"))
+    docs = read_texts(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("src")).where(F.col("src").rlike(r"^[\x00-\x7F]*$"))
     found = docs.select("doc_id", F.size(spans(F.col("src"), compiled[0].pattern, pii.MOST_HITS)).cast("long").alias("term_a"))
     return found.where("term_a > 0")
 
