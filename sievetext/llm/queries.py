@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievetext.llm import balltree, chatformat, htmlblocks, media, mixing, neardup, packing, secretscan, skipcrf, spans, toxcnn
-from sievetext.session import read_table
+from sievetext.session import read_table, read_texts
 
 
 def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
-    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(read_texts(spark, sf_dir, "documents"))
 
 
 def tokenizer_path() -> str:
@@ -23,7 +23,7 @@ def tokenizer_path() -> str:
 
 def op2_grouped_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of at most 1024 tokens."""
-    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(read_texts(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op4_incremental_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score and decision of every document."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = read_texts(spark, sf_dir, "documents")
     model = toxcnn.fit_on(docs, read_table(spark, sf_dir, "labels"))
     scored = toxcnn.score(docs, model, ["doc_id"])
     return scored.select("doc_id", toxcnn.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -56,27 +56,27 @@ def op6_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digest of the base spans, and all spans, of every document."""
-    found = skipcrf.detect(read_table(spark, sf_dir, "documents"), ["doc_id"])
+    found = skipcrf.detect(read_texts(spark, sf_dir, "documents"), ["doc_id"])
     counts = [spans.base_count(F.col("spans"), k).alias(f"n_{k}") for k in skipcrf.KINDS]
     return found.select("doc_id", *counts, spans.digest(F.col("spans")).alias("base_sha256"), spans.written(F.col("spans")).alias("spans"))
 
 
 def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's GIF and of the payload read back from it."""
-    stored = media.store_and_read(read_table(spark, sf_dir, "documents"), ["doc_id"])
+    stored = media.store_and_read(read_texts(spark, sf_dir, "documents"), ["doc_id"])
     feature = F.concat(F.lit("grey="), F.array_join(F.transform("grey", lambda x: x.cast("string")), ","), F.lit(";frames="), F.col("n_frames").cast("string"), F.lit(";ms="), F.col("duration_ms").cast("string"))
     return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
 def op9_two_pass_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
-    found = htmlblocks.extract(read_table(spark, sf_dir, "pages"), ["page_id", "url"])
+    found = htmlblocks.extract(read_texts(spark, sf_dir, "pages"), ["page_id", "url"])
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op10_zstd_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digest of the base spans, and all spans, of every document."""
-    found = secretscan.scan_secrets(read_table(spark, sf_dir, "documents"), ["doc_id"])
+    found = secretscan.scan_secrets(read_texts(spark, sf_dir, "documents"), ["doc_id"])
     counts = [spans.base_count(F.col("spans"), k).alias(f"n_{k}") for k in secretscan.KINDS[:3]]
     return found.select("doc_id", *counts, spans.digest(F.col("spans")).alias("base_sha256"), spans.written(F.col("spans")).alias("spans"))
 
