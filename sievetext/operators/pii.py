@@ -8,13 +8,15 @@ texts that are not ASCII.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievetext.functions import text as T
 from sievetext.functions.regexes import let, spans, to_java
-from sievetext.operators.detectors import PACKS, Detector, around
+from sievetext.operators.detectors import GATES, PACKS, Detector, around
 
 HIT = "struct<type:string,start:int,end:int,value:string,risk:string,priority:int,confidence:double,ord:int>"
 NONE = f"cast(array() as array<{HIT}>)"
@@ -74,16 +76,21 @@ def _hits_of(d: Detector, k: int, src: Column, low: Column) -> Column:
     hits = F.transform(found, shaped)
     needed = []
     if d.trigger:
-        needed.append(src.rlike("|".join(_literal(t) for t in d.trigger)))
+        needed.append(reduce(or_, (src.contains(t) for t in d.trigger)))
     if d.context:
-        needed.append(low.rlike("|".join(_literal(w.lower()) for w in d.context)))
-    for condition in needed:
-        hits = F.when(condition, hits).otherwise(F.expr(NONE))
-    return hits
+        needed.append(reduce(or_, (low.contains(w.lower()) for w in d.context)))
+    return F.when(reduce(and_, needed), hits).otherwise(F.expr(NONE)) if needed else hits
 
 
-def _literal(words: str) -> str:
-    return "\\Q" + words + "\\E"
+def _all_hits(detectors: list[Detector], text: Column, low: Column) -> Column:
+    """Hits in push order, the first MOST_HITS; detectors behind one gate are skipped together."""
+    parts = []
+    for gate in dict.fromkeys(d.gate for d in detectors):
+        group = F.concat(*[_hits_of(d, k, text, low) for k, d in enumerate(detectors) if d.gate == gate])
+        parts.append(F.when(text.rlike(GATES[gate]), group).otherwise(F.expr(NONE)) if gate else group)
+    key = lambda h: F.struct(h["ord"], h["start"])
+    order = lambda a, b: F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0)
+    return let(F.concat(*parts), lambda all_: F.when(F.size(all_) > MOST_HITS, F.slice(F.array_sort(all_, order), 1, MOST_HITS)).otherwise(all_))
 
 
 def _merged(found: Column, least: int, src: Column) -> Column:
@@ -208,8 +215,8 @@ def detect(src: Column, policy: Policy = Policy()) -> Column:
     """Final hits of an already normalised text; offsets count code points of that text."""
 
     def of(text: Column) -> Column:
-        parts = let(F.lower(text), lambda low: F.concat(*[_hits_of(d, k, text, low) for k, d in enumerate(policy.all_detectors())]))
-        kept = F.filter(resolve(F.slice(parts, 1, MOST_HITS)), lambda h: ~allowed(h, text, policy))
+        found = let(F.lower(text), lambda low: _all_hits(policy.all_detectors(), text, low))
+        kept = F.filter(resolve(found), lambda h: ~allowed(h, text, policy))
         scored = F.transform(kept, lambda h: h.withField("confidence", F.round(confidence(h, text), 6)))
         if policy.sensitivity:
             floor = THRESHOLDS[policy.sensitivity] if policy.threshold is None else policy.threshold
