@@ -155,3 +155,14 @@ def chunks(text: Column, size: int = 1024) -> Column:
     last = F.greatest(F.lit(0), F.floor((F.length(text) - 1) / size)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * size).alias("position"), F.substring(text, i * size + 1, F.lit(size)).alias("chunk")))
     return F.when(F.length(text) > 0, cut).otherwise(F.expr("cast(array() as array<struct<position:int,chunk:string>>)"))
+
+
+def is_binary(data: Column) -> Column:
+    """Whether the first 512 bytes look binary: NULs or many control characters."""
+    head = F.hex(F.substring(data, 1, 512))
+    size = F.length(head) / 2
+    # each byte is two hex digits and a blank, so a byte's pattern can't straddle two bytes
+    spaced = F.regexp_replace(head, "(..)", "$1 ")
+    nul = F.regexp_count(spaced, F.lit("00 "))
+    control = F.regexp_count(spaced, F.lit("(?:0[0-8BCEF]|1[0-9A-F]) "))
+    return (size > 0) & ((nul >= 3) | (control >= 8) | (nul / size > 0.02) | (control / size > 0.05))

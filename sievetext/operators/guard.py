@@ -148,6 +148,43 @@ def sanitize(content: Column, found: Column, rules: tuple[Rule, ...] = RULES) ->
     return let(out, passes)
 
 
+#: Visible labels of the three marker families, in order.
+MARKER_LABELS = ("[SYSTEM_MARKER]", "[INSTRUCTION_MARKER]", "[CHAT_MARKER]")
+
+
+def neutralize_markers(content: Column) -> Column:
+    """Context markers as visible labels."""
+    for rule, label in zip(RULES, MARKER_LABELS):
+        content = F.regexp_replace(content, rule.java, label)
+    return content
+
+
+def remove_instructions(content: Column) -> Column:
+    """Override requests and announced new instructions taken out."""
+    announced = next(p for p in PATTERNS if p.id == "new_instruction")
+    for pattern in [r.java for r in RULES[3:6]] + [announced.java]:
+        content = F.regexp_replace(content, pattern, "[INSTRUCTION_REMOVED]")
+    return content
+
+
+def safe_preview(content: Column, most: int = 100) -> Column:
+    """The sanitised text, cut at ``most`` characters with dots."""
+    clean = sanitize(content, F.expr(NO_MATCH))
+    return let(clean, lambda c: F.when(F.length(c) > most, F.concat(F.substring(c, F.lit(1), F.lit(most)), F.lit("..."))).otherwise(c))
+
+
+def validate_sanitized(content: Column) -> Column:
+    """(safe, issues): what a sanitised text must not hold any more."""
+    groups = (("context markers remain", RULES[:3]), ("instruction overrides remain", RULES[3:6]), ("code execution requests remain", RULES[6:8]))
+    issues = F.array_compact(F.array(*[F.when(reduce(or_, (content.rlike(r.java) for r in rules)), name) for name, rules in groups]))
+    return F.struct((F.size(issues) == 0).alias("safe"), issues.alias("issues"))
+
+
+def valid_segments(parts: Column) -> Column:
+    """Every segment has content, a known trust and a risk in 0..100."""
+    return F.forall(parts, lambda s: (F.length(s["content"]) > 0) & s["trust"].isin(*TRUST_ORDER) & s["risk"].between(0, 100))
+
+
 def segments(content: Column, trust: str = "user") -> Column:
     """The text cut at trust markers; a marker is itself an untrusted segment of risk 80."""
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sievetext.functions import text as T
 from sievetext.functions.regexes import let, spans, to_java
+from sievetext.operators import validators
 from sievetext.operators.detectors import GATES, PACKS, Detector, around
 
 HIT = "struct<type:string,start:int,end:int,value:string,risk:string,priority:int,confidence:double,ord:int>"
@@ -41,6 +42,8 @@ class Policy:
     sensitivity: str | None = None
     threshold: float | None = None
     environment: str = "production"
+    #: fast takes every match; balanced and strict validate cards and emails in their context.
+    strictness: str = "fast"
     allow: dict[str, tuple[str, ...]] = field(default_factory=dict)
     deny: dict[str, tuple[str, ...]] = field(default_factory=dict)
     detectors: tuple[Detector, ...] = ()
@@ -51,6 +54,8 @@ class Policy:
             raise ValueError(f"unknown action {bad[0]!r}")
         if "tokenize" in (self.default_action, *self.rules.values()) and len(self.hmac_key or "") < 32:
             raise ValueError("tokenize needs an hmac_key of at least 32 characters")
+        if self.strictness not in ("fast", "balanced", "strict"):
+            raise ValueError(f"unknown strictness {self.strictness!r}")
         if self.sensitivity not in (None, *THRESHOLDS):
             raise ValueError(f"unknown sensitivity {self.sensitivity!r}")
 
@@ -216,6 +221,8 @@ def detect(src: Column, policy: Policy = Policy()) -> Column:
 
     def of(text: Column) -> Column:
         found = let(F.lower(text), lambda low: _all_hits(policy.all_detectors(), text, low))
+        if policy.strictness != "fast":
+            found = F.filter(found, lambda h: validators.is_valid(h["value"], h["type"], around(text, h["start"], h["value"], 48), policy.strictness))
         kept = F.filter(resolve(found), lambda h: ~allowed(h, text, policy))
         scored = F.transform(kept, lambda h: h.withField("confidence", F.round(confidence(h, text), 6)))
         if policy.sensitivity:

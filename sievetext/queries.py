@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sievetext.functions import text as T
 from sievetext.functions.regexes import spans
-from sievetext.operators import evaluation, guard, pii
+from sievetext.operators import evaluation, guard, packs, pii, validators
 from sievetext.operators.injection import PATTERNS, ordered
 from sievetext.plans.dictionaries import compile_entries, removed_sources
 from sievetext.session import read_table, read_texts
@@ -375,3 +375,42 @@ def running_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     flags = T.prefilter(F.col("text"))["credit_card"].cast("int")
     return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sum(flags).over(Window.partitionBy("conv_id").orderBy("turn")).alias("seen"))
+
+
+# ---- validators, packs, previews ------------------------------------------------------
+
+_CARD_SQL = "rpad(CAST([4, 51, 37, 6011, 353, 36, 9][CAST(1 + o_orderkey % 7 AS BIGINT)] AS VARCHAR) || CAST((o_orderkey * 48271) % 1000000007 AS VARCHAR), CAST(13 + o_orderkey % 7 AS INTEGER), '9')"
+
+
+@query(
+    f"""WITH c AS (SELECT o_orderkey, {_CARD_SQL} AS k FROM orders),
+d AS (SELECT *, list_sum(list_transform(string_split(reverse(k), ''), lambda x, i: CASE WHEN i % 2 = 1 THEN CAST(x AS INTEGER) WHEN CAST(x AS INTEGER) < 5 THEN 2 * CAST(x AS INTEGER) ELSE 2 * CAST(x AS INTEGER) - 9 END)) % 10 = 0 AS luhn,
+  CASE WHEN k LIKE '4%' THEN 'visa' WHEN regexp_matches(k, '^(5[1-5]|2[2-7])') THEN 'mastercard' WHEN regexp_matches(k, '^3[47]') THEN 'amex' WHEN regexp_matches(k, '^(6011|65|64[4-9])') THEN 'discover'
+    WHEN regexp_matches(k, '^35(2[89]|[3-8][0-9])') THEN 'jcb' WHEN regexp_matches(k, '^3[0689]') THEN 'dinersclub' WHEN regexp_matches(k, '^(5018|5020|5038|6304|6759|676[1-3])') THEN 'maestro' END AS brand, length(k) AS n FROM c)
+SELECT o_orderkey, CASE WHEN NOT luhn THEN 'luhn_failed' WHEN k IN ({", ".join(f"'{c}'" for c in validators.TEST_CARDS)}) THEN 'test_number' WHEN brand IS NULL THEN 'unknown_brand'
+  WHEN NOT (CASE brand WHEN 'visa' THEN n IN (13, 16, 19) WHEN 'mastercard' THEN n = 16 WHEN 'amex' THEN n = 15 WHEN 'discover' THEN n IN (16, 19) WHEN 'jcb' THEN n BETWEEN 16 AND 19 WHEN 'dinersclub' THEN n = 14 ELSE n BETWEEN 12 AND 19 END) THEN 'invalid_brand_length'
+  WHEN regexp_matches(k, '0000|1111|2222|3333|4444|5555|6666|7777|8888|9999') THEN 'repeated_digits' WHEN regexp_matches(k, '0123|1234|2345|3456|4567|5678|6789|9876|8765|7654|6543|5432|4321|3210') THEN 'sequential_digits' ELSE 'valid_' || brand END AS reason FROM d"""
+)
+def card_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why made-up card numbers are no cards, in a context that speaks for cards."""
+    k = F.col("o_orderkey")
+    prefix = F.element_at(F.array(*[F.lit(p) for p in ("4", "51", "37", "6011", "353", "36", "9")]), (k % 7 + 1).cast("int"))
+    number = F.rpad(F.concat(prefix, ((k * 48271) % 1_000_000_007).cast("string")), (13 + k % 7).cast("int"), F.lit("9"))
+    return read_table(spark, sf_dir, "orders").select("o_orderkey", validators.validate_card(number, F.lit("card payment visa"), "balanced").alias("reason"))
+
+
+@query(
+    """WITH w AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'please send mail to' WHEN 1 THEN 'a test example' WHEN 2 THEN 'version hash' WHEN 3 THEN 'contact' ELSE '' END AS t FROM orders)
+SELECT o_orderkey, round(CASE o_orderkey % 5 WHEN 0 THEN 2.3 WHEN 1 THEN 0.0 WHEN 2 THEN 0.2 WHEN 3 THEN 1.5 ELSE 1.0 END, 6)::DOUBLE AS score FROM w"""
+)
+def email_context_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context scores of five kinds of surroundings."""
+    words = F.element_at(F.array(*[F.lit(t) for t in ("please send mail to", "a test example", "version hash", "contact", "")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return read_table(spark, sf_dir, "orders").select("o_orderkey", F.round(validators.context_score(words, "email"), 6).alias("score"))
+
+
+@query()
+def guard_strict_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risk of every document under all packs at the strict level."""
+    out = guard.scan(read_texts(spark, sf_dir, "documents").select("doc_id", "text"), packs.guard_at("strict"))
+    return out.select("doc_id", F.size("matches").alias("n_matches"), F.round("risk", 6).alias("risk"), "safe", F.md5("sanitized").alias("sanitized_md5"))
