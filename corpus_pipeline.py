@@ -31,25 +31,26 @@ BROADCAST_IDS = 1_000_000
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` without the documents that the classifier rejects."""
     model = toxcnn.fit_on(docs, read_table(spark, sf_dir, "labels"))
-    return toxcnn.score(docs, model, docs.columns).where("score < 0.5").select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), "text")
+    return toxcnn.score(whole, model, ["doc"]).where("score < 0.5").select("doc.*")
 
 
 def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id."""
     found = neardup.near_duplicates(docs)
-    gone = neardup.cut_lineage(found.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct())
+    gone = neardup.cut_lineage(found.where("NOT kept").select("doc_id").distinct())
     hint = F.broadcast if gone.count() <= BROADCAST_IDS else (lambda x: x)
-    rest = docs.join(hint(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
-    twice = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__twice")).count().where("count > 1").select("__twice")
+    rest = docs.join(hint(gone), "doc_id", "left_anti").select(*docs.columns)
+    twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     twice = neardup.cut_lineage(twice)
     repeated = twice.count()
     if not repeated:
         return rest
     hint = F.broadcast if repeated <= BROADCAST_IDS else (lambda x: x)
-    once = rest.join(hint(twice), F.col("doc_id") == F.col("__twice"), "left_anti")
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    more = rest.join(hint(twice), F.col("doc_id") == F.col("__twice"), "left_semi").withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
-    return once.unionByName(more)
+    once = rest.join(hint(twice), "doc_id", "left_anti").select(*docs.columns)
+    first = Window.partitionBy("id").orderBy(F.col("text").asc_nulls_last())
+    more = rest.join(hint(twice), "doc_id", "left_semi").select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id"), "text")
+    return once.unionByName(more.withColumn("n", F.row_number().over(first)).where("n = 1").select("doc.*"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,10 @@ NOISE_WORDS = frozenset(
     "popup promo promotion related replies reply respond share sharing sidebar signup site-footer skip social sponsor sponsored subscribe subscription "
     "tagcloud toolbar topbar widget widgets complementary contentinfo search".split()
 )
+#: Words of wrappers, whose names speak of what they hold and not of themselves.
+WRAPPER_WORDS = frozenset("wrap wrapper container layout grid page has no with without".split())
+#: Words that mark furniture outside an article only.
+OUTSIDE_WORDS = frozenset("header masthead banner".split())
 STOP_WORDS = frozenset(
     "a al an and are as at au auch auf aus avec be been bei but by ce como con da dans das de del dem den der des die du e ein eine einen el elle en er es est et "
     "for from für had has have he her his i ich il im in is ist it its la las le les lo los mais mit más ne nicht no nous of on or os ou par para pas pero plus por pour "
@@ -56,6 +60,7 @@ SHORT, LONG, LINKED, LOW, HIGH = 70, 200, 0.5, 0.2, 0.3
 _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""")
 _NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _PARTS = re.compile(r"[A-Za-z]+")
+_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
 
 
 @dataclass
@@ -69,11 +74,14 @@ class Block:
     label: str = ""
 
 
-def _is_noise(attributes: str) -> bool:
+def _is_noise(attributes: str, container: int) -> bool:
+    if not attributes:
+        return False
     for _, value in _NAMED.findall(attributes):
-        if any(w.lower() in NOISE_WORDS for w in _PARTS.findall(value)):
+        words = {w.lower() for w in _PARTS.findall(value)}
+        if words & NOISE_WORDS - (OUTSIDE_WORDS if container else frozenset()) and not words & WRAPPER_WORDS:
             return True
-    return False
+    return bool(_HIDDEN.search(attributes))
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -150,7 +158,7 @@ def blocks_of(page: str) -> list[Block]:
                 flush()
             continue
         skipped = tag in SKIPPED_TAGS and not (tag == "header" and container)
-        marked = skipped or (tag not in ("html", "body", "article", "main") and _is_noise(m[3])) or (tag == "article" and container > 0 and _is_noise(m[3]))
+        marked = skipped or (tag not in ("html", "body", "article", "main") and _is_noise(m[3], container)) or (tag == "article" and container > 0 and _is_noise(m[3], container))
         if tag in BLOCK_TAGS or (marked and not noise):
             flush()
         if tag in BLOCK_TAGS and opened.get("p") and any(x[0] == "p" for x in stack[-8:]):

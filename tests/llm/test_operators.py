@@ -382,3 +382,10 @@ def test_html_article_and_noise(spark):
     got = {r.page_id: r.text for r in htmlblocks.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"), ["page_id"]).collect()}
     assert got[1] == want and got[2] == got[3] == "" and isinstance(got[4], str)
     assert got[5] == "\n\n".join([" ".join(body.split()), "ok then", " ".join(body.split())])
+
+
+def test_html_wrappers_headers_and_hidden():
+    body = "This is the first of the paragraphs and it is long enough to be the kind of text that the rules take as good, with the usual words in it. " * 2
+    page = f"""<div class="content-sidebar-wrap"><article><div class="entry-header"><h1>Head</h1></div><p>{body}</p><p hidden>{body}</p><div style="display: none">x y</div><p>End.</p></article>
+    <div class="site-header">{body}</div></div>"""
+    assert htmlblocks.main_text(page) == "\n\n".join(["Head", " ".join(body.split()), "End."])

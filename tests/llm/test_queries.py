@@ -44,3 +44,23 @@ def test_pipeline_stages(spark):
         assert 0 < len(rows) <= seen
         docs, seen = spark.createDataFrame(rows, docs.schema), len(rows)
     assert p.STAGES[-1][1](spark, docs, SF).select("doc_id").distinct().count() == seen
+
+
+def test_pipeline_on_edge_cases(spark):
+    """Null, empty, long, equal and repeated rows, and a column more, pass every stage."""
+    import corpus_pipeline as p
+
+    texts = [None, "", " ", "word", "x" * 20_000, "same five words right here", "same five words right here", "mail bob@corp.io please now ok"]
+    rows = [(k, t, "en", None if k == 3 else "s", 0, "kept") for k, t in enumerate(texts)] + [(5, texts[5], "en", "s", 0, "kept"), (None, "no id here at all", "en", "s", 0, "kept")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __key string")
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+    kept = {r.doc_id: r for r in docs.collect()}
+    assert sorted(kept, key=str) == sorted([0, 1, 2, 3, 4, 5, 7, None], key=str) and docs.count() == 8
+    assert kept[7].text == "mail [EMAIL] please now ok" and kept[7].n_chars == len(kept[7].text) and kept[5]["__key"] == "kept"
+    assert p.STAGES[-1][1](spark, docs, SF).count() >= 8
+    empty = docs.limit(0)
+    for _, stage in p.STAGES:
+        assert stage(spark, empty, SF).count() == 0
