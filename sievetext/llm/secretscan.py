@@ -5,7 +5,9 @@ length test is dropped and its characters are not tried again.
 
 Novelty adds spans of kind ``novel``. A candidate is a run of at least 16 token characters
 with letters and digits, within ``REACH`` characters after a sensitive word, clear of base
-spans. Its cost is the size of its zstandard frame, primed with a dictionary of identifiers
+spans. A run is cut behind each ``=`` that is no padding, and its parts are candidates; for a
+part, a sensitive word within the run before it counts too (``aws_secret_access_key=...``). If
+no part is reported, the run is measured whole. A candidate's cost is the size of its zstandard frame, primed with a dictionary of identifiers
 and with the text around it (its own copies taken out), less that of an empty frame.
 Ordinary identifiers and repeated prose are found in the dictionary and cost little; random
 strings cost about a byte a character. From ``NOVEL`` bytes a character on it is reported.
@@ -34,6 +36,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 CONTEXT_WORDS = ("access", "apikey", "api_key", "auth", "bearer", "credential", "passphrase", "passw", "private", "pwd", "secret", "signature", "token", "key")
 CONTEXT = re.compile("|".join(CONTEXT_WORDS), re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.-]{16,}")
+#: Parts of a run; ``=`` stays where it is padding.
+PART = re.compile(r"[A-Za-z0-9+/_~.-]{16,}(?:=+$)?")
 REACH, AROUND, NOVEL = 48, 512, 0.75
 LEVEL = 3
 #: Fixed words of the identifier dictionary.
@@ -73,21 +77,34 @@ def novel_spans(text: str, base: list[Span]) -> list[Span]:
     taken = sorted((s[1], s[2]) for s in base)
     found, k, t = [], 0, 0
     for m in CANDIDATE.finditer(text):
-        begin, end = m.span()
-        while k < len(ends) and ends[k] <= begin:
+        run, run_end = m.span()
+        while k < len(ends) and ends[k] <= run:
             k += 1
-        if k == 0 or begin - ends[k - 1] > REACH:
-            continue
-        while t < len(taken) and taken[t][1] <= begin:
+        while t < len(taken) and taken[t][1] <= run:
             t += 1
-        if t < len(taken) and taken[t][0] < end:
-            continue
-        value = m[0]
-        if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
-            continue
-        score = novelty(value, text[max(0, begin - AROUND) : begin] + " " + text[end : end + AROUND])
-        if score >= NOVEL:
-            found.append(("novel", begin, end, False, score))
+        places = [(run, run_end)]
+        if "=" in m[0].rstrip("="):
+            places = [(run + p.start(), run + p.end()) for p in PART.finditer(m[0])] + places
+        word, base_span, known = k, t, len(found)
+        for begin, end in places:
+            if end - begin == run_end - run:  # the whole run
+                if len(found) > known:
+                    break
+                word, base_span = k, t
+            while word < len(ends) and ends[word] <= begin:
+                word += 1
+            if word == 0 or run - ends[word - 1] > REACH:
+                continue
+            while base_span < len(taken) and taken[base_span][1] <= begin:
+                base_span += 1
+            if base_span < len(taken) and taken[base_span][0] < end:
+                continue
+            value = text[begin:end]
+            if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+                continue
+            score = novelty(value, text[max(0, begin - AROUND) : begin] + " " + text[end : end + AROUND])
+            if score >= NOVEL:
+                found.append(("novel", begin, end, False, score))
     return found
 
 

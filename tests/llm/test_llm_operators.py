@@ -319,6 +319,19 @@ def test_novel_strings_are_reported():
     assert [[s[0] for s in x] for x in found] == [["novel"], [], []]
 
 
+def test_novel_values_behind_names():
+    value, padded = "wJalrXUtnFEMI/K7MDENG+bPxRfiCYzq8Lk3Vt0s", "Zx81kQp0LmT4sVb9aWq2Hd7f=="
+    names = ["aws_secret_access_key=", "DB_PWD=", "signing_key=", "private_key=", "a=1=signing_key=", "secret_" + "long_name_" * 6 + "=", "signing_key = "]
+    for name in names:
+        for v in (value, padded):
+            text = f"export {name}{v} # set"
+            assert [text[s[1] : s[2]] for s in secretscan.find_secrets([text])[0]] == [v], text
+    plain = ["export signing_key=configuration_version_2024", "colour=Zx81kQp0LmT4sVb9aWq2", "export DB_PWD=Zx81kQp0"]
+    assert secretscan.find_secrets(plain) == [[], [], []]
+    # parts too short to be candidates: measured whole, as without names
+    assert [s[1:3] for s in secretscan.find_secrets(["the secret is Zx81kQp0LmT=4sVb9aWq2Hd there"])[0]] == [(14, 37)]
+
+
 # ---- 8: media -------------------------------------------------------------------------
 
 
