@@ -50,24 +50,32 @@ def encoder(path: str):
     """The byte-level BPE of a ``tokenizers`` file, run by the faster ``tiktoken`` loop.
 
     In these files an id is its merge's rank, which is what the loop needs; ids are the same
-    (the tests hold both libraries against each other).
+    (the tests hold both libraries against each other). The file's added tokens are the
+    special ones.
     """
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         vocabulary = json.load(f)
-    special = {x["content"] for x in vocabulary.get("added_tokens", [])}
+    special = {x["content"]: x["id"] for x in vocabulary.get("added_tokens", [])}
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
     ranks = {bytes(byte_of[c] for c in token): k for token, k in vocabulary["model"]["vocab"].items() if token not in special}
     import public_tokenizers
 
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
-def token_ids(path: str, text: str | None) -> np.ndarray:
-    """Ids of a whole text and the end id, as little-endian 32-bit numbers."""
-    return np.array([*encoder(path).encode_ordinary(text or ""), END_ID], "<u4")
+def token_ids(path: str, text: str | None, special: bool = False) -> np.ndarray:
+    """Ids of a whole text and the end id, as little-endian 32-bit numbers.
+
+    With ``special``, the file's added tokens get their own ids, as ``tokenizers`` does unless
+    told to encode them as text.
+    """
+    byte_bpe, text = encoder(path), text or ""
+    if special and any(s in text for s in byte_bpe.special_tokens_set):
+        return np.array([*byte_bpe.encode(text, allowed_special="all"), END_ID], "<u4")
+    return np.array([*byte_bpe.encode_ordinary(text), END_ID], "<u4")
 
 
 def cuts(total: int, sequence: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -85,7 +93,7 @@ def pieces(docs: DataFrame, path: str, keep: list[str], text: str = "text", sequ
                 part = batch.slice(begin, 256)
                 row, out = [], []
                 for k, value in enumerate(part.column(len(keep)).to_pylist()):
-                    ids = token_ids(path, value)
+                    ids = token_ids(path, value, special=True)
                     for n, (start, length) in enumerate(cuts(len(ids), sequence)):
                         row.append(k)
                         out.append((n, start, length, zlib.crc32(ids[start : start + length].tobytes())))

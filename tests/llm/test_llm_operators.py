@@ -112,6 +112,23 @@ def test_token_ids_match_the_tokenizer():
         assert packing.token_ids(path, text).tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_pack_gives_added_tokens_their_ids(spark):
+    """The tokenizer at its default setting."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    end = "<|endoftext|>"
+    texts = ["hello <|endoftext|> world", end, f"a  {end}  {end}{end}\n\nb", f"<{end}>", "<|endoftext|", f"é　{end}\U0001f600", f"word {end} " * 900, "no such token"]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    got = {}
+    for r in packing.pack(docs_of(spark, texts), tokenizer_path()).collect():
+        got.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+    for k, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        want = [(n, s, m, zlib.crc32(ids[s : s + m].tobytes())) for n, (s, m) in enumerate(packing.cuts(len(ids)))]
+        assert sorted(got[k]) == want
+
+
 def test_pack_places_every_piece(spark):
     rng = random.Random(2)
     texts = [*EDGE, *[" ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.choice([3, 40, 300, 900, 2500]))) for _ in range(60)]]
