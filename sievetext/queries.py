@@ -271,6 +271,14 @@ def dictionary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("term_a > 0")
 
 
+@query()
+def dictionary_hits_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of hits of every valid term of a dictionary in every document that has any."""
+    docs = read_texts(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("src"))
+    terms = F.array(*[F.struct(F.lit(d.type).alias("type"), F.regexp_count("src", F.lit(d.pattern)).cast("long").alias("hits")) for d in compile_entries(list(TERMS))])
+    return docs.select("doc_id", F.explode(terms).alias("t")).select("doc_id", "t.type", "t.hits").where("hits > 0")
+
+
 _MESSAGE_SQL = """CASE event_id % 5 WHEN 0 THEN 'request' WHEN 1 THEN 'notification' WHEN 2 THEN 'response' WHEN 3 THEN 'error' ELSE 'request' END"""
 
 
