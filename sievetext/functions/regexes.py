@@ -56,3 +56,19 @@ def spans(text: Column, pattern: str, most: int | None = None) -> Column:
         return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
 
     return F.when(text.rlike(pattern), let(found, folded)).otherwise(empty)
+
+
+def fold_spans(text: Column, pattern: str, zero: Column, step) -> Column:
+    """``step(state, span)`` over all matches of a Java pattern in order; what ``step`` drops is not kept."""
+    between = F.split(text, pattern, -1)
+
+    def moved(state: Column, pair: Column) -> Column:
+        start = state["at"] + F.length(pair["gap"])
+        span = F.struct(pair["value"].alias("value"), start.alias("start"), (start + F.length(pair["value"])).alias("end"))
+        return let(span, lambda s: F.struct(s["end"].alias("at"), step(state["state"], s).alias("state")))
+
+    def folded(values: Column) -> Column:
+        pairs = F.zip_with(values, F.slice(between, 1, F.size(values)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
+        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), zero.alias("state")), moved)["state"]
+
+    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), folded)).otherwise(zero)

@@ -15,12 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievetext.functions import text as T
-from sievetext.functions.regexes import let, spans, to_java
+from sievetext.functions.regexes import fold_spans, let, to_java
 from sievetext.operators import validators
 from sievetext.operators.detectors import GATES, PACKS, Detector, around
 
 HIT = "struct<type:string,start:int,end:int,value:string,risk:string,priority:int,confidence:double,ord:int>"
 NONE = f"cast(array() as array<{HIT}>)"
+SPANS = "cast(array() as array<struct<value:string,start:int,end:int>>)"
 MOST_HITS, MOST_CHARS = 200, 10_000_000
 RISK_RANK = {"low": 1, "medium": 2, "high": 3}
 THRESHOLDS = {"strict": 0.5, "balanced": 0.7, "relaxed": 0.85}
@@ -66,18 +67,28 @@ class Policy:
         return core + sorted((d for d in chosen if d not in core), key=lambda d: d.priority)
 
 
-def _hits_of(d: Detector, k: int, src: Column, low: Column) -> Column:
+def _hits_of(d: Detector, k: int, src: Column, low: Column, strictness: str) -> Column:
     def shaped(s: Column) -> Column:
         return F.struct(
             F.lit(d.type).alias("type"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(d.risk).alias("risk"),
             F.lit(d.priority).alias("priority"), F.lit(d.confidence).alias("confidence"), F.lit(k).alias("ord"),
         )
 
-    found = spans(src, d.pattern, MOST_HITS)
-    if d.test is not None:
-        found = F.filter(found, lambda s: d.test(s["value"], s["start"], src))
+    def accepted(s: Column) -> Column:
+        tests = [d.test(s["value"], s["start"], src)] if d.test and not d.merge else []
+        if strictness != "fast":
+            tests.append(validators.is_valid(s["value"], F.lit(d.type), around(src, s["start"], s["value"], 48), strictness))
+        return reduce(and_, tests, F.lit(True))
+
+    def taken(out: Column, s: Column) -> Column:
+        # every match is tested; beyond MOST_HITS accepted ones none can be among the text's first
+        return F.when((F.size(out) < MOST_HITS) & accepted(s), F.concat(out, F.array(s))).otherwise(out)
+
     if d.merge:
-        found = _merged(found, d.merge, src)
+        kept = lambda s: d.test(s["value"], s["start"], src) if d.test else F.lit(True)
+        found = F.aggregate(_merged(src, d.pattern, d.merge, kept), F.expr(SPANS), taken)
+    else:
+        found = fold_spans(src, d.pattern, F.expr(SPANS), taken)
     hits = F.transform(found, shaped)
     needed = []
     if d.trigger:
@@ -87,29 +98,32 @@ def _hits_of(d: Detector, k: int, src: Column, low: Column) -> Column:
     return F.when(reduce(and_, needed), hits).otherwise(F.expr(NONE)) if needed else hits
 
 
-def _all_hits(detectors: list[Detector], text: Column, low: Column) -> Column:
+def _all_hits(detectors: list[Detector], text: Column, low: Column, strictness: str = "fast") -> Column:
     """Hits in push order, the first MOST_HITS; detectors behind one gate are skipped together."""
     parts = []
     for gate in dict.fromkeys(d.gate for d in detectors):
-        group = F.concat(*[_hits_of(d, k, text, low) for k, d in enumerate(detectors) if d.gate == gate])
+        group = F.concat(*[_hits_of(d, k, text, low, strictness) for k, d in enumerate(detectors) if d.gate == gate])
         parts.append(F.when(text.rlike(GATES[gate]), group).otherwise(F.expr(NONE)) if gate else group)
     key = lambda h: F.struct(h["ord"], h["start"])
     order = lambda a, b: F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0)
     return let(F.concat(*parts), lambda all_: F.when(F.size(all_) > MOST_HITS, F.slice(F.array_sort(all_, order), 1, MOST_HITS)).otherwise(all_))
 
 
-def _merged(found: Column, least: int, src: Column) -> Column:
+def _merged(src: Column, pattern: str, least: int, kept) -> Column:
     """One span for each 500-character stretch with at least so many matches."""
-    inner = F.filter(found, lambda s: s["start"] > 0)
-    stretch = lambda s: F.floor(s["start"] / 500)
+    zero = F.struct(F.lit(-1).cast("long").alias("key"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("n"), F.expr(SPANS).alias("out"))
+
+    def closed(g: Column) -> Column:
+        value = F.substring(src, g["start"] + 1, g["end"] - g["start"])
+        return F.when(g["n"] >= least, F.concat(g["out"], F.array(F.struct(value.alias("value"), g["start"].alias("start"), g["end"].alias("end"))))).otherwise(g["out"])
 
-    def of(key: Column, all_: Column) -> Column:
-        group = F.filter(all_, lambda s: stretch(s) == key)
-        start, end = F.element_at(group, 1)["start"], F.element_at(group, -1)["end"]
-        return F.struct(F.substring(src, start + 1, end - start).alias("value"), start.alias("start"), end.alias("end"), F.size(group).alias("n"))
+    def step(g: Column, s: Column) -> Column:
+        key = F.floor(s["start"] / 500)
+        more = F.struct(key.alias("key"), g["start"].alias("start"), s["end"].alias("end"), (g["n"] + 1).alias("n"), g["out"].alias("out"))
+        new = F.struct(key.alias("key"), s["start"].alias("start"), s["end"].alias("end"), F.lit(1).alias("n"), closed(g).alias("out"))
+        return F.when((s["start"] > 0) & kept(s), F.when(key == g["key"], more).otherwise(new)).otherwise(g)
 
-    groups = let(inner, lambda m: F.transform(F.array_distinct(F.transform(m, stretch)), lambda key: of(key, m)))
-    return F.transform(F.filter(groups, lambda g: g["n"] >= least), lambda g: F.struct(g["value"].alias("value"), g["start"].alias("start"), g["end"].alias("end")))
+    return let(fold_spans(src, pattern, zero, step), closed)
 
 
 def _rank(risk: Column) -> Column:
@@ -220,9 +234,7 @@ def detect(src: Column, policy: Policy = Policy()) -> Column:
     """Final hits of an already normalised text; offsets count code points of that text."""
 
     def of(text: Column) -> Column:
-        found = let(F.lower(text), lambda low: _all_hits(policy.all_detectors(), text, low))
-        if policy.strictness != "fast":
-            found = F.filter(found, lambda h: validators.is_valid(h["value"], h["type"], around(text, h["start"], h["value"], 48), policy.strictness))
+        found = let(F.lower(text), lambda low: _all_hits(policy.all_detectors(), text, low, policy.strictness))
         kept = F.filter(resolve(found), lambda h: ~allowed(h, text, policy))
         scored = F.transform(kept, lambda h: h.withField("confidence", F.round(confidence(h, text), 6)))
         if policy.sensitivity:

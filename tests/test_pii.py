@@ -35,6 +35,21 @@ def test_core_detection(spark):
     assert got[12] == [("email", "a@b.io"), ("email", "c@d.io")]
 
 
+def test_rejected_matches_do_not_count_towards_the_cap(spark):
+    card, bad = "4539 1488 0343 6467", "4539 1488 0343 6468"
+    texts = [f"{bad}, " * 230 + f"card {card} end", f"{card}, " * 230, "at 1.2.3.4 " * 230 + " from " * 20 + "host 203.0.113.9 end", "x?sv=1&sr=2 " * 230 + "w " * 300 + "u?sv=1&sr=2&sp=3"]
+    got = hits(spark, texts)
+    assert got[0] == [("credit_card", card)] and len(got[1]) == 200
+    network = hits(spark, [texts[2].replace("at 1.2.3.4", "version 1.2.3.4")], pii.Policy(packs=("network",)))
+    assert ("ipv4", "203.0.113.9") in network[0]
+    signed = hits(spark, [texts[3]], pii.Policy(packs=("security",)))[0]
+    assert signed[-1] == ("sec_signed_url", "?sv=1&sr=2&sp=3") and len(signed) == 7
+    out = pii.redact(spark.createDataFrame([(texts[0],)], "text string")).first()["redacted"]
+    assert card not in out and out.count(bad) == 230
+    strict = hits(spark, ["4242 4242 4242 4242, " * 230 + "w " * 60 + f"card payment visa {card}"], pii.Policy(strictness="balanced"))[0]
+    assert strict == [("credit_card", card)]
+
+
 def test_region_and_network_packs(spark):
     got = hits(
         spark,
