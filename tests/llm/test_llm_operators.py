@@ -239,6 +239,12 @@ def test_toxicity_learns_and_handles_edges(spark):
     assert toxcnn.fit_on(docs_of(spark, EDGE), labels) is not None
 
 
+def test_language_of_counts_every_word():
+    sentence = "house the of and to in is that for it was on with as by this from at".split()
+    for repeats in (400, 1000):
+        assert toxcnn.LANGUAGES[toxcnn.language_of(sentence * repeats)] == "en"
+
+
 # ---- 6: search ------------------------------------------------------------------------
 
 
