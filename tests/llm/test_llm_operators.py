@@ -256,9 +256,9 @@ def test_top_k_matches_brute_force(spark, monkeypatch, kind):
     rows = [(k, [float(x) for x in v[k]]) for k in range(260)]
     bad = [(260, None), (280, [1.0, None]), (300, [float("nan")]), (320, [float("inf"), 1.0]), (None, [1.0] * 6)]
     table = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>")
-    for name, value in (("SHARD_ROWS", 64), ("QUERY_ROWS", 5), ("LEAF", 8)):
+    for name, value in (("SHARD_BYTES", 48 * 64), ("QUERY_ROWS", 5), ("BLOCK", 3), ("LEAF", 8)):
         monkeypatch.setattr(balltree, name, value)
-    got = balltree.top_k(table, table.where("vec_id % 20 = 0"), 7).collect()
+    got = balltree.top_k(table, F.expr("vec_id % 20 = 0"), 7).collect()
     whole = [[int(np.floor(64 * x)) for x in row] for row in v]
     for q in range(0, 260, 20):
         best = sorted((-sum(a * b for a, b in zip(whole[q], whole[k])), k) for k in range(260) if k != q)[:7]
@@ -269,9 +269,28 @@ def test_top_k_matches_brute_force(spark, monkeypatch, kind):
 
 def test_top_k_few_and_none(spark):
     table = spark.createDataFrame([(0, [1.0]), (20, [2.0, 3.0]), (5, [])], "vec_id long, embedding array<float>")
-    got = balltree.top_k(table, table.where("vec_id % 20 = 0")).collect()
+    got = balltree.top_k(table, F.expr("vec_id % 20 = 0")).collect()
     assert {(r.query_id, r.vec_id, r.score) for r in got} == {(0, 20, 64 * 128), (0, 5, 0), (20, 0, 64 * 128), (20, 5, 0)}
-    assert balltree.top_k(table.limit(0), table.limit(0)).count() == 0
+    assert balltree.top_k(table.limit(0), F.lit(True)).count() == 0
+    assert balltree.top_k(table, F.lit(False)).count() == 0
+
+
+def test_top_k_repeated_ids_and_rows(spark, monkeypatch):
+    """Rows that share an id, or are equal, are rows of their own; only the own row is left out."""
+    rng = np.random.default_rng(4)
+    rows = [(int(k), [float(x) for x in rng.integers(-3, 4, 4)]) for k in rng.integers(0, 60, 150)]
+    rows += [(40, [1.0, 2.0, 0.0, 1.0])] * 30 + [(k % 7 * 20, [1.0, 2.0, 0.0, 1.0]) for k in range(40)] + [(20, [9.0, 9.0]), (20, [9.0, 9.0])]
+    table = spark.createDataFrame([(i, v, 0, 0) for i, v in rows], "vec_id long, embedding array<float>, key int, asked int")
+    for name, value in (("SHARD_BYTES", 8 * 4 * 20), ("QUERY_ROWS", 6), ("BLOCK", 4), ("LEAF", 4)):
+        monkeypatch.setattr(balltree, name, value)
+    got = balltree.top_k(table, F.expr("vec_id % 20 = 0"), 5).collect()
+    whole = [[int(64 * x) for x in v] for _, v in rows]
+    want = []
+    for q, (query, _) in enumerate(rows):
+        if query % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(whole[q], whole[c])), rows[c][0], c) for c in range(len(rows)) if c != q)[:5]
+            want += [(query, n + 1, i, -s) for n, (s, i, _) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 # ---- 7 and 10: spans ------------------------------------------------------------------
