@@ -1,23 +1,32 @@
 """Main text of HTML pages by two passes over text blocks.
 
 The page is cut into blocks at block-level tags (and at two line breaks in a row). First
-pass, from length, stop-word density and link density: *good*, *bad*, or undecided (*near*
-good, or *short*). Second pass: an undecided block takes the label of its nearest decided
-neighbours in its container; if they differ the nearer one counts, at equal distance a near
-block or a heading before a good block is good and a short one bad.
+pass, from length, stop-word density and link density: *good* (long and dense), *bad* (links,
+furniture, or prose too thin to be any), or undecided (*near*: fairly dense, *thin*: sparse but
+inside an article or free of links, *short*). Second pass: an undecided block takes the label of its nearest
+decided neighbours in its container; if they differ the nearer one counts, at equal distance a
+near block or a heading before a good block is good and a short one bad. Where a container has
+no decided block, near and article blocks are good and the others bad.
 
 Structure is evidence too. Blocks in navigation, page headers and footers, sidebars, forms,
-scripts and elements whose class, id or role names them as such are bad. Inside ``article``
-or ``main`` a long block is good whatever its words, and with no decided neighbour there the
-block is good; if such a container has any good block, blocks outside are bad.
+scripts and elements whose class, id or role names them as such are bad; a form that holds most
+of the page's text is no furniture. ``article`` and ``main`` make containers: sparse blocks
+inside are undecided and not bad, and if containers hold at least as much good text as the rest
+of the page, the rest is bad; else they were teasers and count like the rest.
+
+The stop words are those of German, English, Spanish, French, Italian and Portuguese. A page on
+which they are less than ``SPOKEN`` of the words is in another language: there length and link
+density decide alone.
 
 Character references are decoded, white space inside a block becomes one space, and good
 blocks are joined by two line feeds in page order; nothing else is dropped or cut.
 
 Null html counts as empty and gives an empty text; so does a page without good blocks.
-Malformed markup is read leniently: unclosed tags, quotes and comments never raise, and time
-is linear in the page's length. Repeated rows are each returned. Extra columns are ignored;
-an empty table gives an empty result.
+Malformed markup is read leniently and never raises: as in browsers, an unclosed comment, script
+or style runs to the page's end; from a tag on that never closes outside quotes, tags end at the
+first ``>``. Time is linear in the page's length, and a task holds one batch of pages, so a very
+long page costs its own length. Repeated rows are each returned; equal pages get equal texts.
+Extra columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +43,7 @@ from pyspark.sql import functions as F
 #: Fixed element names.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED_TAGS = frozenset("aside audio button canvas dialog form footer head header iframe map menu nav noscript object script select style svg template textarea title video".split())
+SKIPPED_TAGS = frozenset("aside audio button canvas dialog footer head header iframe map menu nav noscript object script select style svg template textarea title video".split())
 RAW_TAGS = frozenset("script style textarea title noscript iframe".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that a start tag of the same kind, or any block for ``p``, closes.
@@ -56,9 +65,13 @@ STOP_WORDS = frozenset(
     "qu que qui s se sein si sich sie sind son sont su sur sus t that the their they this to um un una und une uno von vous war was we were wie will with y you zu zum zur à".split()
 )
 SHORT, LONG, LINKED, LOW, HIGH = 70, 200, 0.5, 0.2, 0.3
+#: Share of stop words from which on a page is taken to be in one of their languages.
+SPOKEN = 0.05
 
 _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""")
 _NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
+#: A tag that ends at the first ``>``, quoted or not.
+_PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
 _PARTS = re.compile(r"[A-Za-z]+")
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
 
@@ -70,6 +83,8 @@ class Block:
     noise: bool = False
     heading: bool = False
     container: int = 0
+    #: Inside a form, which makes it furniture unless most of the page is.
+    form: bool = False
     text: str = ""
     label: str = ""
 
@@ -98,7 +113,7 @@ def blocks_of(page: str) -> list[Block]:
         if block.parts and (text := " ".join("".join(block.parts).split())):
             block.text = text
             out.append(block)
-        block = Block(noise=noise, container=container, heading=any(opened.get(h) for h in HEADINGS))
+        block = Block(noise=noise, container=container, heading=any(opened.get(h) for h in HEADINGS), form=bool(opened.get("form")))
 
     def add(text: str) -> None:
         nonlocal breaks
@@ -122,16 +137,20 @@ def blocks_of(page: str) -> list[Block]:
                 break
         noise, container = stack[-1][1:] if stack else (False, 0)
 
-    at, size = 0, len(page)
+    at, size, tag_at = 0, len(page), _TAG
     while at < size:
         begin = page.find("<", at)
         if begin < 0:
             add(page[at:])
             break
         add(page[at:begin])
-        m = _TAG.match(page, begin)
+        m = tag_at.match(page, begin)
         if m is None:
             follows = page[begin + 1 : begin + 2]
+            if follows.isalpha() and tag_at is _TAG and page.find(">", begin) >= 0:
+                tag_at = _PLAIN_TAG  # looked to the end once; never again
+                at = begin
+                continue
             if page.startswith("<!--", begin):
                 end = page.find("-->", begin + 4)
                 at = end + 3 if end >= 0 else size
@@ -184,20 +203,26 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def _first_pass(block: Block) -> str:
+def stop_words(text: str) -> tuple[int, int]:
+    """How many of a text's words are stop words, and how many words it has."""
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words), len(words)
+
+
+def _first_pass(block: Block, spoken: bool) -> str:
     size = len(block.text)
     link = block.linked / size
     if block.noise or link > LINKED or (size < LONG and "©" in block.text and not block.container):
         return "bad"
     if size < SHORT:
         return "bad" if link > 0 and not block.container else "short"
-    if block.container:
+    stops, words = stop_words(block.text)
+    density = stops / words if spoken else HIGH
+    if density >= HIGH and size > LONG:
         return "good"
-    words = block.text.lower().split()
-    stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-    if stops >= HIGH:
-        return "good" if size > LONG else "near"
-    return "near" if stops >= LOW else "bad"
+    if density >= LOW:
+        return "near"
+    return "thin" if block.container or (density >= LOW / 2 and not link) else "bad"
 
 
 def _second_pass(blocks: list[Block]) -> None:
@@ -228,17 +253,28 @@ def _second_pass(blocks: list[Block]) -> None:
             block.label = "good" if first[k] == "near" or block.container else "bad"
 
 
+def _size(blocks: list[Block], wanted) -> int:
+    return sum(len(b.text) for b in blocks if wanted(b))
+
+
 def labelled(page: str | None) -> list[Block]:
     """All blocks of a page with label good or bad."""
     blocks = blocks_of(page or "")
+    in_forms = _size(blocks, lambda b: b.form and not b.noise)
+    if 2 * in_forms <= _size(blocks, lambda b: not b.noise):
+        for b in blocks:
+            b.noise = b.noise or b.form
+    counts = [stop_words(b.text) for b in blocks if not b.noise]
+    spoken = sum(x for x, _ in counts) >= SPOKEN * sum(n for _, n in counts)
     by_container: dict[int, list[Block]] = {}
     for b in blocks:
-        b.label = _first_pass(b)
+        b.label = _first_pass(b, spoken)
         if not b.noise:
             by_container.setdefault(b.container, []).append(b)
     for group in by_container.values():
         _second_pass(group)
-    if any(b.container and b.label == "good" for b in blocks):
+    inside, outside = (_size(blocks, lambda b: b.label == "good" and bool(b.container) == where) for where in (True, False))
+    if inside and inside >= outside:
         for b in blocks:
             if not b.container:
                 b.label = "bad"
