@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -84,6 +85,22 @@ def test_near_duplicates_empty_and_repeated(spark):
     assert got == sorted([(0, 2, 0, True), (1, 2, 0, False)] * 2 + [(None, 2, None, True)] * 2, key=str)
 
 
+def test_near_duplicates_of_repeated_ids(spark, monkeypatch):
+    """Rows that share an id but not a text are linked each by its own text, in any row order."""
+    monkeypatch.setattr(neardup, "HOT_ROWS", 2)
+    words = [f"w{k}" for k in range(40)]
+    near = [*words[:20], "other", *words[21:]]
+    lone = " ".join(f"q{k}" for k in range(30))
+    rows = [(5, lone), (5, " ".join(words)), (6, " ".join(near)), (4, lone.upper()), (9, "x"), (9, "x"), (9, "y"), (7, None), (7, "")] + [(20 + k, " ".join([*words, f"tail{k}"])) for k in range(9)]
+    want = sorted([(5, 26, 4), (5, 36, 5), (6, 36, 5), (4, 26, 4), (9, 1, 9), (9, 1, 9), (9, 1, 9), (7, 0, 7), (7, 0, 7)] + [(20 + k, 37, 5) for k in range(9)])
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, f"c{i}") for i, t in order], "doc_id long, text string, `a.b` string")
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs).collect()) == want
+        kept = neardup.one_of_each(docs)
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted([(4, lone.upper()), (5, " ".join(words)), (7, ""), (7, ""), (9, "x"), (9, "y")])
+
+
 def test_components_long_chain(spark):
     links = spark.range(200).selectExpr("id + 1 AS a", "id AS b")
     assert {(r.id, r.component) for r in neardup.components(links).collect()} == {(k, 0) for k in range(1, 201)}
@@ -168,28 +185,58 @@ def test_plan_is_near_the_bound():
 # ---- 3: mixing ------------------------------------------------------------------------
 
 
+def ran_within_a_block(plan, weights):
+    """After every slot each source in the mixture, until used up, is within a block of its weight."""
+    total = sum(weights.values())
+    blocks = {s: sum(r["source"] == s for r in plan) for s in weights}
+    ran = dict.fromkeys(weights, 0)
+    for r in sorted(plan, key=lambda r: r["slot"]):
+        for s, w in weights.items():
+            if w and ran[s] < blocks[s]:
+                assert abs(ran[s] - Fraction(r["slot"]) * w / total) < 1, (s, r["slot"])
+        ran[r["source"]] += 1
+        if weights[r["source"]]:
+            assert r["release"] <= r["slot"] < r["deadline"] and r["block"] == ran[r["source"]]
+
+
 def test_mixture_deviates_by_less_than_a_block(spark):
     sources = ["a"] * 400 + ["b"] * 100 + ["c"] * 9 + [None] * 3
     docs = docs_of(spark, ["t"] * len(sources), sources)
-    plan = mixing.schedule(docs, resolution=97).orderBy("slot").collect()
-    cycle = plan[0]["cycle"]
-    assert [r["slot"] for r in plan] == list(range(cycle))
-    ran = {}
-    for r in plan:
-        assert r["release"] <= r["slot"] < r["deadline"]
-        ran[r["source"]] = ran.get(r["source"], 0) + 1
-        for s in plan:
-            assert abs(ran.get(s["source"], 0) - (r["slot"] + 1) * s["u"] / cycle) < 1
-    mixed = mixing.mix(docs, resolution=97, block_docs=4)
+    plan = mixing.schedule(docs, block_docs=4).collect()
+    assert [r["slot"] for r in plan] == sorted({r["slot"] for r in plan})
+    ran_within_a_block(plan, {r["source"]: r["u"] for r in plan})
+    mixed = mixing.mix(docs, block_docs=4)
     assert mixed.count() == len(sources) and mixed.select("__mix_order").distinct().count() == len(sources)
     assert mixing.mix(docs, weights={"a": 1.0, "c": 3.0}).count() == len(sources)
     assert mixing.mix(docs_of(spark, [])).count() == 0
 
 
+def test_mixture_follows_exact_weights_over_the_whole_run(spark):
+    """One hot source, many small ones, weights that no short cycle can hold, and none at all."""
+    weights = {"hot": 0.6471, **{f"s{k}": 0.0171 + k * 0.00013 for k in range(20)}, "off": 0.0}
+    sources = ["hot"] * 1500 + [f"s{k}" for k in range(20) for _ in range(40)] + ["off"] * 5 + ["unnamed"] * 5
+    docs = docs_of(spark, ["t"] * len(sources), sources)
+    plan = mixing.schedule(docs, weights=weights, block_docs=1).collect()
+    assert len(plan) == len(sources)
+    ran_within_a_block(plan, {**{s: Fraction(str(w)) for s, w in weights.items()}, "unnamed": Fraction(0)})
+    last = max(r["slot"] for r in plan if r["deadline"] is not None)
+    assert {r["source"] for r in plan if r["slot"] > last} == {"off", "unnamed"}
+    assert mixing.whole_weights({"a": 0.1, "b": 0.35}) == {"a": 2, "b": 7}
+    with pytest.raises(ValueError):
+        mixing.whole_weights({"a": -1})
+
+
+def test_mixture_block_count_is_bounded():
+    for rows in (0, 1, 10**5, 10**7, 10**12):
+        assert rows / mixing.block_size(rows) <= mixing.MOST_BLOCKS and mixing.block_size(rows) >= mixing.BLOCK_DOCS
+
+
 def test_mixture_keeps_rows_and_columns(spark):
     docs = docs_of(spark, EDGE, [f"s{k % 3}" for k in range(len(EDGE))])
+    docs = docs.withColumnRenamed("spans", "a.b").withColumnRenamed("id", "__key")
     out = mixing.in_mix_order(docs.unionByName(docs))
     assert out.columns == docs.columns and out.count() == 2 * len(EDGE)
+    assert sorted(map(str, out.collect())) == sorted(map(str, docs.unionByName(docs).collect()))
 
 
 # ---- 4: chat --------------------------------------------------------------------------
@@ -444,3 +491,85 @@ def test_html_wrappers_headers_and_hidden():
     page = f"""<div class="content-sidebar-wrap"><article><div class="entry-header"><h1>Head</h1></div><p>{body}</p><p hidden>{body}</p><div style="display: none">x y</div><p>End.</p></article>
     <div class="site-header">{body}</div></div>"""
     assert htmlblocks.main_text(page) == "\n\n".join(["Head", " ".join(body.split()), "End."])
+
+
+PROSE = "This is the first of the paragraphs and it is long enough to be the kind of text that the rules take as good, with the usual words in it. " * 2
+LISTED = "Widget blue large 2024, gadget red small 2023, doohickey green medium 2022, thingamajig grey huge 2021, contraption pink tiny 2020 " * 2
+
+
+def test_html_without_containers():
+    """Neither pass can be left out where no element says what is the article."""
+    page = f"<body><div><p>{LISTED}</p></div><div><h2>Head</h2><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p></div><div><p><a href=x>More about this and that and the other things here</a></p><p>Call us</p></div>"
+    prose = " ".join(PROSE.split())
+    assert htmlblocks.main_text(page) == "\n\n".join(["Head", prose, "Short one.", prose])
+
+
+def test_html_passes_decide(monkeypatch):
+    page = f"<body><article><p>{LISTED}</p><p><a href=x>{PROSE}</a></p><p>End.</p><p>{PROSE}</p></article><div>{LISTED}</div>"
+    want = "\n\n".join(["End.", " ".join(PROSE.split())])
+    assert htmlblocks.main_text(page) == want
+    with monkeypatch.context() as m:
+        m.setattr(htmlblocks, "stop_words", lambda text: (len(text.split()), len(text.split())))
+        assert htmlblocks.main_text(page) != want
+    monkeypatch.setattr(htmlblocks, "_second_pass", lambda blocks: None)
+    assert htmlblocks.main_text(page) != want
+
+
+def test_html_second_pass_matches_brute_force():
+    """Nearest decided neighbours, looked for one by one."""
+    rng = random.Random(3)
+
+    def nearest(labels, k, step):
+        while 0 <= (k := k + step) < len(labels):
+            if labels[k] in ("good", "bad"):
+                return k
+        return None
+
+    for _ in range(500):
+        labels = [rng.choice(["good", "bad", "near", "thin", "short"]) for _ in range(rng.randrange(1, 12))]
+        blocks = [htmlblocks.Block(text="x", label=x, container=rng.randrange(2), heading=rng.random() < 0.2) for x in labels]
+        want = []
+        for k, (label, b) in enumerate(zip(labels, blocks)):
+            left, right = nearest(labels, k, -1), nearest(labels, k, 1)
+            ends = {labels[i] for i in (left, right) if i is not None}
+            if label in ("good", "bad"):
+                want.append(label)
+            elif not ends:
+                want.append("good" if b.container or label == "near" else "bad")
+            elif len(ends) == 1:
+                want.append(ends.pop())
+            elif b.heading and labels[right] == "good":
+                want.append("good")
+            elif k - left != right - k:
+                want.append(labels[left] if k - left < right - k else labels[right])
+            else:
+                want.append("good" if label == "near" or b.container else "bad")
+        htmlblocks._second_pass(blocks)
+        assert [b.label for b in blocks] == want
+
+
+def test_html_forms_languages_teasers_and_repeats(spark):
+    prose = " ".join(PROSE.split())
+    assert htmlblocks.main_text(f"<body><form action=x><p>{PROSE}</p><input name=q></form>") == prose
+    assert htmlblocks.main_text(f"<body><p>{PROSE}</p><form><p>Name and mail</p></form>") == prose
+    polish = "Wszystkie dzieci szybko pobiegły nad jezioro, gdzie czekały już łódki, wiosła oraz wielki kosz pełen jabłek, gruszek, śliwek i świeżego chleba z masłem od babci. " * 2
+    assert htmlblocks.main_text(f"<div><p>{polish}</p></div><div><a href=x>{polish}</a></div>") == " ".join(polish.split())
+    cards = f"<body><article><p>{PROSE}</p></article><div><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></div>"
+    assert htmlblocks.main_text(cards) == "\n\n".join([prose] * 4)
+    rows = [(1, "u", f"<p>{PROSE}</p>", 0)] * 2 + [(None, None, None, 1)]
+    got = htmlblocks.extract(spark.createDataFrame(rows, "page_id long, url string, html string, `a.b` int"), ["page_id"]).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, prose), (1, prose), (None, "")], key=str)
+    assert htmlblocks.extract(spark.createDataFrame([], "page_id long, html string"), ["page_id"]).count() == 0
+
+
+def test_html_time_is_linear():
+    import time
+
+    def took(n):
+        begin = time.perf_counter()
+        for piece in ('<a ">" ', "<p>", "<!", "<div class='", "< ", "&lt;<b>"):
+            htmlblocks.main_text(piece * n)
+        return time.perf_counter() - begin
+
+    took(1000)
+    assert took(40_000) < 12 * took(10_000) + 1
