@@ -2,24 +2,27 @@
 
 Method
 ------
-1. Each whole text becomes its set of 5-word shingle hashes. Equal word sequences collapse
-   to their smallest ``doc_id`` by an aggregate, so copies are never paired.
+1. Each whole text becomes its set of 5-word shingle hashes. Equal word sequences are one node
+   of the graph, whatever their ids, so copies are never paired.
 2. 128 MinHash samples give 32 bands of 4. A pair at Jaccard 0.75 shares no band with
    probability (1 - 0.75^4)^32 = 5e-6.
 3. The samples are folded into a 512-bit parity bitmap (odd sketch). The population count z
    of two bitmaps' XOR gives 1 + 512/(4*128) * ln(1 - 2z/512) as the similarity estimate;
    a candidate below ``SKETCH_FLOOR`` (five standard errors under the threshold) is dropped.
-4. Star pass: each bucket's members are compared with its smallest id only, so a hot bucket
-   costs one row per member. Links are confirmed on the full sets.
-5. Residual pass: buckets that still hold several groups are cut into blocks of
-   ``BLOCK`` rows; block pairs compare sketches across groups, then intersect full sets as a
-   matrix product. Only links that join two groups of a block pair leave the task.
+4. Star pass: each bucket's members are compared with its smallest node only, so a hot bucket
+   costs one row per member. Links are confirmed on the full sets; a centre with more than
+   ``HOT_ROWS`` partners is confirmed in as many parts.
+5. Residual pass: buckets that still hold several groups are cut into blocks of about ``BLOCK``
+   rows and ``BLOCK_SHINGLES`` shingles; block pairs compare sketches across groups, then
+   intersect full sets as a matrix product. Only links that join two groups of a block pair
+   leave the task.
 6. Components are labelled by alternating large-star and small-star steps, all distributed.
 
 Nulls and texts without words have an empty set and stay alone. Rows whose ``doc_id`` is null
 keep null component and are never linked. Extra columns are ignored. An empty table gives an
-empty result. Repeated doc_ids count as one document in the component graph: each row is
-returned, with the component of its text.
+empty result. Rows that repeat a doc_id are rows of their own, each with the component of its
+text, whose label is the smallest doc_id of any row in it. A very long text costs time and
+memory in proportion to its words, in the one task that holds it.
 """
 
 from __future__ import annotations
@@ -38,7 +41,9 @@ from sievetext.session import cut_lineage
 
 SAMPLES, BANDS, SKETCH_BITS = 128, 32, 512
 SKETCH_FLOOR = 0.56
-BLOCK = 512
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Rows of one key that a join handles in one part.
+HOT_ROWS = 4096
 #: Ids (8 bytes each) that are sent to every executor; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _RNG = np.random.default_rng(20_240_501)
@@ -94,20 +99,30 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = words_of(text.as_py())
                 shingles = shingle_hashes(hashes.of(words))
                 sizes.append(len(shingles))
-                keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                keys.append(words_key(words))
                 samples.append(min_samples(shingles))
             samples = np.array(samples)
             bands, sketches = band_keys(samples), odd_sketches(samples)
             yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), list_column(list(bands), pa.int64()), list_column(list(sketches), pa.int64())],
-                ["doc_id", "n_shingles", "words_key", "bands", "sketch"],
+                [part["doc_id"], part["text_key"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), list_column(list(bands), pa.int64()), list_column(list(sketches), pa.int64())],
+                ["doc_id", "text_key", "n_shingles", "words_key", "bands", "sketch"],
             )
 
 
+def words_key(words: list[bytes]) -> bytes:
+    """128 bits that stand for a word sequence."""
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
+def text_key(text: F.Column) -> F.Column:
+    """128 bits that stand for a text as it is; a null text counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+
+
 def features(docs: DataFrame) -> DataFrame:
-    """n_shingles, a 128-bit key of the word sequence, band keys and odd sketch of each row."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _features, "doc_id long, n_shingles long, words_key binary, bands array<long>, sketch array<long>"
+    """Keys of the text and of its words, n_shingles, band keys and odd sketch of each row."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key(F.col("text")).alias("text_key")).mapInArrow(
+        _features, "doc_id long, text_key binary, n_shingles long, words_key binary, bands array<long>, sketch array<long>"
     )
 
 
@@ -116,16 +131,29 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin in range(0, batch.num_rows, 256):
             part = batch.slice(begin, 256)
-            sets = [shingle_hashes(hashes.of(words_of(t.as_py()))).view(np.int64) for t in part["text"]]
-            yield pa.RecordBatch.from_arrays([part["doc_id"], list_column(sets, pa.int64())], ["id", "shingles"])
+            words = [words_of(t.as_py()) for t in part["text"]]
+            sets = [shingle_hashes(hashes.of(w)).view(np.int64) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array([words_key(w) for w in words], pa.binary()), list_column(sets, pa.int64())], ["words_key", "shingles"])
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, shingles) of the documents whose ids are listed, from their whole texts."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    wanted = F.broadcast(ids) if few else ids
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
-    return cut_lineage(texts.mapInArrow(_sets, "id long, shingles array<long>").dropDuplicates(["id"]))
+def shingle_sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, shingles) of the nodes whose ids are listed, from their whole texts."""
+    wanted = cut_lineage(nodes.join(ids, "id", "left_semi").select("id", "rep", "words_key"))
+    hint = F.broadcast if wanted.count() <= BROADCAST_IDS else (lambda x: x)
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(hint(wanted.select("rep").distinct()), F.col("doc_id") == F.col("rep"), "left_semi")
+    sets = texts.mapInArrow(_sets, "words_key binary, shingles array<long>").dropDuplicates(["words_key"])
+    return cut_lineage(sets.join(wanted.select("id", "words_key"), "words_key").select("id", "shingles"))
+
+
+def join_split(many: DataFrame, few: DataFrame, key: str, by: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``many`` joined to ``few``, which has a row a key; keys in ``hot`` (key, rows) are split by column ``by``."""
+    hot = cut_lineage(hot.where(F.col("rows") > HOT_ROWS).select(key, F.ceil(F.col("rows") / HOT_ROWS).cast("int").alias("__parts")))
+    hint = F.broadcast if hot.count() <= BROADCAST_IDS else (lambda x: x)
+    part = F.coalesce(F.pmod(F.xxhash64(by), F.col("__parts")).cast("int"), F.lit(0))
+    left = many.join(hint(hot), key, "left").withColumn("__part", part).drop("__parts")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))
+    right = few.join(hint(hot), key, "left").withColumn("__part", every).drop("__parts")
+    return left.join(right, [key, "__part"], how).drop("__part")
 
 
 def _bits_apart(a: str, b: str):
@@ -138,7 +166,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("b_set"))
     both = F.size(F.array_intersect("a_set", "b_set")).cast("long")
     union = F.size("a_set") + F.size("b_set") - both
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * union).select("a", "b")
+    hot = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("rows"))
+    return join_split(pairs.join(right, "b"), left, "a", "b", hot).where(100 * both >= percent * union).select("a", "b")
 
 
 def _shared_earlier(mine: np.ndarray, theirs: np.ndarray, key: int) -> np.ndarray:
@@ -267,46 +296,83 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``(doc_id, text)."""
-    found = cut_lineage(features(docs))
-    sized = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    first = cut_lineage(sized.groupBy("words_key").agg(F.min("doc_id").alias("rep")))
-    reps = first.join(sized.where("doc_id IS NOT NULL").select("doc_id", "bands", "sketch"), F.col("rep") == F.col("doc_id")).select(F.col("rep").alias("id"), "bands", "sketch")
-    reps = cut_lineage(reps.dropDuplicates(["id"]))
-    sketches = reps.select("id", "sketch")
-
-    keys = reps.select("id", F.explode("bands").alias("bkey"))
-    shared = keys.groupBy("bkey").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = cut_lineage(keys.join(shared, "bkey"))
+def _links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) that connect the nodes of each group."""
+    keys = nodes.select("id", "n_shingles", F.explode("bands").alias("bkey"))
+    shared = keys.groupBy("bkey").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("weight")).where("members > 1")
+    members = cut_lineage(keys.join(shared, "bkey").drop("n_shingles"))
 
+    sketches = nodes.select("id", "sketch")
     star = members.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     star = star.join(sketches.toDF("a", "a_sketch"), "a").join(sketches.toDF("b", "b_sketch"), "b").where(_bits_apart("a_sketch", "b_sketch") <= MOST_BITS)
     star = cut_lineage(star.select("a", "b"))
     ids = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct()
-    star_links = cut_lineage(confirm(star, shingle_sets(docs, ids), percent))
+    star_links = cut_lineage(confirm(star, shingle_sets(docs, nodes, ids), percent))
 
     near = star_links.groupBy("b").agg(F.min("a").alias("up"))
     far = near.select(F.col("b").alias("up"), F.col("up").alias("top"))
     label = near.join(far, "up", "left").select(F.col("b").alias("id"), F.coalesce("top", "up").alias("near"))
-    labelled = members.join(label, "id", "left").select("bkey", "id", "members", F.coalesce("near", "id").alias("label"))
+    labelled = members.join(label, "id", "left").select("bkey", "id", "members", "weight", F.coalesce("near", "id").alias("label"))
     labelled = cut_lineage(labelled)
     open_keys = labelled.groupBy("bkey").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bkey")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
     rest = labelled.join(open_keys, "bkey").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("bkey", "id", "label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
-    rest = rest.join(reps, "id").repartition("bkey", "i", "j").sortWithinPartitions("bkey", "i", "j", "id")
+    rest = rest.join(nodes.select("id", "bands", "sketch"), "id").repartition("bkey", "i", "j").sortWithinPartitions("bkey", "i", "j", "id")
     row = "id long, bkey long, label long, i int, j int, side int, bands array<long>, sketch array<long>"
     rest = rest.select("id", "bkey", "label", "i", "j", "side", "bands", "sketch").mapInArrow(_screen, row)
     rest = cut_lineage(rest)
-    sets = shingle_sets(docs, rest.select("id").distinct())
+    sets = shingle_sets(docs, nodes, rest.select("id").distinct())
     rest = rest.join(sets, "id").repartition("bkey", "i", "j").sortWithinPartitions("bkey", "i", "j", "id")
-    rest_links = rest.mapInArrow(_confirm_blocks(percent), "a long, b long")
-
-    component = components(star_links.unionByName(rest_links))
-    whole = first.join(component, F.col("rep") == F.col("id"), "left").select("words_key", F.coalesce("component", "rep").alias("found"))
-    whole = cut_lineage(whole)
-    merged = found.select("doc_id", "n_shingles", "words_key").join(whole, "words_key", "left")
-    component_id = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("found")).otherwise(F.col("doc_id"))
-    return merged.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
+    return star_links.unionByName(rest.mapInArrow(_confirm_blocks(percent), "a long, b long"))
+
+
+def grouped_rows(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, text_key, n_shingles, group and component_id (its smallest doc_id) of every row.
+
+    ``group`` is null for rows without words or id.
+    """
+    found = cut_lineage(features(docs))
+    sized = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    alike = sized.groupBy("words_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")])
+    # nullable, as links from Python are: checkpoints of a union of both kinds can't be joined to themselves
+    nodes = cut_lineage(alike.withColumn("id", F.nullif(F.monotonically_increasing_id(), F.lit(-1))))
+    component = components(_links(docs, nodes, percent))
+    component = component.unionByName(component.select(F.col("component").alias("id"), "component").distinct())
+    joined = nodes.select("id", "rep").join(component, "id")
+    least = joined.groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("rows"))
+    tops = join_split(component, least.select("component", "least"), "component", "id", least.select("component", "rows"))
+    whole = nodes.select("id", "rep", "words_key").join(tops, "id", "left")
+    whole = cut_lineage(whole.select("words_key", F.coalesce("component", "id").alias("group"), F.coalesce("least", "rep").alias("found")))
+    usable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    rows = found.select("doc_id", "text_key", "n_shingles", "words_key", F.coalesce("doc_id", F.xxhash64("text_key")).alias("__by"))
+    merged = join_split(rows, whole, "words_key", "__by", nodes.select("words_key", "rows"), "left")
+    return merged.select("doc_id", "text_key", "n_shingles", F.when(usable, F.col("group")).alias("group"), F.when(usable, F.col("found")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``(doc_id, text)."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return grouped_rows(docs, percent).select("doc_id", "n_shingles", "component_id", kept)
+
+
+def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: of the smallest doc_id, then text key.
+
+    Rows without words or without an id all stay; of rows alike in id and text one stays.
+    """
+    rows = cut_lineage(grouped_rows(docs, percent).where("group IS NOT NULL").groupBy("group", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies")))
+    first = rows.groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count(F.lit(1)).alias("rows"))
+    several = cut_lineage(first.where("rows > 1"))
+    gone = join_split(rows, several.select("group", "first"), "group", "text_key", several.select("group", "rows")).where(F.struct("doc_id", "text_key") != F.col("first"))
+    gone = cut_lineage(gone.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")))
+    twice = cut_lineage(rows.where("copies > 1").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("key"))
+    hint = F.broadcast if gone.count() <= BROADCAST_IDS else (lambda x: x)
+    rest = whole.join(hint(gone), ["id", "key"], "left_anti")
+    if repeated := twice.count():
+        hint = F.broadcast if repeated <= BROADCAST_IDS else (lambda x: x)
+        more = rest.join(hint(twice), ["id", "key"], "left_semi").groupBy("id", "key").agg(F.min_by("doc", F.to_json("doc")).alias("doc"))
+        rest = rest.join(hint(twice), ["id", "key"], "left_anti").select("doc").unionByName(more.select("doc"))
+    return rest.select("doc.*")
