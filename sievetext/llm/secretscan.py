@@ -3,18 +3,26 @@
 Base spans are leftmost non-overlapping matches of three patterns; a match that fails its
 length test is dropped and its characters are not tried again.
 
-Novelty adds spans of kind ``novel``. A candidate is a run of at least 16 token characters
-with letters and digits, within ``REACH`` characters after a sensitive word, clear of base
-spans. A run is cut behind each ``=`` that is no padding, and its parts are candidates; for a
-part, a sensitive word within the run before it counts too (``aws_secret_access_key=...``). If
-no part is reported, the run is measured whole. A candidate's cost is the size of its zstandard frame, primed with a dictionary of identifiers
-and with the text around it (its own copies taken out), less that of an empty frame.
-Ordinary identifiers and repeated prose are found in the dictionary and cost little; random
-strings cost about a byte a character. From ``NOVEL`` bytes a character on it is reported.
+The identifier dictionary is learned from the corpus: every identifier (words joined by
+``_``, ``.`` or ``-``, or in camel case) of every whole text is counted, and those that save the
+most (occurrences x length) fill ``DICTIONARY_BYTES`` beside a few fixed ones. Strings with
+digits inside are no identifiers, so a secret that many documents repeat does not enter.
+
+A string's novelty is the size of its zstandard frame, primed with that dictionary and with the
+text around it (its own copies taken out), less that of an empty frame, for each character.
+Identifiers and repeated prose are found in the dictionary and cost little; random strings cost
+about a byte a character. It is the score of every span: of a base span's value, which stays
+whatever its score, and of the spans of kind ``novel``. These are runs of at least ``SHORTEST``
+token characters, with letters and with digits or changing case, within ``REACH`` characters
+after a sensitive word, clear of base spans, from ``NOVEL`` bytes a character on. A run is cut
+behind each ``=`` that is no padding, and its parts are candidates; for a part, a sensitive word
+within the run before it counts too (``aws_secret_access_key=...``). If no part is reported, the
+run is measured whole.
 
 Null text counts as empty; an empty text has no spans. Repeated rows are each returned,
-equal texts get equal spans, ties in start go by kind as listed. Extra columns are ignored;
-an empty table gives an empty result. Time is linear in the text's length.
+equal texts get equal spans, ties in start go by kind as listed. Extra columns are ignored,
+whatever their names; an empty table gives an empty result. Time and memory are linear in the
+text's length, which a task holds whole.
 """
 
 from __future__ import annotations
@@ -23,6 +31,7 @@ import re
 
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sievetext.llm.spans import Span, map_spans
 
@@ -35,12 +44,17 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 
 CONTEXT_WORDS = ("access", "apikey", "api_key", "auth", "bearer", "credential", "passphrase", "passw", "private", "pwd", "secret", "signature", "token", "key")
 CONTEXT = re.compile("|".join(CONTEXT_WORDS), re.IGNORECASE | re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.-]{16,}")
+SHORTEST = 12
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=~.-]{{{SHORTEST},}}")
 #: Parts of a run; ``=`` stays where it is padding.
-PART = re.compile(r"[A-Za-z0-9+/_~.-]{16,}(?:=+$)?")
+PART = re.compile(rf"[A-Za-z0-9+/_~.-]{{{SHORTEST},}}(?:=+$)?")
+CASES = re.compile(r"[a-z][A-Z]")
 REACH, AROUND, NOVEL = 48, 512, 0.75
 LEVEL = 3
-#: Fixed words of the identifier dictionary.
+#: Words joined by separators, or camel case.
+IDENTIFIER = r"(?<![A-Za-z0-9_])(?:[A-Za-z]{2,16}(?:[_.-][A-Za-z]{2,16})+|[a-z]{2,16}(?:[A-Z][a-z]{1,16})+)(?![A-Za-z0-9_])"
+DICTIONARY_BYTES = 1 << 14
+#: Fixed words that open the identifier dictionary.
 IDENTIFIERS = (
     "access_token refresh_token authorization bearer client_id client_secret api_key apikey private_key public_key "
     "username password passphrase credential signature certificate configuration environment production development "
@@ -51,25 +65,55 @@ IDENTIFIERS = (
 _EMPTY = len(zstandard.ZstdCompressor(level=LEVEL).compress(b""))
 
 
-def novelty(candidate: str, around: str) -> float:
-    """Marginal compressed bytes a character, given the surrounding text and identifiers."""
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + around.replace(candidate, " ").encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+def learned(docs: DataFrame, text: str = "text", most: int = DICTIONARY_BYTES) -> bytes:
+    """Identifiers of all texts, the most saving ones last (nearest to what is compressed)."""
+    found = docs.select(F.explode(F.regexp_extract_all(F.col(text).cast("string"), F.lit(IDENTIFIER), F.lit(0))).alias("word"))
+    counts = found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    top = counts.orderBy(F.desc(F.col("n") * F.length("word")), "word").limit(most // 6).collect()
+    words, size = [], 0
+    for r in top:
+        size += len(r["word"]) + 1
+        if size > most:
+            break
+        words.append(r["word"])
+    return " ".join([*words[::-1], ""]).encode()
+
+
+def novelty(candidate: str, around: str, dictionary: bytes = b"") -> float:
+    """Marginal compressed bytes a character, given the dictionary and the surrounding text."""
+    if not candidate:
+        return 0.0
+    context = IDENTIFIERS + b" " + dictionary + around.replace(candidate, " ").encode("utf-8", "surrogatepass")
+    primed = zstandard.ZstdCompressionDict(context, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     frame = zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_content_size=True).compress(candidate.encode())
     return (len(frame) - _EMPTY) / len(candidate)
 
 
-def base_spans(text: str) -> list[Span]:
+def _measured(text: str, begin: int, end: int, dictionary: bytes) -> float:
+    return novelty(text[begin:end], text[max(0, begin - AROUND) : begin] + " " + text[end : end + AROUND], dictionary)
+
+
+def base_spans(text: str, dictionary: bytes = b"") -> list[Span]:
     found: list[Span] = []
     low = text.lower()
+
+    def add(kind: str, m: re.Match, group: int = 0) -> None:
+        found.append((kind, m.start(), m.end(), True, _measured(text, *m.span(group), dictionary)))
+
     if any(w in low for w in ASSIGN_WORDS):
-        found += [("assign", m.start(), m.end(), True, 1.0) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+        for m in ASSIGN.finditer(text):
+            if len(m[2]) >= 8:
+                add("assign", m, 2)
     if "AKIA" in text:
-        found += [("access", m.start(), m.end(), True, 1.0) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
-    found += [("hex", m.start(), m.end(), True, 1.0) for m in HEX.finditer(text)]
+        for m in ACCESS.finditer(text):
+            if len(m[0]) >= 16:
+                add("access", m)
+    for m in HEX.finditer(text):
+        add("hex", m)
     return found
 
 
-def novel_spans(text: str, base: list[Span]) -> list[Span]:
+def novel_spans(text: str, base: list[Span], dictionary: bytes = b"") -> list[Span]:
     low = text.lower()
     if not any(w in low for w in CONTEXT_WORDS):
         return []
@@ -100,22 +144,27 @@ def novel_spans(text: str, base: list[Span]) -> list[Span]:
             if base_span < len(taken) and taken[base_span][0] < end:
                 continue
             value = text[begin:end]
-            if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+            digits = any(c.isdigit() for c in value)
+            if not any(c.isalpha() for c in value) or not (digits or len(CASES.findall(value)) > 2):
                 continue
-            score = novelty(value, text[max(0, begin - AROUND) : begin] + " " + text[end : end + AROUND])
+            score = _measured(text, begin, end, dictionary)
             if score >= NOVEL:
                 found.append(("novel", begin, end, False, score))
     return found
 
 
-def find_secrets(texts: list[str]) -> list[list[Span]]:
+def find_secrets(texts: list[str], dictionary: bytes = b"") -> list[list[Span]]:
     out = []
     for text in texts:
-        base = base_spans(text)
-        out.append(sorted(base + novel_spans(text, base), key=lambda s: (s[1], KINDS.index(s[0]))))
+        base = base_spans(text, dictionary)
+        out.append(sorted(base + novel_spans(text, base, dictionary), key=lambda s: (s[1], KINDS.index(s[0]))))
     return out
 
 
-def scan_secrets(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` and ``spans`` (kind, start, end, base, score) of each row, by start then kind."""
-    return map_spans(docs, find_secrets, keep, text)
+def scan_secrets(docs: DataFrame, keep: list[str], text: str = "text", dictionary: bytes | None = None) -> DataFrame:
+    """``keep`` and ``spans`` (kind, start, end, base, score) of each row, by start then kind.
+
+    The dictionary is learned from ``docs`` unless one is given.
+    """
+    known = learned(docs, text) if dictionary is None else dictionary
+    return map_spans(docs, lambda texts: find_secrets(texts, known), keep, text)

@@ -29,7 +29,7 @@ def map_spans(docs: DataFrame, find: Callable[[list[str]], list[list[Span]]], ke
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], spans], [*keep, "spans"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*[F.col(c) for c in keep], F.col(text).cast("string")).mapInArrow(run, f"{kinds}, spans {SPARK}")
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string")).mapInArrow(run, f"{kinds}, spans {SPARK}")
 
 
 def written(spans: Column) -> Column:

@@ -415,12 +415,48 @@ def test_novel_values_behind_names():
         for v in (value, padded):
             text = f"export {name}{v} # set"
             assert [text[s[1] : s[2]] for s in secretscan.find_secrets([text])[0]] == [v], text
-    plain = ["export signing_key=configuration_version_2024", "colour=Zx81kQp0LmT4sVb9aWq2", "export DB_PWD=Zx81kQp0"]
+    plain = ["export signing_key=configuration_version_2024", "colour=Zx81kQp0LmT4sVb9aWq2", "export DB_PWD=Zx81"]
     assert secretscan.find_secrets(plain) == [[], [], []]
     # parts too short to be candidates: measured whole, as without names
     assert [s[1:3] for s in secretscan.find_secrets(["the secret is Zx81kQp0LmT=4sVb9aWq2Hd there"])[0]] == [(14, 37)]
 
 
+def test_identifiers_of_the_corpus_are_not_novel(spark):
+    """The learned dictionary decides: without it the same string is reported."""
+    name, random_name = "customerBilling.addressBook.recordV2x", "Zx81kQp0LmT4sVb9aWq2"
+    texts = [f"use customerBilling.addressBook.record and {random_name} {k}" for k in range(20)] + [f"the key is {name} here", f"the key is {random_name} here", None, "", "Zx81.kQp0 " * 3000]
+    docs = docs_of(spark, [*texts, texts[20]])
+    dictionary = secretscan.learned(docs)
+    assert b"customerBilling.addressBook.record" in dictionary and random_name.encode() not in dictionary
+    kinds = lambda found: [[x.kind for x in r.spans] for r in found.orderBy("doc_id").collect()][20:]
+    assert kinds(secretscan.scan_secrets(docs, ["doc_id"])) == [[], ["novel"], [], [], [], []]
+    assert kinds(secretscan.scan_secrets(docs, ["doc_id"], dictionary=b"")) == [["novel"], ["novel"], [], [], [], ["novel"]]
+    assert secretscan.learned(docs.limit(0)) == b""
+
+
+def test_novelty_scores_base_spans_by_their_values():
+    common, odd = secretscan.find_secrets(["password = production_environment_configuration", 'password = "q8Zk31LxPvT9sWm4"'])
+    assert common[0][3] and odd[0][3] and common[0][4] < secretscan.NOVEL <= odd[0][4]
+
+
+def test_novel_candidates_match_brute_force():
+    """Every run of token characters, tried by itself, without the scan's cursors."""
+    rng = random.Random(12)
+    pieces = ["the", "key", "secret", "Zx81kQp0LmT4sVb9aWq2", "configuration_version_2024", "password=hunter2hunter2", "aB1" * 5, "deadbeef" * 4, "auth:", "x" * 60, "PWD", "Ab", "1234567890123"]
+    for _ in range(300):
+        text = " ".join(rng.choice(pieces) for _ in range(rng.randrange(14)))
+        base = secretscan.base_spans(text)
+        want = []
+        for m in secretscan.CANDIDATE.finditer(text):
+            near = any(0 <= m.start() - w.end() <= secretscan.REACH for w in secretscan.CONTEXT.finditer(text))
+            clear = not any(b < m.end() and e > m.start() for _, b, e, _, _ in base)
+            mixed = any(c.isalpha() for c in m[0]) and (any(c.isdigit() for c in m[0]) or len(re.findall("[a-z][A-Z]", m[0])) > 2)
+            around = text[max(0, m.start() - secretscan.AROUND) : m.start()] + " " + text[m.end() : m.end() + secretscan.AROUND]
+            if "=" not in m[0] and near and clear and mixed and secretscan.novelty(m[0], around) >= secretscan.NOVEL:
+                want.append(m.span())
+        assert [s[1:3] for s in secretscan.novel_spans(text, base)] == want
+
+
 # ---- 8: media -------------------------------------------------------------------------
 
 
