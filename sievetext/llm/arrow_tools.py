@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def list_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -46,3 +49,25 @@ def grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
             last = key
     if held:
         yield pa.concat_tables(held)
+
+
+def map_kept(docs: DataFrame, keep: list[str], inputs: list[Column], work: Callable[[pa.RecordBatch], list[pa.Array]], out: str, rows: int) -> DataFrame:
+    """``docs``' columns ``keep`` and the columns that ``work`` makes from ``inputs``, ``rows`` rows at a time.
+
+    ``out`` is the schema of the new columns. The kept ones travel under other names, so theirs
+    may clash with any and hold dots.
+    """
+    places = [f"__kept{k}" for k in range(len(keep))]
+    table = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(keep, places)], *[c.alias(f"__in{k}") for k, c in enumerate(inputs)])
+    # as a schema object: types written as text can't hold field names with dots
+    schema = StructType([*table.schema.fields[: len(keep)], *StructType.fromDDL(out).fields])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, rows):
+                part = batch.slice(begin, rows)
+                made = work(part.select(list(range(len(places), part.num_columns))))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(places)], *made], names)
+
+    return table.mapInArrow(run, schema).toDF(*keep, *names[len(keep) :])

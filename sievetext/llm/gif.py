@@ -2,7 +2,7 @@
 
 The reader follows the 89a layout: global and local palettes, sub-blocks, extensions,
 interlacing, transparent index, disposal 0 to 3 and frame delays. The writer stores 8-bit
-samples losslessly under an identity grey palette.
+samples losslessly as the indices of a palette of 256 different colours.
 """
 
 from __future__ import annotations
@@ -16,7 +16,11 @@ CLEAR, END, FIRST = 256, 257, 258
 #: Codes in a run before its clear code: the table is then full.
 RUN = 3838
 WIDTH, FRAME_ROWS, DELAY_CS = 64, 256, 10
-GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
+#: Three bits of red, three of green, two of blue: 256 colours that differ, so they can be told apart again.
+_INDEX = np.arange(256)
+PALETTE = np.stack([(_INDEX >> 5) * 36, (_INDEX >> 2 & 7) * 36, (_INDEX & 3) * 85], 1).astype(np.uint8)
+#: Pixels of the largest canvas that is played; a header of 14 bytes can ask for 4 billion.
+MOST_PIXELS = 1 << 26
 
 
 @lru_cache(maxsize=64)
@@ -162,7 +166,7 @@ def write_gif(samples: bytes, width: int = WIDTH, rows: int = FRAME_ROWS, delay_
     total = len(samples) // width
     height = min(rows, total)
     u16 = lambda *x: b"".join(v.to_bytes(2, "little") for v in x)
-    out = [b"GIF89a", u16(width, height), b"\xf7\0\0", GREY]
+    out = [b"GIF89a", u16(width, height), b"\xf7\0\0", PALETTE.tobytes()]
     for top in range(0, total, rows):
         tall = min(rows, total - top)
         part = samples[top * width : (top + tall) * width]
@@ -182,6 +186,14 @@ class Frame:
     disposal: int
     index: np.ndarray
     canvas: np.ndarray
+    #: Whether the code stream held all of the frame's pixels; missing ones have index 0.
+    complete: bool
+
+
+def samples_of(colours: np.ndarray) -> bytes:
+    """The samples whose palette colours fill an area, rows first."""
+    c = colours.astype(np.int64)
+    return (c[..., 0] // 36 << 5 | c[..., 1] // 36 << 2 | c[..., 2] // 85).astype(np.uint8).tobytes()
 
 
 class _Reader:
@@ -213,12 +225,18 @@ def _deinterlace(index: np.ndarray) -> np.ndarray:
 
 
 def read_gif(data: bytes):
-    """Yield the frames of a GIF in order, composed under disposal and transparency rules."""
+    """Yield the frames of a GIF in order, composed under disposal and transparency rules.
+
+    One canvas is held (and a copy while a frame with disposal 3 is shown); bytes that are no
+    GIF, or stop being one, raise a ValueError where they do.
+    """
     r = _Reader(data)
     if r.take(6) not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = r.u16(), r.u16(), *r.take(3)
     palette = np.frombuffer(r.take(3 << ((flags & 7) + 1)), np.uint8).reshape(-1, 3) if flags & 128 else None
+    if width * height > MOST_PIXELS:
+        raise ValueError(f"GIF canvas of {width} x {height}")
     canvas = np.zeros((height, width, 3), np.uint8)
     disposal, delay, clear = 0, 0, None
     while (mark := r.take(1)) != b"\x3b":
@@ -236,6 +254,8 @@ def read_gif(data: bytes):
         if colours is None:
             raise ValueError("GIF frame without a palette")
         min_bits = r.take(1)[0]
+        if not 1 <= min_bits <= 8 or w * h > MOST_PIXELS:
+            raise ValueError(f"GIF frame of {w} x {h} in {min_bits} bits")
         raw = np.frombuffer(lzw_decode(r.blocks(), min_bits, w * h), np.uint8)
         index = np.zeros(w * h, np.uint8)
         index[: len(raw)] = raw
@@ -247,7 +267,7 @@ def read_gif(data: bytes):
         area, shown = canvas[top : top + high, left : left + wide], index[:high, :wide]
         drawn = np.ones(shown.shape, bool) if clear is None else shown != clear
         area[drawn] = colours[np.minimum(shown, len(colours) - 1)][drawn]
-        yield Frame(left, top, w, h, delay, disposal, index, canvas.copy())
+        yield Frame(left, top, w, h, delay, disposal, index, canvas.copy(), len(raw) == w * h)
         if disposal == 2:
             canvas[top : top + high, left : left + wide] = 0
         elif before is not None:

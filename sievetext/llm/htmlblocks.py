@@ -33,13 +33,14 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievetext.llm.arrow_tools import map_kept
+
 #: Fixed element names.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -288,12 +289,7 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, keep: list[str], html_column: str = "html") -> DataFrame:
     """``keep`` and ``text``, the main text of each whole page."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                texts = [main_text(p) for p in part.column(len(keep)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string())], [*keep, "text"])
+    def work(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array([main_text(p.as_py()) for p in batch.column(0)], pa.string())]
 
-    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
-    return pages.select(*keep, F.col(html_column).cast("string").alias("__html")).mapInArrow(run, f"{kinds}, text string")
+    return map_kept(pages, keep, [F.col(html_column).cast("string")], work, "text string", 256)

@@ -1,31 +1,39 @@
 """Media columns: whole texts stored as GIF animations, and features of their frames.
 
 ``encode`` stores each payload (UTF-8 text, zero bytes up to a positive multiple of 64) as a
-GIF of 64-sample rows, 256 rows a frame. ``decode`` reads any GIF column: it plays the frames
-under palette, disposal and transparency rules and returns one struct for each, with its
-delay and an 8-bin histogram for each colour channel of the canvas.
+GIF of 64-sample rows, 256 rows a frame, in a binary column. ``play`` reads any GIF column: it
+decodes the code streams, plays the frames under palette, disposal and transparency rules, and
+returns one struct for each frame, with its place, delay and an 8-bin histogram of the canvas
+for each colour channel; digests of the stored bytes and of the samples read back from the
+colours drawn; and what was wrong. ``decode`` is its frames and errors alone.
 
 Null text counts as empty and is one row of zero bytes. Equal texts give equal bytes. A null
-media value decodes to no frames; bytes that are no GIF raise. Extra columns are ignored;
-repeated rows are each returned; an empty table gives an empty result.
+media value has no frames, null digests and no error. Bytes that are no GIF, that end early or
+that ask for a canvas over ``gif.MOST_PIXELS`` fail only their own row: ``error`` says why, the
+frames before that are kept, and a frame whose stream was short is marked. Frames are played
+one at a time, so a very long text costs its stored bytes, its samples and one canvas. Extra
+columns are ignored, whatever their names; repeated rows are each returned; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievetext.llm import gif
+from sievetext.llm.arrow_tools import map_kept
 
 BLOCK = 64
 BINS = 8
-FRAME = "struct<left:int,top:int,width:int,height:int,delay_ms:int,disposal:int,red:array<long>,green:array<long>,blue:array<long>>"
+CHANNELS = ("red", "green", "blue")
+_NUMBERS = ("left", "top", "width", "height", "delay_ms", "disposal")
+FRAME = "struct<" + ",".join([f"{n}:int" for n in _NUMBERS] + ["complete:boolean"] + [f"{c}:array<long>" for c in CHANNELS]) + ">"
+_ARROW = pa.list_(pa.struct([(n, pa.int32()) for n in _NUMBERS] + [("complete", pa.bool_())] + [(c, pa.list_(pa.int64())) for c in CHANNELS]))
 #: Texts that are encoded before their bytes are handed on.
 ROWS = 64
 
@@ -40,72 +48,57 @@ def histogram(canvas: np.ndarray) -> list[list[int]]:
     return [np.bincount(canvas[:, :, c].ravel() >> 5, minlength=BINS).tolist() for c in range(3)]
 
 
-def samples_of(media: bytes) -> tuple[bytes, list[gif.Frame]]:
-    """The samples that the frames drew, read from the composed canvas, and the frames."""
-    frames = list(gif.read_gif(media))
-    drawn = [f.canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes() for f in frames]
-    return b"".join(drawn), frames
-
-
-def _columns(docs: DataFrame, keep: list[str]) -> str:
-    return ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+def played(media: bytes) -> tuple[list[dict], bytes, str | None]:
+    """The frames, the samples that their colours stand for, and what went wrong."""
+    frames, samples, error = [], [], None
+    try:
+        for k, f in enumerate(gif.read_gif(media)):
+            frames.append({n: getattr(f, n) for n in (*_NUMBERS, "complete")} | dict(zip(CHANNELS, histogram(f.canvas))))
+            samples.append(gif.samples_of(f.canvas[f.top : f.top + f.height, f.left : f.left + f.width]))
+            if not f.complete and error is None:
+                error = f"the code stream of frame {k} ends early"
+    except ValueError as e:
+        error = str(e)
+    return frames, b"".join(samples), error
 
 
 def encode(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` and ``media``, the GIF of each whole text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, ROWS):
-                part = batch.slice(begin, ROWS)
-                media = [gif.write_gif(payload(t)) for t in part.column(len(keep)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(media, pa.binary())], [*keep, "media"])
+    def work(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array([gif.write_gif(payload(t.as_py())) for t in batch.column(0)], pa.binary())]
+
+    return map_kept(docs, keep, [F.col(text).cast("string")], work, "media binary", ROWS)
+
 
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"{_columns(docs, keep)}, media binary")
+def play(table: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
+    """``keep``, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, frames, error."""
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), _ARROW, pa.string())
+
+    def work(batch: pa.RecordBatch) -> list[pa.Array]:
+        rows = []
+        for value in batch.column(0):
+            stored = value.as_py()
+            if stored is None:
+                rows.append((None, None, None, None, None, [], None))
+                continue
+            frames, back, error = played(stored)
+            rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(stored), hashlib.sha256(stored).hexdigest(), frames, error))
+        return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+
+    out = f"payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames array<{FRAME}>, error string"
+    return map_kept(table, keep, [F.col(f"`{media}`")], work, out, ROWS)
 
 
 def decode(table: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
-    """``keep`` and ``frames``: timing, place and colour histograms of every frame, in order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, ROWS):
-                part = batch.slice(begin, ROWS)
-                rows = []
-                for value in part.column(len(keep)).to_pylist():
-                    rows.append([])
-                    for f in gif.read_gif(value) if value is not None else ():
-                        red, green, blue = histogram(f.canvas)
-                        rows[-1].append({"left": f.left, "top": f.top, "width": f.width, "height": f.height, "delay_ms": f.delay_ms, "disposal": f.disposal, "red": red, "green": green, "blue": blue})
-                kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("left", "top", "width", "height", "delay_ms", "disposal")] + [(n, pa.list_(pa.int64())) for n in ("red", "green", "blue")]))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(rows, kind)], [*keep, "frames"])
-
-    return table.select(*keep, F.col(media).alias("__media")).mapInArrow(run, f"{_columns(table, keep)}, frames array<{FRAME}>")
-
-
-def store_and_read(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """Encode each whole text, read the stored bytes back, and digest what was read.
-
-    One pass, so the media bytes never cross a task border: ``keep``, n_bytes, payload_bytes,
-    payload_sha256, tail_crc32, media_bytes, media_sha256, n_frames, duration_ms, grey (bins).
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, ROWS):
-                part = batch.slice(begin, ROWS)
-                rows = []
-                for value in part.column(len(keep)).to_pylist():
-                    stored = payload(value)
-                    media = gif.write_gif(stored)
-                    back, frames = samples_of(media)
-                    if back != stored:
-                        raise ValueError("stored samples differ from the payload")
-                    grey = np.bincount(np.frombuffer(back, np.uint8) >> 5, minlength=BINS).tolist()
-                    rows.append((len((value or "").encode("utf-8", "surrogatepass")), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), len(frames), sum(f.delay_ms for f in frames), grey))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
-                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *columns], [*keep, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "duration_ms", "grey"])
-
-    out = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames int, duration_ms int, grey array<long>"
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"{_columns(docs, keep)}, {out}")
+    """``keep``, ``frames`` (timing, place and colour histograms of every frame, in order) and ``error``."""
+    return play(table, keep, media).select(*[F.col(f"`{c}`") for c in keep], "frames", "error")
+
+
+def summary(frames: Column) -> Column:
+    """Histograms over all frames, their number and their duration, as text."""
+    none = F.array(*[F.lit(0).cast("long")] * BINS)
+    total = lambda c: F.aggregate(F.transform(frames, lambda f: f[c]), none, lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    bins = [F.concat(F.lit(f"{c}="), F.array_join(F.transform(total(c), lambda x: x.cast("string")), ",")) for c in CHANNELS]
+    ms = F.aggregate(frames, F.lit(0).cast("long"), lambda s, f: s + f["delay_ms"])
+    return F.concat_ws(";", *bins, F.concat(F.lit("frames="), F.size(frames).cast("string")), F.concat(F.lit("ms="), ms.cast("string")))

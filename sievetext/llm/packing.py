@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sievetext.session import cut_lineage
 
@@ -100,10 +101,11 @@ def pieces(docs: DataFrame, path: str, keep: list[str], text: str = "text", sequ
                 kept = pa.Table.from_batches([part]).select(list(range(len(keep)))).take(pa.array(row, pa.int64())).combine_chunks()
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 columns = [pa.array([x[n] for x in out], kind) for n, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*(c.chunk(0) for c in kept.columns), *columns], [*keep, "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([*(c.chunk(0) for c in kept.columns), *columns], [*part.schema.names[: len(keep)], "piece", "start", "length", "ids_crc32"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"{kinds}, {PIECE}")
+    names = [f"__kept{k}" for k in range(len(keep))]
+    table = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col(text).cast("string").alias("__text"))
+    return table.mapInArrow(run, StructType([*table.schema.fields[: len(keep)], *StructType.fromDDL(PIECE).fields])).toDF(*keep, "piece", "start", "length", "ids_crc32")
 
 
 def _knapsack(sizes: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:

@@ -62,10 +62,10 @@ def op7_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every document's GIF and of the payload read back from it."""
-    stored = media.store_and_read(read_texts(spark, sf_dir, "documents"), ["doc_id"])
-    feature = F.concat(F.lit("grey="), F.array_join(F.transform("grey", lambda x: x.cast("string")), ","), F.lit(";frames="), F.col("n_frames").cast("string"), F.lit(";ms="), F.col("duration_ms").cast("string"))
-    return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    """Digests of every document's GIF and of the payload read back from it, and its frames' features."""
+    docs = read_texts(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    found = media.play(media.encode(docs, ["doc_id", "n_bytes"]), ["doc_id", "n_bytes"])
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", media.summary(F.col("frames")).alias("feature"), "error")
 
 
 def op9_two_pass_html(spark: SparkSession, sf_dir: str) -> DataFrame:

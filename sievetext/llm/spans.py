@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievetext.llm.arrow_tools import map_kept
+
 #: (kind, start, end, base, score); code points, end exclusive.
 Span = tuple[str, int, int, bool, float]
 SPARK = "array<struct<kind:string,start:int,end:int,base:boolean,score:double>>"
@@ -20,16 +22,11 @@ TEXTS = 512
 def map_spans(docs: DataFrame, find: Callable[[list[str]], list[list[Span]]], keep: list[str], text: str = "text") -> DataFrame:
     """``docs``' columns ``keep`` and ``spans`` of each whole text (null: empty)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(begin, TEXTS)
-                found = find([t or "" for t in part.column(len(keep)).to_pylist()])
-                spans = pa.array([[dict(zip(NAMES, s)) for s in x] for x in found], ARROW)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], spans], [*keep, "spans"])
+    def work(batch: pa.RecordBatch) -> list[pa.Array]:
+        found = find([t or "" for t in batch.column(0).to_pylist()])
+        return [pa.array([[dict(zip(NAMES, s)) for s in x] for x in found], ARROW)]
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string")).mapInArrow(run, f"{kinds}, spans {SPARK}")
+    return map_kept(docs, keep, [F.col(text).cast("string")], work, f"spans {SPARK}", TEXTS)
 
 
 def written(spans: Column) -> Column:

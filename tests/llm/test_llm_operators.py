@@ -461,22 +461,40 @@ def test_novel_candidates_match_brute_force():
 
 
 def test_gif_round_trip(spark):
-    got = media.store_and_read(docs_of(spark, EDGE), ["doc_id"]).orderBy("doc_id").collect()
+    docs = docs_of(spark, EDGE).withColumnRenamed("id", "a.b")
+    got = media.play(media.encode(docs, ["doc_id", "a.b"]), ["doc_id", "a.b"]).orderBy("doc_id").collect()
     for r, t in zip(got, EDGE):
         stored = media.payload(t)
-        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(stored[-64:]))
-        assert sum(r.grey) == len(stored)
-    assert got[6].media_sha256 == got[7].media_sha256
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32, r.error) == (len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(stored[-64:]), None)
+        high = [0] * 8
+        for x in stored:  # the canvas of a short last frame still shows the frame before below it
+            high[gif.PALETTE[x][0] >> 5] += 1
+        assert len(r.frames) > 1 or r.frames[0].red == high
+    assert got[6].media_sha256 == got[7].media_sha256 and got[0]["a.b"] == "x"
     frames = media.decode(media.encode(docs_of(spark, EDGE), ["doc_id"]), ["doc_id"]).orderBy("doc_id").collect()
     assert len(frames[5].frames) == -(-50_048 // (64 * gif.FRAME_ROWS)) and frames[5].frames[0].delay_ms == 100
-    assert media.store_and_read(docs_of(spark, []), ["doc_id"]).count() == 0
+    assert media.encode(docs_of(spark, []), ["doc_id"]).count() == 0
+
+
+def test_broken_gifs_fail_alone(spark):
+    whole = gif.write_gif(media.payload("some text " * 4000))
+    rows = [(0, whole), (1, whole[: len(whole) // 2]), (2, b"no gif at all"), (3, None), (4, b""), (5, whole[:6] + b"\xff" * 7), (6, whole), (7, whole[:-1])]
+    short = bytearray(gif.write_gif(bytes(range(64)) * 4))
+    short[short.index(b"\x2c") + 7] = 5  # one row more than the stream holds
+    rows.append((8, bytes(short)))
+    got = media.play(spark.createDataFrame([(k, v, 1) for k, v in rows], "k int, media binary, frames int"), ["k"]).orderBy("k").collect()
+    assert [r.error is None for r in got] == [True, False, False, True, False, False, True, False, False]
+    assert got[0].payload_sha256 == got[6].payload_sha256 and len(got[1].frames) < len(got[0].frames) == len(got[7].frames)
+    assert got[3].frames == [] and got[3].payload_bytes is None
+    assert [f.complete for f in got[8].frames] == [False] and "ends early" in got[8].error
 
 
 def test_gif_random_bytes():
     rng = np.random.default_rng(0)
     for high in (2, 16, 256):
         data = rng.integers(0, high, 64 * 700, dtype=np.uint8).tobytes()
-        assert media.samples_of(gif.write_gif(data))[0] == data
+        frames, back, error = media.played(gif.write_gif(data))
+        assert back == data and error is None and len(frames) == 3
 
 
 def test_gif_disposal_transparency_and_local_palette():
