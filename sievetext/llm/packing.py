@@ -16,8 +16,13 @@ The plan is a table of slots (length, first rank, sequences, ...), whose size de
 sequence length and not on the corpus. Each piece finds its slot by its rank within its
 length, which is counted in buckets, so a length that most pieces share is split up.
 
+``pack`` makes one plan for the whole corpus. ``pack_windows`` keeps an order: each run of
+``WINDOW`` documents is planned and packed by itself, in one task each, and its sequences are
+numbered by the mean place of what they hold, so reading sequences by id follows the order.
+
 Null text counts as empty: one piece holding the end id alone. Repeated rows are each packed.
-Extra columns are ignored; an empty table gives an empty result.
+A very long text is tokenised whole in one task and becomes many pieces. Extra columns are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,8 +37,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
+from sievetext.llm.arrow_tools import grouped, map_kept
 from sievetext.session import cut_lineage
 
 SEQUENCE, END_ID = 1024, 2
@@ -44,6 +49,8 @@ SMALLS = (48, 160, 420, 511)
 GAP = 3e-4
 ROWS_A_BUCKET = 100_000
 PIECE = "piece int, start long, length long, ids_crc32 long"
+#: Documents that are packed together where an order is kept.
+WINDOW = 1 << 16
 
 
 @lru_cache(maxsize=2)
@@ -85,27 +92,23 @@ def cuts(total: int, sequence: int = SEQUENCE) -> list[tuple[int, int]]:
     return [(0, first), *((k, sequence) for k in range(first, total, sequence))] if total > sequence else [(0, total)]
 
 
+def tokenised(docs: DataFrame, path: str, keep: list[str], text: str = "text", sequence: int = SEQUENCE) -> DataFrame:
+    """``keep`` and ``pieces`` (piece, start, length, ids_crc32) of every whole text."""
+    kind = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
+
+    def work(batch: pa.RecordBatch) -> list[pa.Array]:
+        rows = []
+        for value in batch.column(0):
+            ids = token_ids(path, value.as_py(), special=True)
+            rows.append([{"piece": n, "start": start, "length": length, "ids_crc32": zlib.crc32(ids[start : start + length].tobytes())} for n, (start, length) in enumerate(cuts(len(ids), sequence))])
+        return [pa.array(rows, kind)]
+
+    return map_kept(docs, keep, [F.col(text).cast("string")], work, f"pieces array<struct<{PIECE.replace(' ', ':').replace(',:', ',')}>>", 256)
+
+
 def pieces(docs: DataFrame, path: str, keep: list[str], text: str = "text", sequence: int = SEQUENCE) -> DataFrame:
     """``keep``, piece, start, length and ids_crc32 of every piece of every whole text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                row, out = [], []
-                for k, value in enumerate(part.column(len(keep)).to_pylist()):
-                    ids = token_ids(path, value, special=True)
-                    for n, (start, length) in enumerate(cuts(len(ids), sequence)):
-                        row.append(k)
-                        out.append((n, start, length, zlib.crc32(ids[start : start + length].tobytes())))
-                kept = pa.Table.from_batches([part]).select(list(range(len(keep)))).take(pa.array(row, pa.int64())).combine_chunks()
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                columns = [pa.array([x[n] for x in out], kind) for n, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*(c.chunk(0) for c in kept.columns), *columns], [*part.schema.names[: len(keep)], "piece", "start", "length", "ids_crc32"])
-
-    names = [f"__kept{k}" for k in range(len(keep))]
-    table = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col(text).cast("string").alias("__text"))
-    return table.mapInArrow(run, StructType([*table.schema.fields[: len(keep)], *StructType.fromDDL(PIECE).fields])).toDF(*keep, "piece", "start", "length", "ids_crc32")
+    return tokenised(docs, path, keep, text, sequence).select(*[F.col(f"`{c}`") for c in keep], F.inline("pieces"))
 
 
 def _knapsack(sizes: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
@@ -329,22 +332,59 @@ def ranked(table: DataFrame, total: int) -> DataFrame:
     return numbered.join(counts, ["length", "__bucket"]).withColumn("rank", F.col("__before") + F.col("__row")).drop("__bucket", "__row", "__before")
 
 
+def places(slots: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of the pieces of these lengths and ranks."""
+    keys = slots[:, 0] << 44 | slots[:, 1]
+    at = slots[np.searchsorted(keys, length << 44 | rank, "right") - 1]
+    index = rank - at[:, 1]
+    return at[:, 2] + index // at[:, 3], at[:, 4] + index % at[:, 3] * length
+
+
 def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     cut = cut_lineage(pieces(docs, path, ["doc_id"], sequence=sequence))
     counts = {int(r["length"]): r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    slots = slot_table(plan(counts, sequence))
-    shared = docs.sparkSession.sparkContext.broadcast(slots)
+    shared = docs.sparkSession.sparkContext.broadcast(slot_table(plan(counts, sequence)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        keys = table[:, 0] << 44 | table[:, 1]
         for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
-            at = table[np.searchsorted(keys, length << 44 | rank, "right") - 1]
-            index = rank - at[:, 1]
+            at, offset = places(shared.value, batch.column("length").to_numpy(), batch.column("rank").to_numpy())
             columns = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(at[:, 2] + index // at[:, 3]), pa.array(at[:, 4] + index % at[:, 3] * length)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(at), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return ranked(cut, sum(counts.values())).mapInArrow(run, f"doc_id {kind}, {PIECE}, sequence_id long, offset long")
+
+
+def pack_windows(docs: DataFrame, order: str, sequence: int = SEQUENCE, window: int = WINDOW) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset and the order of every piece.
+
+    ``docs`` are (doc_id, pieces, ``order``), the order being whole numbers from 0, each once.
+    A document has at most one piece shorter than a sequence, so a window's plan holds at most
+    ``window`` pieces; full pieces are sequences of their own. A sequence's id is its window, the
+    mean place of its pieces there, and a number that tells it from others at that place.
+    """
+    rows = docs.select("doc_id", F.col(order).alias("mix_order"), F.inline("pieces"))
+    place, at = F.col("mix_order") % window, F.floor(F.col("mix_order") / window).cast("long")
+    full = rows.where(F.col("length") == sequence).withColumn("sequence_id", F.shiftleft(at, 40).bitwiseOR(F.shiftleft(place.cast("long"), 24)).bitwiseOR(F.lit(1 << 23)).bitwiseOR(F.col("piece").cast("long"))).withColumn("offset", F.lit(0).cast("long"))
+    short = rows.where(F.col("length") < sequence).withColumn("window", at)
+    tasks = max(1, -(-docs.count() // window))
+    names = ["doc_id", "mix_order", "piece", "start", "length", "ids_crc32"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, ["window"]):
+            length, place = table["length"].to_numpy(), table["mix_order"].to_numpy() % window
+            values, counts = np.unique(length, return_counts=True)
+            slots = slot_table(plan(dict(zip(values.tolist(), counts.tolist())), sequence))
+            by_length = np.lexsort((place, length))
+            rank = np.empty(len(length), np.int64)
+            rank[by_length] = np.arange(len(length)) - np.repeat(np.cumsum(counts) - counts, counts)
+            at, offset = places(slots, length, rank)
+            mean = np.bincount(at, place) // np.maximum(np.bincount(at), 1)
+            ids = table["window"].to_numpy() << 40 | mean[at].astype(np.int64) << 24 | at
+            yield from pa.table([*(table[c] for c in names), pa.array(ids), pa.array(offset)], [*names, "sequence_id", "offset"]).combine_chunks().to_batches()
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    dealt = short.repartition(tasks, "window").sortWithinPartitions("window", "mix_order")
+    packed = dealt.mapInArrow(run, f"doc_id {kind}, mix_order long, {PIECE}, sequence_id long, offset long")
+    return packed.unionByName(full).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "mix_order")

@@ -30,9 +30,11 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievetext.llm.arrow_tools import map_kept
 from sievetext.llm.sampling import hashed_share
 from sievetext.llm.spans import Span, map_spans
 
@@ -303,25 +305,24 @@ def redact(docs: DataFrame, text: str = "text", model: SkipChainCrf | None = Non
     """``docs`` with every span of ``text`` replaced by ``[KIND]``; ``n_chars`` follows if there."""
     model = model or fit_on(docs, text=text)
     find = _finder(model)
-    schema, names = docs.schema, docs.columns
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
-                texts = part.column(at).to_pylist()
-                clean = [None if t is None else replaced(t, s) for t, s in zip(texts, find([t or "" for t in texts]))]
-                columns = list(part.columns)
-                columns[at] = pa.array(clean, part.schema.field(at).type)
-                if "n_chars" in names:
-                    k = batch.schema.get_field_index("n_chars")
-                    columns[k] = pa.array([n if a == b else len(b) for n, a, b in zip(part.column(k).to_pylist(), texts, clean)], part.schema.field(k).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
-
-    return docs.mapInArrow(run, schema)
+    sized = "n_chars" in docs.columns
+
+    def work(batch: pa.RecordBatch) -> list[pa.Array]:
+        texts = batch.column(0).to_pylist()
+        clean = [None if t is None else replaced(t, s) for t, s in zip(texts, find([t or "" for t in texts]))]
+        out = [pa.array(clean, pa.string())]
+        if sized:
+            out.append(pa.array([n if a == b else len(b) for n, a, b in zip(batch.column(1).to_pylist(), texts, clean)], batch.column(1).type))
+        return out
+
+    other = [c for c in docs.columns if c != text and not (sized and c == "n_chars")]
+    inputs, made = [F.col(text).cast("string")], ["__text string"]
+    if sized:
+        inputs.append(F.col("n_chars"))
+        made.append(f"__n_chars {docs.schema['n_chars'].dataType.simpleString()}")
+    found = map_kept(docs, other, inputs, work, ", ".join(made), 512)
+    named = {text: "__text", "n_chars": "__n_chars"} if sized else {text: "__text"}
+    return found.select(*[F.col(f"`{named.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def replaced(text: str, spans: list[Span]) -> str:
