@@ -4,53 +4,43 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages i
 as Parquet and read again. All but the last return the columns of ``documents``.
 
 1. toxicity: documents that the classifier scores 0.5 or more go;
-2. minhash_neardup: of each near-duplicate group the document with the smallest id stays;
+2. minhash_neardup: of each near-duplicate group the row with the smallest id stays;
 3. pii: spans are replaced by their kind, ``n_chars`` follows;
 4. mixing: rows are written in the order of the source mixture;
-5. packing: pieces of at most 1024 tokens with their sequence and offset.
+5. packing: pieces of at most 1024 tokens with their sequence and offset. Documents are packed
+   within windows of the mixture, and sequence ids rise along it.
 
-Documents with null or empty text pass every stage (the packer gives them their end id).
-Of rows that repeat a doc_id the near-duplicate stage keeps one; rows without an id all stay.
+The mixture's place of a row depends on its id and on its source's size alone, so the packer
+finds the same places again and needs no further column.
+
+Documents with null or empty text pass every stage (the packer gives them their end id), and
+so do rows without an id. Rows that share an id but not a text are judged each by its own text;
+of rows alike in both one stays. Very long texts are handled whole, in the one task that holds
+them. Extra columns are carried along, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievetext.llm import mixing, neardup, packing, skipcrf, toxcnn
 from sievetext.llm.queries import tokenizer_path
-from sievetext.session import checkpoint_dir, read_table
-
-#: Ids (8 bytes each) that are sent to every executor; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+from sievetext.session import checkpoint_dir, cut_lineage, read_table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` without the documents that the classifier rejects."""
     model = toxcnn.fit_on(docs, read_table(spark, sf_dir, "labels"))
-    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), "text")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
     return toxcnn.score(whole, model, ["doc"]).where("score < 0.5").select("doc.*")
 
 
 def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id."""
-    found = neardup.near_duplicates(docs)
-    gone = neardup.cut_lineage(found.where("NOT kept").select("doc_id").distinct())
-    hint = F.broadcast if gone.count() <= BROADCAST_IDS else (lambda x: x)
-    rest = docs.join(hint(gone), "doc_id", "left_anti").select(*docs.columns)
-    twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    twice = neardup.cut_lineage(twice)
-    repeated = twice.count()
-    if not repeated:
-        return rest
-    hint = F.broadcast if repeated <= BROADCAST_IDS else (lambda x: x)
-    once = rest.join(hint(twice), "doc_id", "left_anti").select(*docs.columns)
-    first = Window.partitionBy("id").orderBy(F.col("text").asc_nulls_last())
-    more = rest.join(hint(twice), "doc_id", "left_semi").select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id"), "text")
-    return once.unionByName(more.withColumn("n", F.row_number().over(first)).where("n = 1").select("doc.*"))
+    """One row of each near-duplicate group."""
+    return neardup.one_of_each(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +54,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its place in a sequence."""
-    return packing.pack(docs, tokenizer_path())
+    """Every piece of every document with its place in a sequence, along the mixture."""
+    cut = cut_lineage(packing.tokenised(docs, tokenizer_path(), ["doc_id", "source"]))
+    return packing.pack_windows(mixing.placed(cut).select("doc.doc_id", "doc.pieces", "mix_order"), "mix_order")
 
 
 STAGES = [("toxicity", toxicity), ("minhash_neardup", minhash_neardup), ("pii", pii), ("mixing", mix_sources), ("packing", pack_sequences)]
