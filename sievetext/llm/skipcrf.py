@@ -3,24 +3,34 @@
 Base spans (email, ip, card, phone) are leftmost non-overlapping matches of fixed patterns;
 failing ones are dropped and not tried again. All scans are linear in the text's length.
 
-The field labels the white-space tokens that hold a digit or ``@``; other tokens can be no
-entity and enter as context features only. Potentials:
+The field labels the white-space tokens that hold a digit, ``@`` or a spelt-out ``(at)``; other
+tokens enter as context features only (there are no labels from which names could be learned).
+Potentials:
 
-* unary: softmax regression on hashed shape, prefix, length and neighbour-word features;
+* unary: hashed shape, prefix, length and neighbour-word features;
 * chain: neighbouring nodes at most ``CHAIN_REACH`` characters apart;
 * skip: each node and the previous one with the same normalised value (digits only when it
-  has seven or more, else lower-cased letters and digits), so a value repeated n times
-  adds n - 1 edges, never all pairs.
+  has seven or more, else lower-cased letters and digits);
+* similar: each node and the previous one whose value ends in the same six digits, or begins
+  with the same mail name, and that is not the same. A value repeated n times adds n - 1 edges
+  of a kind, never all pairs.
 
 Nodes inside base spans are clamped to their kind. Damped loopy sum-product over all edges of
 a batch of documents (documents are not connected) gives marginals; a free node whose entity
 label reaches ``REPORT`` is added as a span of that kind with its outer punctuation trimmed.
 
-Unary and pairwise weights are fitted on base spans as labels, over at most ``sample_rows``
-documents (smallest hash of the id, so the sample does not depend on partitioning).
+All weights are fitted together, by gradients of the log-likelihood whose expectations are the
+beliefs of the same message passing. Labels are base spans, and spans that the patterns miss:
+each text with base spans is seen again with them disguised (``(at)`` for ``@``, ``[.]`` in
+addresses, other separators in card numbers, no plus before phone numbers), by itself and behind
+the text as it is. Phone matches with too many digits have no label, as a number may have run
+into them. The fit takes at most ``sample_rows`` documents (smallest hash of the id, so it does
+not depend on partitioning).
 
 Null text counts as empty; an empty text has no spans. Repeated rows are each returned, equal
-texts get equal spans. Extra columns are ignored; an empty table gives an empty result.
+texts get equal spans, spans of equal start go by kind as listed. Extra columns are ignored (by
+``redact`` kept), whatever their names; an empty table gives an empty result. A very long text
+is handled whole: its nodes and at most three edges for each lie in one task's memory.
 """
 
 from __future__ import annotations
@@ -46,7 +56,10 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*+")
 DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PLUS = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
-MARK = re.compile(r"[0-9@]+")
+MARK = re.compile(r"[0-9@]+|[(\[]at[)\]]", re.IGNORECASE)
+#: What any text with a node holds, for the fit's sample.
+MARKED = r"(?i)[0-9@]|[(\[]at[)\]]"
+SPELT_AT = re.compile(r"@|[(\[]at[)\]]")
 TOKEN_END = re.compile(r"\S*")
 PUNCTUATION = " \t\n\r\"'`.,;:!?()[]{}<>|*#&$%"
 
@@ -54,7 +67,9 @@ FEATURES = 1 << 12
 CHAIN_REACH = 24
 #: Characters between two added tokens of a kind that are reported as one span.
 JOIN_REACH = 3
-ROUNDS, DAMPING, REPORT = 12, 0.3, 0.9
+ROUNDS, DAMPING, REPORT = 12, 0.3, 0.6
+#: Gradient steps of the fit, and message rounds in each.
+STEPS, FIT_ROUNDS = 150, 4
 
 
 def luhn(digits: str) -> bool:
@@ -120,8 +135,10 @@ class Node:
     end: int
     value: str
     features: list[int]
+    #: Label of the span it lies in, or -1 (FREE).
     clamp: int
     key: str
+    similar: str
 
 
 def _bucket(name: str) -> int:
@@ -166,21 +183,60 @@ def nodes_of(doc: int, text: str, base: list[Span]) -> list[Node]:
         digits = NOT_DIGIT.sub("", value)
         names = ("bias", f"s:{_shape(value)}", f"l:{min(len(value), 40)}", f"d:{min(len(digits), 24)}", f"at:{value.count('@')}", f"dot:{min(value.count('.'), 6)}", f"1:{value[0] if not value[0].isalnum() else 'x'}", f"b:{before}", f"a:{after}")
         key = digits if len(digits) >= 7 else "".join(c for c in value.lower() if c.isalnum())
-        out.append(Node(doc, begin, begin + len(value), value, [_bucket(n) for n in names], spans[k][2] if hit else -1, key))
+        name = SPELT_AT.split(value.lower(), maxsplit=1)
+        similar = name[0] if len(name) > 1 else digits[-6:] if len(digits) >= 6 else ""
+        out.append(Node(doc, begin, begin + len(value), value, [_bucket(n) for n in names], spans[k][2] if hit else -1, key, similar))
     return out
 
 
-def edges_of(nodes: list[Node]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain and skip edges between node positions; at most two for each node."""
-    chain, skip, seen = [], [], {}
+def edges_of(nodes: list[Node]) -> list[np.ndarray]:
+    """Chain, skip and similar edges between node positions; at most three for each node."""
+    chain, skip, similar, seen = [], [], [], {}
     for k, node in enumerate(nodes):
         if k and nodes[k - 1].doc == node.doc and node.begin - nodes[k - 1].end <= CHAIN_REACH:
             chain.append((k - 1, k))
-        if len(node.key) >= 4:
-            if (at := seen.get((node.doc, node.key))) is not None and (at, k) not in chain[-1:]:
-                skip.append((at, k))
-            seen[node.doc, node.key] = k
-    return chain, skip
+        linked = set(chain[-1:])
+        for edges, key in ((skip, node.key), (similar, node.similar)):
+            if len(key) >= 4:
+                place = (node.doc, edges is skip, key)
+                if (at := seen.get(place)) is not None and (at, k) not in linked:
+                    edges.append((at, k))
+                    linked.add((at, k))
+                seen[place] = k
+    return [np.array(e, np.int64).reshape(-1, 2) for e in (chain, skip, similar)]
+
+
+def propagate(score: np.ndarray, edges: list[np.ndarray], tables: np.ndarray, rounds: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Loopy sum-product: node beliefs, and each edge kind's beliefs summed over its edges."""
+    n, m = score.shape
+    edge = np.concatenate(edges)
+    kind = np.repeat(np.arange(len(edges)), [len(e) for e in edges])
+    source, target = np.r_[edge[:, 0], edge[:, 1]], np.r_[edge[:, 1], edge[:, 0]]
+    pair = np.exp(tables)
+    both = np.concatenate([pair[kind], pair[kind].transpose(0, 2, 1)])
+    back = np.r_[np.arange(len(edge)) + len(edge), np.arange(len(edge))]
+    message = np.zeros((len(source), m))
+
+    def total() -> np.ndarray:
+        return score + np.stack([np.bincount(target, message[:, k], n) for k in range(m)], 1) if len(edge) else score
+
+    for _ in range(rounds if len(edge) else 0):
+        out = total()[source] - message[back]
+        out = np.exp(out - out.max(1, keepdims=True))
+        new = np.log(np.matmul(out[:, None, :], both)[:, 0] + 1e-300)
+        message = DAMPING * message + (1 - DAMPING) * (new - new.max(1, keepdims=True))
+    belief = total()
+    belief = np.exp(belief - belief.max(1, keepdims=True))
+    belief /= belief.sum(1, keepdims=True)
+    sums, cavity = [], None
+    if len(edge):
+        cavity = total()[source] - message[back]
+        cavity = np.exp(cavity - cavity.max(1, keepdims=True))
+    for k in range(len(edges)):
+        mine = np.flatnonzero(kind == k)
+        joint = cavity[mine][:, :, None] * pair[k] * cavity[mine + len(edge)][:, None, :] if len(mine) else np.zeros((0, m, m))
+        sums.append((joint / np.maximum(joint.sum((1, 2), keepdims=True), 1e-300)).sum(0))
+    return belief, sums
 
 
 @dataclass
@@ -188,84 +244,105 @@ class SkipChainCrf:
     """Fitted log-potentials; every array is small and of fixed size."""
 
     unary: np.ndarray
-    chain: np.ndarray
-    skip: np.ndarray
+    #: Of chain, skip and similar edges.
+    tables: np.ndarray
 
-    def marginals(self, nodes: list[Node]) -> np.ndarray:
-        """Sum-product beliefs (nodes x labels); base nodes are clamped."""
-        n, m = len(nodes), len(LABELS)
+    def marginals(self, nodes: list[Node], kinds: tuple[bool, bool, bool] = (True, True, True)) -> np.ndarray:
+        """Sum-product beliefs (nodes x labels) over the edge kinds asked for; base nodes are clamped."""
         score = self.unary[np.array([x.features for x in nodes])].sum(1)
         clamp = np.array([x.clamp for x in nodes])
         fixed = clamp >= 0
         score[fixed] = -30.0
         score[fixed, clamp[fixed]] = 0.0
-        score -= score.max(1, keepdims=True)
-        chain, skip = edges_of(nodes)
-        if not chain and not skip:
-            p = np.exp(score)
-            return p / p.sum(1, keepdims=True)
-        edge = np.array(chain + skip)
-        pair = np.exp(np.where((np.arange(len(edge)) < len(chain))[:, None, None], self.chain, self.skip))
-        source, target = np.r_[edge[:, 0], edge[:, 1]], np.r_[edge[:, 1], edge[:, 0]]
-        table = np.concatenate([pair, pair.transpose(0, 2, 1)])
-        back = np.r_[np.arange(len(edge)) + len(edge), np.arange(len(edge))]
-        message = np.zeros((len(source), m))
-        for _ in range(ROUNDS):
-            total = score.copy()
-            np.add.at(total, target, message)
-            out = total[source] - message[back]
-            out = np.exp(out - out.max(1, keepdims=True))
-            new = np.log(np.einsum("es,est->et", out, table) + 1e-300)
-            new -= new.max(1, keepdims=True)
-            message = DAMPING * message + (1 - DAMPING) * new
-        np.add.at(score, target, message)
-        p = np.exp(score - score.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
-
-
-def fit(texts: list[str], steps: int = 300) -> SkipChainCrf:
-    """Weights from base spans as labels; with no node at all, everything is ``none``."""
+        edges = [e if used else e[:0] for e, used in zip(edges_of(nodes), kinds)]
+        return propagate(score - score.max(1, keepdims=True), edges, self.tables, ROUNDS)[0]
+
+
+def _disguised(kind: str, value: str) -> str:
+    """The same value in a form that the patterns miss."""
+    if kind == "email":
+        return value.replace("@", "(at)")
+    if kind == "ip":
+        return value.replace(".", "[.]")
+    if kind == "phone":
+        return value.removeprefix("+")
+    return re.sub("[ -]", ".", value) if re.search("[ -]", value) else ".".join(value[k : k + 4] for k in range(0, len(value), 4))
+
+
+def disguise(text: str, base: list[Span]) -> tuple[str, list[Span]]:
+    """``text`` with its base spans disguised, and where they are now."""
+    out, spans, at, size = [], [], 0, 0
+    for kind, begin, end, _, score in sorted(base, key=lambda s: s[1]):
+        if begin < at:
+            continue
+        new = _disguised(kind, text[begin:end])
+        out += [text[at:begin], new]
+        size += begin - at
+        spans.append((kind, size, size + len(new), True, score))
+        size += len(new)
+        at = end
+    return "".join([*out, text[at:]]), spans
+
+
+def _doubtful(text: str) -> list[tuple[int, int]]:
+    """Matches of the phone pattern that hold more digits than a number has."""
+    return [m.span() for m in PLUS.finditer(text) if len(NOT_DIGIT.sub("", m[0])) > 15] if "+" in text else []
+
+
+def _examples(texts: list[str]) -> tuple[list[Node], np.ndarray]:
+    """Nodes with their spans as labels, and which of them have one."""
     nodes: list[Node] = []
-    for doc, text in enumerate(texts):
-        nodes += nodes_of(doc, text, base_spans(text))
+    known: list[bool] = []
+
+    def add(text: str, spans: list[Span]) -> None:
+        found = nodes_of(len(nodes), text, spans)
+        places = _doubtful(text)
+        nodes.extend(found)
+        known.extend(x.clamp >= 0 or not any(a < x.end and x.begin < b for a, b in places) for x in found)
+
+    for text in texts:
+        base = base_spans(text)
+        add(text, base)
+        if base:
+            other, spans = disguise(text, base)
+            add(other, spans)
+            shift = len(text) + 1
+            add(f"{text}\n{other}", base + [(k, a + shift, b + shift, x, y) for k, a, b, x, y in spans])
+    return nodes, np.array(known, bool)
+
+
+def fit(texts: list[str], steps: int = STEPS) -> SkipChainCrf:
+    """All weights together, by AdaGrad on the likelihood under loopy beliefs; with no node at all they are zero."""
+    nodes, known = _examples(texts)
     m = len(LABELS)
-    unary = np.zeros((FEATURES, m))
+    model = SkipChainCrf(np.zeros((FEATURES, m)), np.zeros((3, m, m)))
+    if not nodes:
+        return model
     label = np.array([max(0, x.clamp) for x in nodes], np.int64)
-    if nodes:
-        features = np.array([x.features for x in nodes])
-        goal = np.eye(m)[label]
-        squares = np.full_like(unary, 1e-8)
-        for _ in range(steps):
-            z = unary[features].sum(1)
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            slope = np.zeros_like(unary)
-            for k in range(features.shape[1]):
-                np.add.at(slope, features[:, k], (p - goal) / len(nodes))
-            slope += 1e-5 * unary
-            squares += slope**2
-            unary -= 0.3 * slope / np.sqrt(squares)
-    chain, skip = edges_of(nodes)
-    prior = np.log((np.bincount(label, minlength=m) + 1.0) / (len(nodes) + m)) if nodes else np.zeros(m)
-
-    def pairwise(edges: list[tuple[int, int]], floor: np.ndarray) -> np.ndarray:
-        count = floor.copy()
-        for a, b in edges:
-            count[label[a], label[b]] += 1
-        count = np.log(count / count.sum())
-        return np.clip(count - prior[:, None] - prior[None, :], -4, 4)
-
-    return SkipChainCrf(unary, pairwise(chain, np.full((m, m), 1.0)), np.maximum(pairwise(skip, np.full((m, m), 0.5)), np.eye(m) * 1.0))
-
-
-def added_spans(model: SkipChainCrf, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
+    features = np.array([x.features for x in nodes])
+    goal, edges = np.eye(m)[label], [e[known[e].all(1)] for e in edges_of(nodes)]
+    seen = np.zeros((3, m, m))
+    for k, e in enumerate(edges):
+        np.add.at(seen[k], (label[e[:, 0]], label[e[:, 1]]), 1)
+    squares = [np.full_like(w, 1e-8) for w in (model.unary, model.tables)]
+    for _ in range(steps):
+        belief, pairs = propagate(model.unary[features].sum(1), edges, model.tables, FIT_ROUNDS)
+        slope = np.stack([np.bincount(features.ravel(), np.repeat(np.where(known, (belief - goal)[:, k], 0), features.shape[1]), FEATURES) for k in range(m)], 1) / len(nodes)
+        slopes = (slope + 1e-5 * model.unary, (np.array(pairs) - seen) / len(nodes) + 1e-4 * model.tables)
+        for w, g, q in zip((model.unary, model.tables), slopes, squares):
+            q += g**2
+            w -= 0.3 * g / np.sqrt(q)
+    return model
+
+
+def added_spans(model: SkipChainCrf, texts: list[str], base: list[list[Span]], kinds: tuple[bool, bool, bool] = (True, True, True)) -> list[list[Span]]:
     """Spans that the field adds; they overlap no base span."""
     nodes: list[Node] = []
     for doc, text in enumerate(texts):
         nodes += nodes_of(doc, text, base[doc])
     out: list[list[Span]] = [[] for _ in texts]
     if nodes:
-        belief = model.marginals(nodes)
+        belief = model.marginals(nodes, kinds)
         for node, p in zip(nodes, belief):
             best = int(p.argmax())
             if node.clamp < 0 and best and p[best] >= REPORT:
@@ -291,8 +368,8 @@ def _finder(model: SkipChainCrf):
 
 
 def fit_on(docs: DataFrame, id_column: str = "doc_id", text: str = "text", sample_rows: int = 1000) -> SkipChainCrf:
-    """Fit on at most ``sample_rows`` documents with a digit or ``@`` whose ids hash lowest."""
-    marked = hashed_share(docs, F.col(id_column), sample_rows).where(F.col(text).rlike("[0-9@]")).select(F.xxhash64(F.col(id_column)).alias("h"), F.col(text).cast("string").alias("t"))
+    """Fit on at most ``sample_rows`` documents that have nodes, those whose ids hash lowest."""
+    marked = hashed_share(docs, F.col(id_column), sample_rows).where(F.col(text).rlike(MARKED)).select(F.xxhash64(F.col(id_column)).alias("h"), F.col(text).cast("string").alias("t"))
     return fit([r["t"] for r in marked.orderBy("h", "t").limit(sample_rows).collect()])
 
 
