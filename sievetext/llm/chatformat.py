@@ -7,7 +7,9 @@ of it but its outputs:
   new output adds is the turn's span; if the old output isn't a prefix of the new one, the
   template rewrites history and the turn is marked;
 * within a turn, two probe texts tell which part of the span is the text and which the
-  turn's frame (their common head and tail);
+  turn's frame (their common head and tail); where the frame differs with them or less than the
+  text is there, two probes of its own length are tried, and a text that can't be placed whole
+  is marked unlocated: its span is empty, and its turn is no part of the mask;
 * for a conversation whose history was rewritten, spans are located in the full rendering by
   probing each turn in place.
 
@@ -17,16 +19,17 @@ The loss mask is the list of spans that assistant texts take in the full renderi
 texts and roles with U+0010, reversibly; ``read_back`` parses its output alone.
 
 A conversation's rows are ordered by turn (null first, ties by role and text); null roles and
-texts count as empty. Rows with a null conversation id form one conversation. Rows stream
-through sorted partitions, so a task holds one conversation at a time. Extra columns are
-ignored; an empty table gives an empty result.
+texts count as empty. A row with a null conversation id is a conversation by itself. Rows stream
+through sorted partitions, so a task holds one conversation at a time. By the method, a
+conversation of n turns is rendered 3 n times, so its time grows with n times its length: with
+``framed`` and turns of 40 characters, 2,000 turns take 0.5 s and 8,000 turns 13 s. Repeated rows
+are turns of their own. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,7 +45,7 @@ CONTROL = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]
 _CONTROL = re.compile("|".join(re.escape(c) for c in CONTROL) + r"|<\|")
 _ESCAPED = re.compile(f"{ESCAPE}({ESCAPE}?)")
 START, END = "<|im_start|>", "<|im_end|>\n"
-TURNS = "array<struct<role:string,start:int,end:int,text_start:int,text_end:int,loss:boolean,rewrites:boolean>>"
+TURNS = "array<struct<role:string,start:int,end:int,text_start:int,text_end:int,loss:boolean,rewrites:boolean,located:boolean>>"
 
 
 def escape(text: str) -> str:
@@ -54,18 +57,33 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
-@lru_cache(maxsize=2048)
-def _framed_turn(role: str, text: str) -> str:
-    role = escape(role)
-    return f"{START}{len(role)}:{role}\n{escape(text)}{END}"
-
-
-def framed(turns: list[Turn]) -> str:
+class Framed:
     """Each turn as a start mark, the role's length and the role, the text, and an end mark.
 
-    A turn's rendering is kept for the next prefixes that hold it.
+    The last two renderings are kept, as successive prefixes only add to them.
     """
-    return "".join([_framed_turn(role, text) for role, text in turns])
+
+    def __init__(self) -> None:
+        self.kept: list[tuple[list[Turn], str]] = [([], "")] * 2
+
+    def __call__(self, turns: list[Turn]) -> str:
+        if not turns:
+            return ""
+        head = turns[:-1]
+        known = next((out for prefix, out in self.kept if len(prefix) == len(head) and prefix == head), None)
+        if known is None:
+            return "".join(map(self._rendered, turns))
+        out = known + self._rendered(turns[-1])
+        if len(self.kept[1][0]) < len(turns) or self.kept[1][0][:-1] != head:
+            self.kept = [(head, known), (list(turns), out)]
+        return out
+
+    def _rendered(self, turn: Turn) -> str:
+        role = escape(turn[0])
+        return f"{START}{len(role)}:{role}\n{escape(turn[1])}{END}"
+
+
+framed = Framed()
 
 
 def read_back(formatted: str) -> list[Turn]:
@@ -95,63 +113,84 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def _probed(render: Template, turns: list[Turn], k: int, whole: str) -> tuple[int, int]:
-    """Where turn k's text lies in ``whole``, the rendering of ``turns``.
+def _framed_by(render: Template, turns: list[Turn], k: int, whole: str, probes: tuple[str, str], known: str) -> tuple[int, int] | None:
+    """Where turn k's text lies in ``whole``, if both probes in its place leave the same frame.
 
-    Two texts that differ at both ends are put in its place; what their outputs share before
-    and after is the frame. Renderings that cut or move the text give an empty span.
+    ``whole`` begins with ``known``; if the probes' outputs do too, only the rest is compared.
     """
-    role = turns[k][0]
-    one, two = (render([*turns[:k], (role, probe), *turns[k + 1 :]]) for probe in PROBES)
+    kept = turns[k]
+    outputs = []
+    for probe in probes:
+        turns[k] = (kept[0], probe)
+        outputs.append(render(turns))
+    turns[k] = kept
+    skip = len(known) if all(x.startswith(known) for x in outputs) else 0
+    one, two, rest = (x[skip:] for x in (*outputs, whole))
     head = _common(one, two)
     tail = _common(one[head:][::-1], two[head:][::-1])
-    if one[:head] != whole[:head] or head + tail > len(whole) or one[len(one) - tail :] != whole[len(whole) - tail :]:
-        return head, head
-    return head, len(whole) - tail
+    end = len(rest) - tail
+    if head > end or one[head : len(one) - tail] != probes[0] or one[:head] != rest[:head] or one[len(one) - tail :] != rest[end:]:
+        return None
+    return skip + head, skip + end
+
+
+def _probed(render: Template, turns: list[Turn], k: int, whole: str, known: str = "") -> tuple[int, int, bool]:
+    """Where turn k's text lies in ``whole``, the rendering of ``turns``, and whether that is known."""
+    size = len(turns[k][1])
+    found = _framed_by(render, turns, k, whole, PROBES, known)
+    if found is None and not size:
+        return len(whole), len(whole), True
+    if found is None or found[1] - found[0] < size:  # the frame varies, or the text is cut
+        found = _framed_by(render, turns, k, whole, (PROBES[0][0] * size, PROBES[1][0] * size), known)
+    return (*found, True) if found else (len(whole), len(whole), False)
 
 
 def locate(render: Template, turns: list[Turn]) -> tuple[str, list[dict]]:
-    """The full rendering, and for each turn its span, its text's span and whether it rewrote."""
-    before, spans = render([]), []
-    for k in range(len(turns)):
-        now = render(turns[: k + 1])
+    """The full rendering, and for each turn its span, its text's span, and whether it rewrote and was located."""
+    before, spans, prefix = render([]), [], []
+    for role, text in turns:
+        prefix.append((role, text))
+        now = render(prefix)
         rewrites = not now.startswith(before)
         begin = _common(before, now) if rewrites else len(before)
-        low, high = _probed(render, turns[: k + 1], k, now)
-        spans.append({"role": turns[k][0], "start": begin, "end": len(now), "text_start": low, "text_end": high, "loss": turns[k][0] == "assistant", "rewrites": rewrites})
+        low, high, located = _probed(render, prefix, len(prefix) - 1, now, "" if rewrites else before)
+        spans.append({"role": role, "start": begin, "end": len(now), "text_start": low, "text_end": high, "loss": role == "assistant" and located, "rewrites": rewrites, "located": located})
         before = now
     if any(s["rewrites"] for s in spans):
         for k, s in enumerate(spans):
-            s["text_start"], s["text_end"] = _probed(render, turns, k, before)
+            s["text_start"], s["text_end"], s["located"] = _probed(render, prefix, k, before)
+            s["loss"] = s["role"] == "assistant" and s["located"]
             s["start"], s["end"] = min(s["start"], s["text_start"]), max(s["text_end"], min(s["end"], len(before)))
     return before, spans
 
 
 def conversations_of(rows: DataFrame, id_column: str = "conv_id") -> DataFrame:
     """The rows a formatter takes: one sorted run for each conversation in each partition."""
-    columns = [F.col(id_column).cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string"), F.col("text").cast("string")]
-    return rows.select(*columns).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    conv = F.col(id_column).cast("long")
+    lone = F.when(conv.isNull(), F.monotonically_increasing_id())
+    columns = [conv.alias("conv_id"), lone.alias("lone"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string"), F.col("text").cast("string")]
+    return rows.select(*columns).repartition("conv_id", "lone").sortWithinPartitions("conv_id", "lone", "turn", "role", "text")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[Turn]]]:
     held: list[Turn] = []
-    last: int | None = None
+    last: tuple | None = None
     for batch in batches:
-        for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
-            if held and conv != last:
-                yield last, held
+        for conv, lone, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "lone", "role", "text"))):
+            if held and (conv, lone) != last:
+                yield last[0], held
                 held = []
             held.append((role or "", text or ""))
-            last = conv
+            last = (conv, lone)
     if held:
-        yield last, held
+        yield last[0], held
 
 
 def format_conversations(rows: DataFrame, render: Template = framed, id_column: str = "conv_id") -> DataFrame:
     """conv_id, formatted, turns: each turn's span, its text's span, loss and rewrite marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("role", pa.string()), *((n, pa.int32()) for n in ("start", "end", "text_start", "text_end")), ("loss", pa.bool_()), ("rewrites", pa.bool_())]))
+        kind = pa.list_(pa.struct([("role", pa.string()), *((n, pa.int32()) for n in ("start", "end", "text_start", "text_end")), *((n, pa.bool_()) for n in ("loss", "rewrites", "located"))]))
         ids, texts, spans, size = [], [], [], 0
         for conv, turns in _runs(batches):
             text, found = locate(render, turns)
@@ -181,12 +220,12 @@ def verified(formatted: DataFrame) -> DataFrame:
                 for role, said in turns:
                     all_turns.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
                 loss = "".join(unescape(text[s["text_start"] : s["text_end"]]) for s in spans if s["loss"])
-                rows.append((conv, len(turns), all_turns.hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(text), sum(s["rewrites"] for s in spans)))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_rewrites"]
+                rows.append((conv, len(turns), all_turns.hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(text), sum(s["rewrites"] for s in spans), sum(not s["located"] for s in spans)))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_rewrites", "n_unlocated"]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_rewrites long")
+    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_rewrites long, n_unlocated long")
 
 
 def _escaped_sql(column: str) -> str:
@@ -203,7 +242,7 @@ WITH turns AS (
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]', 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', '</s>[INST] ok [/INST]'
 ), parts AS (
-  SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
+  SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
     length({_escaped_sql("role")}) AS role_size, length({_escaped_sql("text")}) AS text_size
   FROM turns
 )
@@ -212,6 +251,6 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length(loss)) AS BIGINT) AS loss_chars,
   sha256(string_agg(loss, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)) AS loss_sha256,
   CAST(sum({len(START) + len(END) + 2} + length(CAST(role_size AS VARCHAR)) + role_size + text_size) AS BIGINT) AS formatted_chars,
-  CAST(0 AS BIGINT) AS n_rewrites
-FROM parts GROUP BY conv_id
+  CAST(0 AS BIGINT) AS n_rewrites, CAST(0 AS BIGINT) AS n_unlocated
+FROM parts GROUP BY conv_id, lone
 """

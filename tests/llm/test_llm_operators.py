@@ -300,6 +300,35 @@ def test_chat_detects_rewritten_history():
     assert text[spans[2]["text_start"] : spans[2]["text_end"]] == "yo" and spans[2]["loss"]
 
 
+def test_chat_marks_what_it_cannot_locate():
+    turns = [("user", "hello there"), ("assistant", "a longer answer"), ("assistant", "")]
+    sized = lambda turns: "".join(f"<{r} {len(t)}>{t}</>" for r, t in turns)
+    text, spans = chatformat.locate(sized, turns)
+    assert [text[s["text_start"] : s["text_end"]] for s in spans] == [t for _, t in turns] and all(s["located"] for s in spans)
+    hashed = lambda turns: "".join(f"<{zlib.crc32(t.encode())}>{t}</>" for _, t in turns)
+    _, spans = chatformat.locate(hashed, turns)
+    assert [(s["located"], s["loss"], s["rewrites"]) for s in spans] == [(False, False, False)] * 2 + [(True, True, False)]
+    upper = lambda turns: "".join(f"<{t[:4]}</>" for _, t in turns)
+    assert not any(s["loss"] for s in chatformat.locate(upper, turns)[1][:2])
+
+
+def test_chat_many_turns_repeats_and_null_ids(spark):
+    import time
+
+    def took(n):
+        turns = [("assistant" if k % 2 else "user", f"turn {k} of a conversation that goes on") for k in range(n)]
+        begin = time.perf_counter()
+        text, spans = chatformat.locate(chatformat.Framed(), turns)
+        assert chatformat.read_back(text) == turns and "".join(text[s["text_start"] : s["text_end"]] for s in spans if s["loss"]) == "".join(t for r, t in turns if r == "assistant")
+        return time.perf_counter() - begin
+
+    assert took(4000) < 40 * took(1000) + 1
+    rows = [(None, 0, "assistant", "a")] * 40 + [(None, 1, "user", None)] + [(1, 0, "assistant", "same")] * 3
+    table = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, lone int")
+    got = chatformat.verified(chatformat.format_conversations(table)).collect()
+    assert sorted((r.conv_id or 0, r.n_turns, r.loss_chars) for r in got) == [(0, 1, 0)] + [(0, 1, 1)] * 40 + [(1, 3, 12)]
+
+
 # ---- 5: toxicity ----------------------------------------------------------------------
 
 
