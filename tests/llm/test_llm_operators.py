@@ -351,6 +351,47 @@ def test_toxicity_learns_and_handles_edges(spark):
     assert toxcnn.fit_on(docs_of(spark, EDGE), labels) is not None
 
 
+def plain_score(model, text):
+    """One filter at one place at a time."""
+    words = toxcnn.words_of(text)
+    vectors = [sum(model.embed[r].astype(float) for r in toxcnn.slots_of(w)) for w in words]
+    z, unit = float(model.bias), 0
+    for width, filters, shift in zip(toxcnn.WIDTHS, model.filters, model.shift):
+        for f in range(toxcnn.FILTERS):
+            best = None
+            for at in range(len(vectors)):
+                x = shift[f]
+                for j in range(width):
+                    if at + j < len(vectors):
+                        x += float(vectors[at + j] @ filters[j * toxcnn.DIM : (j + 1) * toxcnn.DIM, f])
+                best = x if best is None or x > best else best
+            z += max(best or 0, 0) * float(model.out[unit]) if vectors else 0
+            unit += 1
+    return 1 / (1 + np.exp(-(z - model.cut[toxcnn.language_of(words)])))
+
+
+def test_toxicity_scores_match_brute_force(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["the", "und", "vile", "good", "é", "x1"]) for _ in range(rng.randrange(0, 30))) for _ in range(30)]
+    model = toxcnn.train(texts, [int("vile" in t) for t in texts], epochs=2)
+    monkeypatch.setattr(toxcnn, "CHUNK", 4)
+    rows = [*texts, *texts[:5], None]
+    got = toxcnn.score(docs_of(spark, rows).withColumnRenamed("id", "a.b"), model, ["doc_id", "a.b"]).orderBy("doc_id").collect()
+    assert np.allclose([r.score for r in got], [plain_score(model, t) for t in rows], atol=1e-4)
+    assert [r.score for r in got[:5]] == [r.score for r in got[30:35]] and got[0]["a.b"] == "x"
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxcnn, "train", lambda texts, toxic: seen.append(texts))
+    monkeypatch.setattr(toxcnn, "SAMPLE_CHARS", 100)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    toxcnn.fit_on(docs_of(spark, ["ten chars!"] * 60), labels, 20)
+    monkeypatch.setattr(toxcnn, "SAMPLE_CHARS", 10**6)
+    toxcnn.fit_on(docs_of(spark, ["ten chars!"] * 60), labels, 20)
+    assert [len(t) for t in seen] == [10, 20]
+
+
 def test_language_of_counts_every_word():
     sentence = "house the of and to in is that for it was on with as by this from at".split()
     for repeats in (400, 1000):
