@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -14,6 +15,7 @@ from sievetext.functions.regexes import let, to_java
 #: Characters up to U+0131 that compatibility composition leaves alone.
 STABLE = r"^[\x00-\x{9F}\x{A1}-\x{A7}\x{A9}\x{AB}-\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{131}]*$"
 ZERO_WIDTH = r"[\x{200b}-\x{200f}\x{2060}\x{feff}]"
+_DASHES, _BLANKS = re.compile("[\u2212\u2010-\u2015\u30fc]"), re.compile("[ \t\u3000]+")
 SPACE = to_java(r"\s")
 #: The characters of SPACE, for functions that take a list.
 SPACES = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -45,15 +47,26 @@ def nfkc(text: Column) -> Column:
     return F.when(plain, text).otherwise(_nfkc(F.when(~plain, text)))
 
 
-def normalize(text: Column) -> Column:
-    """NFKC, one dash and one blank; printable ASCII without double blanks is left alone."""
-    untouched = text.rlike(r"^[\x20-\x7E]+$") & ~text.rlike(r"[ \t]{2,}")
+def normal(text: str) -> str:
+    """One text composed, with one kind of dash and single blanks, trimmed unless blank."""
+    out = _BLANKS.sub(" ", _DASHES.sub("-", unicodedata.normalize("NFKC", text)))
+    return out.strip(SPACES) or out
+
 
-    def cleaned(t: Column) -> Column:
-        dashed = _replaced(t, r"[\x{2212}\x{2010}-\x{2015}\x{30FC}]", "-")
-        return let(_replaced(dashed, r"[ \t\x{3000}]+", " ", r"[ \t\x{3000}]{2}|[\t\x{3000}]"), lambda out: F.when(is_blank(out), out).otherwise(trim(out)))
+@F.pandas_udf(StringType())
+def _normal(text: pd.Series) -> pd.Series:
+    return text.map(normal, na_action="ignore")
 
-    return F.when(untouched, text).otherwise(let(nfkc(F.when(~untouched, text)), cleaned))
+
+def normalize(text: Column) -> Column:
+    """NFKC, one dash and one blank; printable ASCII without double blanks is left alone.
+
+    Stable Latin texts, which hold no dashes but the plain one, are cleaned in the JVM.
+    """
+    untouched, plain = text.rlike(r"^ ?(?:[\x21-\x7E]++ ?)*+$"), text.rlike(STABLE)
+    squeezed = _replaced(text, r"[ \t]+", " ", r"[ \t]{2}|\t")
+    cleaned = F.when(text.rlike(to_java(r"\S")), trim(squeezed)).otherwise(squeezed)
+    return F.when(untouched, text).when(plain, cleaned).otherwise(_normal(F.when(~plain, text)))
 
 
 #: Fixed character references.

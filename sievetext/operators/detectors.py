@@ -12,6 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sievetext.functions import headers
 from sievetext.functions import text as T
 from sievetext.functions.regexes import to_java
 
@@ -101,6 +102,15 @@ def _ipv6(value: Column, start: Column, src: Column) -> Column:
     return F.when(short, ~F.regexp_replace(value, "::", "").contains("::") & (pieces <= 7)).otherwise(pieces == 8)
 
 
+def _cookie(value: Column, start: Column, src: Column) -> Column:
+    """Some cookie of the header has a value of eight characters or more."""
+    return F.exists(headers.cookies(value), lambda c: F.length(c["value"]) >= 8)
+
+
+def _set_cookie(value: Column, start: Column, src: Column) -> Column:
+    return F.coalesce(F.length(headers.set_cookie(value)["value"]) >= 8, F.lit(False))
+
+
 CORE = (
     Detector("email", to_java(EMAIL, "i"), "medium", 10, 0.7, trigger=("@",)),
     Detector("credit_card", to_java(CARD), "high", 10, 0.7, test=_card),
@@ -124,9 +134,9 @@ US = (
 )
 
 
-def _secret(type_: str, body: str, priority: int, confidence: float, words: str = "", trigger: str = "", risk: str = "high", flags: str = "", bounded: bool = True, group: int = 0, merge: int = 0) -> Detector:
+def _secret(type_: str, body: str, priority: int, confidence: float, words: str = "", trigger: str = "", risk: str = "high", flags: str = "", bounded: bool = True, group: int = 0, merge: int = 0, test: Test | None = None) -> Detector:
     pattern = rf"{NO_MONEY}\b{body}\b{NO_MONEY_AFTER}" if bounded else body
-    return Detector(type_, to_java(pattern, flags), risk, priority, confidence, tuple(words.lower().split()), tuple(trigger.split()), group=group, merge=merge)
+    return Detector(type_, to_java(pattern, flags), risk, priority, confidence, tuple(words.lower().split()), tuple(trigger.split()), test, group, merge)
 
 
 AUTH, SESSION, API_KEY, COOKIE = "Authorization Bearer Basic Auth Token", "session sess JSESSIONID PHPSESSID", "API-Key X-API-Key X-Auth-Token API_KEY", "Cookie Set-Cookie Session"
@@ -150,8 +160,8 @@ SECURITY = (
     _secret("sec_client_secret", r"[?&](?:client_id|client_secret)=(?![¥$€£¢])[^&\s¥$€£¢]{8,}(?![¥$€£¢])", 0, 0.9, trigger="client_", flags="i", bounded=False),
     _secret("sec_url_token", r"[?&](?:token|access_token|refresh_token|client_secret|auth_token)=(?![¥$€£¢])[^&\s¥$€£¢]{8,}(?![¥$€£¢])", 0, 0.8, trigger="? &", flags="i", bounded=False),
     _secret("sec_url_token", r"[?&]api_key=(?![¥$€£¢])[^&\s¥$€£¢]{8,}(?![¥$€£¢])", 0, 0.65, trigger="? &", risk="medium", flags="i", bounded=False),
-    _secret("sec_cookie", r"Cookie\s*:\s*[^;\r\n]+(?:;\s*[^;\r\n]+)*", 0, 0.7, COOKIE, risk="medium", flags="i", bounded=False),
-    _secret("sec_set_cookie", r"Set-Cookie\s*:\s*[^;\r\n]+(?:;\s*[^;\r\n]+)*", 0, 0.72, COOKIE, risk="medium", flags="i", bounded=False),
+    _secret("sec_cookie", r"Cookie\s*:\s*[^;\r\n]+(?:;\s*[^;\r\n]+)*", 0, 0.7, COOKIE, risk="medium", flags="i", bounded=False, test=_cookie),
+    _secret("sec_set_cookie", r"Set-Cookie\s*:\s*[^;\r\n]+(?:;\s*[^;\r\n]+)*", 0, 0.72, COOKIE, risk="medium", flags="i", bounded=False, test=_set_cookie),
     _secret("sec_webhook_url", r"https://hooks\.slack\.com/services/T[A-Z0-9]{8}/B[A-Z0-9]{8}/[A-Za-z0-9]{24,}", 0, 0.82, trigger="hooks.slack.com", bounded=False),
     _secret("sec_webhook_url", r"https://(?:discord|discordapp)\.com/api/webhooks/\d{16,32}/[A-Za-z0-9_-]{30,}", 0, 0.82, trigger="/api/webhooks/", bounded=False),
     _secret("sec_webhook_url", r"https://api\.github\.com/repos/[^/]+/[^/]+/hooks/\d+", 0, 0.82, trigger="api.github.com", bounded=False),

@@ -73,22 +73,29 @@ def confidence_histogram(judged: DataFrame) -> DataFrame:
 
 
 def broken_annotations(docs: DataFrame, text: str = "text", annotations: str = "annotations") -> DataFrame:
-    """Annotations out of bounds, overlapping the one before, or not equal to their text."""
+    """Annotations out of bounds, beginning before an earlier one has ended, or not equal to their text."""
     order = F.array_sort(F.transform(annotations, lambda a: F.struct(a["start"], a["end"], a["type"], a["value"])))
-    rows = docs.select("*", F.posexplode(order).alias("__k", "a")).select("*", F.when(F.col("__k") > 0, F.element_at(order, F.col("__k"))["end"]).alias("__before"))
+    # the furthest end so far, so that a short one inside a long one does not hide the long one
+    ends = F.transform(order, lambda a, k: F.struct(a.alias("a"), F.array_max(F.transform(F.slice(order, 1, k), lambda b: b["end"])).alias("before")))
+    rows = docs.select("*", F.explode_outer(ends).alias("__x")).where("__x IS NOT NULL").select("*", F.col("__x.a").alias("a"), F.col("__x.before").alias("__before"))
     start, end = F.col("a.start"), F.col("a.end")
     why = F.when((start < 0) | (end <= start) | (end > F.length(text)), "bounds").when(F.col("__before") > start, "overlap").when(F.substring(F.col(text), start + 1, end - start) != F.col("a.value"), "value")
-    return rows.withColumn("why", why).where("why IS NOT NULL").drop("__k", "__before", annotations)
+    return rows.withColumn("why", why).where("why IS NOT NULL").drop("__x", "__before", annotations)
 
 
-def summary(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
-    """count, mean, median, sample deviation, min, max and the 25th, 75th and 95th percentiles."""
-    v = F.col(value)
-    p = lambda q: F.percentile(v, F.lit(q))
-    return df.groupBy(*by).agg(
-        F.count(v).alias("count"), F.coalesce(F.avg(v), F.lit(0.0)).alias("mean"), F.median(v).alias("median"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std_dev"),
-        F.min(v).alias("min"), F.max(v).alias("max"), p(0.25).alias("p25"), p(0.75).alias("p75"), p(0.95).alias("p95"),
+def summary(df: DataFrame, value: str, by: list[str] = (), accuracy: int | None = None) -> DataFrame:
+    """count, mean, median, sample deviation, min, max and the 25th, 75th and 95th percentiles.
+
+    Exact percentiles count a group's distinct values in one task; all four share that count. With
+    ``accuracy`` they are approximate, of bounded size, with relative rank error 1 / accuracy.
+    """
+    v, at = F.col(value), F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75, 0.95)])
+    places = F.percentile(v, at) if accuracy is None else F.percentile_approx(v, at, accuracy)
+    out = df.groupBy(*by).agg(
+        F.count(v).alias("count"), F.coalesce(F.avg(v), F.lit(0.0)).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std_dev"), F.min(v).alias("min"), F.max(v).alias("max"), places.alias("__p"),
     )
+    named = [F.col("__p")[k].alias(n) for k, n in ((1, "median"), (0, "p25"), (2, "p75"), (3, "p95"))]
+    return out.select(*by, "count", "mean", named[0], "std_dev", "min", "max", *named[1:])
 
 
 #: Fixed critical values that the interval uses.
@@ -104,13 +111,56 @@ def confidence_interval(df: DataFrame, value: str, level: float = 0.95, by: list
     return out.select(*by, "mean", margin.alias("margin"), (F.col("mean") - margin).alias("lower"), (F.col("mean") + margin).alias("upper"))
 
 
-def t_test(df: DataFrame, value: str, group: str, first, second) -> DataFrame:
-    """Pooled two-sample t statistic and degrees of freedom."""
+def rough_p_value(t: Column, df: Column) -> Column:
+    """0.5 up to t = 1, 0.001 beyond 4, an exponential between; larger for fewer than 10 degrees of freedom."""
+    factor = F.when(df > 10, 1.0).otherwise(1 + (10 - df) * 0.1)
+    return F.when(t < 1, 0.5).when(t > 4, 0.001).otherwise(F.greatest(F.lit(0.001), 0.5 * F.exp(-t * factor)))
+
+
+def t_test(df: DataFrame, value: str, group: str, first, second, alpha: float = 0.05) -> DataFrame:
+    """Pooled two-sample t statistic, degrees of freedom, rough p-value and whether it is under ``alpha``.
+
+    With fewer than two values on a side t is 0 and p is 1; so is t without any spread.
+    """
     part = lambda g: F.when(F.col(group) == g, F.col(value))
     stats = df.agg(*[f(part(g)).alias(f"{n}{k}") for k, g in ((1, first), (2, second)) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
     pooled = ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / (F.col("n1") + F.col("n2") - 2)
     error = F.sqrt(pooled * (1 / F.col("n1") + 1 / F.col("n2")))
-    return stats.select((F.col("n1") + F.col("n2") - 2).alias("df"), F.when(error > 0, (F.col("m1") - F.col("m2")) / error).otherwise(0.0).alias("t"))
+    enough = (F.col("n1") >= 2) & (F.col("n2") >= 2)
+    t = stats.select(enough.alias("enough"), F.greatest(F.lit(0), F.col("n1") + F.col("n2") - 2).alias("df"), F.when(enough & (error > 0), (F.col("m1") - F.col("m2")) / error).otherwise(0.0).alias("t"))
+    t = t.withColumn("p", F.when(F.col("enough"), rough_p_value(F.abs("t"), F.col("df"))).otherwise(1.0))
+    return t.select("df", "t", "p", (F.col("p") < alpha).alias("significant"))
+
+
+def trust_counts(scanned: DataFrame, segments: str = "segments", by: list[str] = ()) -> DataFrame:
+    """Segments of each trust level, and their characters."""
+    one = scanned.select(*by, F.explode_outer(segments).alias("s")).where("s IS NOT NULL")
+    return one.groupBy(*by, F.col("s.trust").alias("trust")).agg(F.count(F.lit(1)).alias("segments"), F.sum(F.length("s.content")).cast("long").alias("chars"))
+
+
+def benchmark_summary(runs: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Of runs (chars, ms, bytes): how many, characters and runs a second, memory, and how time goes with size."""
+    out = runs.groupBy(*by).agg(F.count(F.lit(1)).alias("runs"), F.sum("chars").alias("__chars"), F.sum("ms").alias("__ms"), F.avg("bytes").alias("mean_bytes"), F.max("bytes").alias("most_bytes"), F.corr("chars", "ms").alias("__r"))
+    second = F.greatest(F.col("__ms"), F.lit(1e-9)) / 1000
+    return out.select(*by, "runs", (F.col("__chars") / second).alias("chars_per_s"), (F.col("runs") / second).alias("runs_per_s"), "mean_bytes", "most_bytes", F.coalesce(F.nanvl("__r", F.lit(0.0)), F.lit(0.0)).alias("size_time_r"))
+
+
+def large_text(scanned: DataFrame, threshold: float = 60, by: list[str] = ()) -> DataFrame:
+    """A text scanned in chunks: safe if its mean risk is under the threshold."""
+    out = scanned.groupBy(*by).agg(F.count(F.lit(1)).alias("chunks"), F.avg("risk").alias("mean_risk"), F.max("risk").alias("highest_risk"), F.sum(F.size("matches")).cast("long").alias("matches"))
+    return out.withColumn("safe", F.col("mean_risk") < threshold)
+
+
+#: How named metrics are combined.
+METRICS = {"sum": F.sum, "average": F.avg, "max": F.max, "min": F.min, "count": F.count}
+
+
+def metric(rows: DataFrame, kind: str, by: list[str] = (), value: str = "value", edges: tuple[float, ...] = ()) -> DataFrame:
+    """One metric by columns; a histogram counts the values up to each edge, and all as the last."""
+    if kind == "histogram":
+        counts = [F.count_if(F.col(value) <= e).cast("long") for e in edges]
+        return rows.groupBy(*by).agg(F.array(*counts, F.count(value)).alias(kind))
+    return rows.groupBy(*by).agg(METRICS[kind](value).alias(kind))
 
 
 def correlation(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Prompt-injection guard: match, score, segment by trust, sanitise; all column expressions.
 
-A null text is unsafe with risk 100; a blank one is safe with risk 0.
+A null text is unsafe with risk 100; a blank one is safe with risk 0. Every match counts; a
+caller who wants limits sets ``Guard.each`` and ``Guard.most``, and ``truncated`` then tells which
+texts had more. The quick scan stops early by design: it counts up to ten matches a pattern.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ MATCH = "struct<pattern:string,index:int,match:string,severity:string,category:s
 NO_MATCH = f"cast(array() as array<{MATCH}>)"
 SEGMENT = "struct<content:string,trust:string,risk:int,source:string,original_trust:string>"
 NO_SEGMENT = f"cast(array() as array<{SEGMENT}>)"
-EACH, MOST = 10, 50
 RISK_WEIGHT = {"low": 20, "medium": 45, "high": 85, "critical": 100}
 QUICK_WEIGHT = {"low": 20, "medium": 45, "high": 75, "critical": 95}
 
@@ -34,32 +35,41 @@ class Guard:
     separate: bool = True
     patterns: tuple[Pattern, ...] = PATTERNS
     custom_rules: tuple[Rule, ...] = ()
+    #: Most matches a pattern, and matches after which no further pattern is tried; none given: all.
+    each: int | None = None
+    most: int | None = None
 
 
-def _found(content: Column, low: Column, p: Pattern, most: int) -> Column:
+def _found(content: Column, low: Column, p: Pattern) -> Column:
     def shaped(m: Column) -> Column:
         return F.struct(
             F.lit(p.id).alias("pattern"), (F.instr(content, m) - 1).alias("index"), m.alias("match"), F.lit(p.severity).alias("severity"), F.lit(p.category).alias("category"), F.lit(p.weight).alias("confidence")
         )
 
-    found = F.transform(F.slice(F.regexp_extract_all(content, F.lit(p.java), F.lit(0)), 1, most), shaped)
+    found = F.transform(F.regexp_extract_all(content, F.lit(p.java), F.lit(0)), shaped)
     if not p.needs:
         return found
     return F.when(reduce(or_, (low.contains(x) for x in p.needs)), found).otherwise(F.expr(NO_MATCH))
 
 
-def matches(content: Column, patterns: tuple[Pattern, ...] = PATTERNS, severities: tuple[str, ...] | None = None, most: int = MOST, each: int = EACH) -> Column:
+def matches(content: Column, patterns: tuple[Pattern, ...] = PATTERNS, severities: tuple[str, ...] | None = None, most: int | None = None, each: int | None = None, low: Column | None = None) -> Column:
     """Matches by pattern priority, at most ``each`` a pattern; no more patterns after ``most``.
 
-    Equal match texts share the index of the first. The cap is tested between patterns, so a
-    pattern's matches stay together.
+    Equal match texts share the index of the first. The limit is tested between patterns, so a
+    pattern's matches stay together. ``low`` is the text in lower case, where that is at hand.
     """
 
     def tried(low: Column) -> Column:
-        groups = F.array(*[_found(content, low, p, each) for p in ordered(patterns, severities)])
-        return F.aggregate(groups, F.expr(NO_MATCH), lambda kept, more: F.when(F.size(kept) >= most, kept).otherwise(F.concat(kept, more)))
+        groups = [_found(content, low, p) for p in ordered(patterns, severities)]
+        if not groups:
+            return F.expr(NO_MATCH)
+        if each:
+            groups = [F.slice(g, 1, each) for g in groups]
+        if not most:
+            return F.concat(*groups)
+        return F.aggregate(F.array(*groups), F.expr(NO_MATCH), lambda kept, more: F.when(F.size(kept) >= most, kept).otherwise(F.concat(kept, more)))
 
-    return let(F.lower(content), tried)
+    return let(F.lower(content), tried) if low is None else tried(low)
 
 
 def _weight(table: dict[str, int], severity: Column) -> Column:
@@ -95,21 +105,19 @@ def quick_scan(content: Column, guard: Guard = Guard()) -> Column:
     t = guard.threshold
 
     def scored(found: Column) -> Column:
-        return F.struct(found.alias("m"), quick_risk(found).alias("r"))
+        return let(found, lambda f: F.struct(f.alias("m"), quick_risk(f).alias("r")))
 
-    def more(s: Column, condition: Column, content: Column, severity: str, most: int) -> Column:
-        extra = lambda: scored(F.concat(s["m"], matches(content, guard.patterns, (severity,), most)))
-        return F.when(condition, extra()).otherwise(s)
+    def run(c: Column, low: Column) -> Column:
+        def more(s: Column, condition: Column, severity: str, most: int) -> Column:
+            return F.when(condition, scored(F.concat(s["m"], matches(c, guard.patterns, (severity,), most, 10, low)))).otherwise(s)
 
-    def run(c: Column) -> Column:
-        critical = F.slice(matches(c, guard.patterns, ("critical",), 5), 1, 1)
-        one = scored(critical)
-        two = let(one, lambda s: more(s, (s["r"] < t) & ((F.size(s["m"]) == 0) | (s["r"] < t * 0.5)), c, "high", 10))
-        three = let(two, lambda s: more(s, (s["r"] > t * 0.3) & (s["r"] < t * 0.8), c, "medium", 5))
+        one = scored(F.slice(matches(c, guard.patterns, ("critical",), 5, 10, low), 1, 1))
+        two = let(one, lambda s: more(s, (s["r"] < t) & ((F.size(s["m"]) == 0) | (s["r"] < t * 0.5)), "high", 10))
+        three = let(two, lambda s: more(s, (s["r"] > t * 0.3) & (s["r"] < t * 0.8), "medium", 5))
         return let(three, lambda s: F.struct((s["r"] < t).alias("safe"), F.least(F.lit(100.0), s["r"]).alias("risk")))
 
     bad = F.struct(F.lit(False).alias("safe"), F.lit(100.0).alias("risk"))
-    return F.when(content.isNull(), bad).otherwise(let(T.normalize_encoding(content), run))
+    return F.when(content.isNull(), bad).otherwise(let(T.normalize_encoding(content), lambda c: let(F.lower(c), lambda low: run(c, low))))
 
 
 def apply_rule(content: Column, rule: Rule) -> Column:
@@ -245,15 +253,20 @@ def threat_level(value: Column) -> Column:
 
 
 def scan(docs: DataFrame, guard: Guard = Guard(), trust: str = "user", text: str = "text") -> DataFrame:
-    """``docs`` with matches, segments, risk, safe and sanitized."""
+    """``docs`` with matches, truncated, segments, risk, safe and sanitized."""
     blank = F.coalesce(T.is_blank(F.col(text)), F.lit(False))
     usable = F.col(text).isNotNull() & ~blank
     out = docs.withColumn("__c", F.when(usable, T.normalize_encoding(F.col(text))))
     rules = (*guard.custom_rules, *RULES)
-    out = out.withColumn("matches", F.when(usable, matches(F.col("__c"), guard.patterns)).otherwise(F.expr(NO_MATCH)))
+    out = out.withColumn("__all", F.when(usable, matches(F.col("__c"), guard.patterns)).otherwise(F.expr(NO_MATCH)))
+    if guard.each or guard.most:
+        out = out.withColumn("matches", F.when(usable, matches(F.col("__c"), guard.patterns, None, guard.most, guard.each)).otherwise(F.expr(NO_MATCH)))
+    else:
+        out = out.withColumn("matches", F.col("__all"))
+    out = out.withColumn("truncated", F.size("matches") < F.size("__all"))
     whole = F.array(F.struct(F.col("__c").alias("content"), F.lit(trust).alias("trust"), F.lit(0).alias("risk"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("original_trust")))
     out = out.withColumn("segments", F.when(usable, merge_segments(segments(F.col("__c"), trust)) if guard.separate else whole).otherwise(F.expr(NO_SEGMENT)))
     score = F.when(F.col(text).isNull(), 100.0).when(blank, 0.0).otherwise(trust_adjusted(risk(F.col("matches")), trust))
     out = out.withColumn("risk", score).withColumn("safe", F.col(text).isNotNull() & (F.col("risk") < guard.threshold))
     clean = sanitize(F.col("__c"), F.col("matches"), rules) if guard.sanitize else F.col("__c")
-    return out.withColumn("sanitized", F.when(usable, clean).otherwise(F.col(text))).drop("__c")
+    return out.withColumn("sanitized", F.when(usable, clean).otherwise(F.col(text))).drop("__c", "__all")

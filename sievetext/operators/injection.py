@@ -77,12 +77,11 @@ NEEDS = {
 }
 PATTERNS = tuple(p._replace(needs=tuple(NEEDS.get(p.id, "").split())) for p in PATTERNS)
 
-PAST = "(?:previous|prior|above|earlier)"
 RULES = (
     Rule(r"#\s*system\s*[:\]]", "remove", "context_marker"),
     Rule(r"\[(?:INST|instruction|system)\]", "remove", "context_marker"),
     Rule(r"<\|(?:im_start|im_end|system|user|assistant)\|>", "remove", "context_marker"),
-    Rule(rf"ignore\s+(?:all\s+)?{PAST}\s+(?:instructions?|commands?|directives?|prompts?)", "replace", OVERRIDE, "[REQUEST_TO_IGNORE_INSTRUCTIONS]"),
+    Rule(r"ignore\s+(?:all\s+)?(?:previous|prior|above|earlier)\s+(?:instructions?|commands?|directives?|prompts?)", "replace", OVERRIDE, "[REQUEST_TO_IGNORE_INSTRUCTIONS]"),
     Rule(r"disregard\s+(?:all\s+)?(?:above|previous|prior|earlier)\s+(?:instructions?|commands?|content)", "replace", OVERRIDE, "[REQUEST_TO_DISREGARD_CONTENT]"),
     Rule(r"forget\s+(?:all\s+)?(?:previous|prior|above|earlier|your)\s+(?:instructions?|commands?|training)", "replace", OVERRIDE, "[REQUEST_TO_FORGET_INSTRUCTIONS]"),
     Rule(r"(?:execute|run|eval)\s+(?:this\s+)?(?:code|command|script|python|javascript)", "quote", EXECUTE),
@@ -101,9 +100,6 @@ MARKERS = (
 )
 TRUST_ORDER = {"system": 0, "user": 1, "tool-output": 2, "untrusted": 3}
 TRUST_FACTOR = {"system": 0.1, "user": 1.0, "tool-output": 1.2, "untrusted": 2.0}
-#: Preset levels: risk threshold and severities looked at.
-LEVELS = {"strict": (30, ("critical", "high", "medium", "low")), "balanced": (60, ("critical", "high", "medium", "low")), "permissive": (80, ("critical", "high"))}
-
 
 def ordered(patterns: tuple[Pattern, ...], severities: tuple[str, ...] | None = None) -> list[Pattern]:
     """By severity and weight, the given order among equals."""

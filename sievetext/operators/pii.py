@@ -1,12 +1,16 @@
 """Detection and redaction of personal data as one narrow projection for each text.
 
 normalise -> match every detector -> resolve overlaps -> allow and deny lists -> confidence
--> threshold -> rewrite. Everything is a column expression; the only Python is NFKC, for
-texts that are not ASCII.
+-> threshold -> rewrite. Everything is a column expression; the only Python is normalisation,
+for texts beyond stable Latin.
+
+Every hit of every text counts. A caller who wants a limit sets ``Policy.most_hits``; then a text
+keeps its first hits in push order, and ``truncated`` tells which texts had more.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
@@ -14,15 +18,15 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievetext.functions import headers
 from sievetext.functions import text as T
-from sievetext.functions.regexes import fold_spans, let, to_java
+from sievetext.functions.regexes import CHUNK, fold_spans, let, spans, to_java
 from sievetext.operators import validators
 from sievetext.operators.detectors import GATES, PACKS, Detector, around
 
 HIT = "struct<type:string,start:int,end:int,value:string,risk:string,priority:int,confidence:double,ord:int>"
 NONE = f"cast(array() as array<{HIT}>)"
 SPANS = "cast(array() as array<struct<value:string,start:int,end:int>>)"
-MOST_HITS, MOST_CHARS = 200, 10_000_000
 RISK_RANK = {"low": 1, "medium": 2, "high": 3}
 THRESHOLDS = {"strict": 0.5, "balanced": 0.7, "relaxed": 0.85}
 #: Fixed local parts and domains that are no personal data.
@@ -48,6 +52,12 @@ class Policy:
     allow: dict[str, tuple[str, ...]] = field(default_factory=dict)
     deny: dict[str, tuple[str, ...]] = field(default_factory=dict)
     detectors: tuple[Detector, ...] = ()
+    #: Hits of a text that are kept; none given: all.
+    most_hits: int | None = None
+    #: Names of cookies that are no secrets; one final ``*`` stands for any ending.
+    cookie_allow: tuple[str, ...] = ()
+    #: Masks by type, in place of the built-in ones: value -> replacement.
+    maskers: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         actions = {"mask", "remove", "tokenize", "ignore"}
@@ -57,6 +67,9 @@ class Policy:
             raise ValueError("tokenize needs an hmac_key of at least 32 characters")
         if self.strictness not in ("fast", "balanced", "strict"):
             raise ValueError(f"unknown strictness {self.strictness!r}")
+        if self.most_hits is not None and self.most_hits < 1:
+            raise ValueError("most_hits must be positive")
+        headers.check_allowlist(self.cookie_allow)
         if self.sensitivity not in (None, *THRESHOLDS):
             raise ValueError(f"unknown sensitivity {self.sensitivity!r}")
 
@@ -78,17 +91,15 @@ def _hits_of(d: Detector, k: int, src: Column, low: Column, strictness: str) ->
         tests = [d.test(s["value"], s["start"], src)] if d.test and not d.merge else []
         if strictness != "fast":
             tests.append(validators.is_valid(s["value"], F.lit(d.type), around(src, s["start"], s["value"], 48), strictness))
-        return reduce(and_, tests, F.lit(True))
-
-    def taken(out: Column, s: Column) -> Column:
-        # every match is tested; beyond MOST_HITS accepted ones none can be among the text's first
-        return F.when((F.size(out) < MOST_HITS) & accepted(s), F.concat(out, F.array(s))).otherwise(out)
+        return reduce(and_, tests) if tests else None
 
     if d.merge:
         kept = lambda s: d.test(s["value"], s["start"], src) if d.test else F.lit(True)
-        found = F.aggregate(_merged(src, d.pattern, d.merge, kept), F.expr(SPANS), taken)
+        found = _merged(src, d.pattern, d.merge, kept)
     else:
-        found = fold_spans(src, d.pattern, F.expr(SPANS), taken)
+        found = spans(src, d.pattern)
+    if (d.test and not d.merge) or strictness != "fast":
+        found = F.filter(found, accepted)
     hits = F.transform(found, shaped)
     needed = []
     if d.trigger:
@@ -99,14 +110,19 @@ def _hits_of(d: Detector, k: int, src: Column, low: Column, strictness: str) ->
 
 
 def _all_hits(detectors: list[Detector], text: Column, low: Column, strictness: str = "fast") -> Column:
-    """Hits in push order, the first MOST_HITS; detectors behind one gate are skipped together."""
+    """Hits of every detector; detectors behind one gate are skipped together."""
     parts = []
     for gate in dict.fromkeys(d.gate for d in detectors):
         group = F.concat(*[_hits_of(d, k, text, low, strictness) for k, d in enumerate(detectors) if d.gate == gate])
         parts.append(F.when(text.rlike(GATES[gate]), group).otherwise(F.expr(NONE)) if gate else group)
+    return F.concat(*parts)
+
+
+def _first(hits: Column, most: int) -> Column:
+    """The first hits in push order: by detector, then start."""
     key = lambda h: F.struct(h["ord"], h["start"])
     order = lambda a, b: F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0)
-    return let(F.concat(*parts), lambda all_: F.when(F.size(all_) > MOST_HITS, F.slice(F.array_sort(all_, order), 1, MOST_HITS)).otherwise(all_))
+    return F.when(F.size(hits) > most, F.slice(F.array_sort(hits, order), 1, most)).otherwise(hits)
 
 
 def _merged(src: Column, pattern: str, least: int, kept) -> Column:
@@ -137,20 +153,32 @@ def resolve(hits: Column) -> Column:
     displaced hit does not come back, and the bound may shrink with the new one.
     """
     key = lambda h: F.struct(h["start"], -(h["end"] - h["start"]), h["ord"])
-    order = F.array_sort(hits, lambda a, b: F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0))
+    sorted_ = lambda x: F.array_sort(x, lambda a, b: F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0))
 
-    def step(kept: Column, h: Column) -> Column:
-        last = F.element_at(kept, -1)
+    def step(s: Column, h: Column) -> Column:
+        last = s["last"]
         size, was = h["end"] - h["start"], last["end"] - last["start"]
         ties = F.when(_rank(h["risk"]) != _rank(last["risk"]), _rank(h["risk"]) > _rank(last["risk"])).when(size != was, size > was).otherwise(h["start"] < last["start"])
         better = (h["priority"] < last["priority"]) | ((h["priority"] == last["priority"]) & ties)
-        return (
-            F.when((F.size(kept) == 0) | (h["start"] >= F.coalesce(last["end"], F.lit(0))), F.concat(kept, F.array(h)))
-            .when(better, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(h)))
-            .otherwise(kept)
-        )
+        apart = last.isNull() | (h["start"] >= last["end"])
+        part = F.when(apart & last.isNotNull(), F.concat(s["part"], F.array(last))).otherwise(s["part"])
+        return F.struct(part.alias("part"), F.when(apart | better, h).otherwise(last).alias("last"))
+
+    def chunk(all_: Column):
+        def run(s: Column, k: Column) -> Column:
+            start = F.struct(F.expr(NONE).alias("part"), s["last"].alias("last"))
+            inner = F.aggregate(F.slice(all_, k * CHUNK + 1, CHUNK), start, step)
+            return let(inner, lambda x: F.struct(F.concat(s["out"], x["part"]).alias("out"), x["last"].alias("last")))
 
-    return F.aggregate(order, F.expr(NONE), step)
+        return run
+
+    # the last hit accepted is kept apart, so that the array only grows
+    def folded(all_: Column) -> Column:
+        start = F.struct(F.expr(NONE).alias("out"), F.expr(f"cast(NULL as {HIT})").alias("last"))
+        end = lambda s: F.concat(s["out"], F.array(s["last"]))
+        return F.aggregate(F.sequence(F.lit(0), ((F.size(all_) - 1) / CHUNK).cast("int")), start, chunk(all_), end)
+
+    return let(hits, lambda x: F.when(F.size(x) < 2, x).otherwise(let(sorted_(x), folded)))
 
 
 def _matches(value: Column, pattern: str, type_: str) -> Column:
@@ -196,7 +224,8 @@ def allowed(hit: Column, src: Column, policy: Policy) -> Column:
     if test:
         lists |= {"ipv4": ("127.0.0.1", "0.0.0.0", "192.0.2.0/24", "198.51.100.0/24", "203.0.113.0/24", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16"), "credit_card": (*TEST_CARDS, "5555555555554444")}
         lists["ipv6"] = ("::1", "::", "2001:db8::/32", "fc00::/7", "fd00::/8", "fe80::/10")
-    lists = {k: (*lists.get(k, ()), *policy.allow.get(k, ())) for k in {*lists, *policy.allow}}
+    types = {d.type for d in policy.all_detectors()}
+    lists = {k: (*lists.get(k, ()), *policy.allow.get(k, ())) for k in sorted(types.intersection([*lists, *policy.allow]))}
 
     def listed(table: dict[str, tuple[str, ...]]) -> Column:
         found = F.lit(False)
@@ -230,11 +259,10 @@ def confidence(hit: Column, src: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(0.99), score + F.when(hit["type"] == "email", shape).otherwise(0.0)))
 
 
-def detect(src: Column, policy: Policy = Policy()) -> Column:
-    """Final hits of an already normalised text; offsets count code points of that text."""
+def detected(src: Column, policy: Policy = Policy()) -> Column:
+    """(hits, truncated) of an already normalised text; offsets count code points of that text."""
 
-    def of(text: Column) -> Column:
-        found = let(F.lower(text), lambda low: _all_hits(policy.all_detectors(), text, low, policy.strictness))
+    def final(found: Column, text: Column) -> Column:
         kept = F.filter(resolve(found), lambda h: ~allowed(h, text, policy))
         scored = F.transform(kept, lambda h: h.withField("confidence", F.round(confidence(h, text), 6)))
         if policy.sensitivity:
@@ -242,29 +270,76 @@ def detect(src: Column, policy: Policy = Policy()) -> Column:
             scored = F.filter(scored, lambda h: h["confidence"] >= floor)
         return scored
 
-    short = F.length(src) <= MOST_CHARS
-    return F.when(src.isNull() | (F.length(src) == 0), F.expr(NONE)).when(short, let(src, of)).otherwise(F.raise_error(F.lit("text too long")).cast(f"array<{HIT}>"))
+    def of(text: Column) -> Column:
+        found = let(F.lower(text), lambda low: _all_hits(policy.all_detectors(), text, low, policy.strictness))
+        none = F.struct(F.expr(NONE).alias("hits"), F.lit(False).alias("truncated"))
+        if policy.most_hits is None:
+            full = lambda f: F.struct(final(f, text).alias("hits"), F.lit(False).alias("truncated"))
+        else:
+            full = lambda f: F.struct(final(_first(f, policy.most_hits), text).alias("hits"), (F.size(f) > policy.most_hits).alias("truncated"))
+        return let(found, lambda f: F.when(F.size(f) > 0, full(f)).otherwise(none))
+
+    empty = F.struct(F.expr(NONE).alias("hits"), F.lit(False).alias("truncated"))
+    return F.when(src.isNull() | (F.length(src) == 0), empty).otherwise(let(src, of))
+
+
+def detect(src: Column, policy: Policy = Policy()) -> Column:
+    """Final hits of an already normalised text."""
+    return detected(src, policy)["hits"]
 
 
 def mask(hit: Column, policy: Policy = Policy()) -> Column:
-    """The mask of a hit: by type, else ``[REDACTED:type]``."""
+    """The mask of a hit: by type, else ``[REDACTED:type]``. Only types of the policy's detectors are told apart."""
     v, kind = hit["value"], hit["type"]
-    prefix = lambda pattern, least: F.concat(F.regexp_extract(v, pattern, 1), F.repeat(F.lit("*"), F.greatest(F.lit(least), F.length(v) - F.length(F.regexp_extract(v, pattern, 1)))))
-    out = F.when(kind == "postal_jp", "•••-••••").when(kind.isin("phone_jp", "phone_us", "phone_e164"), T.bullets(v)).when(kind == "mynumber_jp", "[REDACTED:MYNUMBER]")
-    out = out.when(kind == "zip_us", F.when(F.length(v) > 5, "•••••-••••").otherwise("•••••")).when(kind == "ssn_us", F.concat(F.lit("***-**-"), F.right(T.digits(v), F.lit(4))))
-    out = out.when(kind == "ipv4", "•••.•••.•••.•••").when(kind == "ipv6", F.when(v.isin("::", "::1"), v).otherwise(T.bullets(v, "[0-9A-Fa-f]"))).when(kind == "mac", "••:••:••:••:••:••")
-    out = out.when(kind == "sec_jwt_token", F.array_join(F.transform(F.split(v, r"\."), lambda p: T.mask_token(p, 3, 3, 6)), "."))
-    out = out.when(kind == "sec_api_key", F.when(v.rlike("(?i)^[a-z]+_."), prefix("(?i)^([a-z]+_)", 4)).otherwise(T.mask_token(v)))
-    out = out.when(kind == "sec_session_id", F.concat(F.substring_index(v, "=", 1), F.lit("="), T.mask_token(F.regexp_replace(v, "^[^=]*=", ""), 3, 3, 6)))
-    for type_, pattern, least in (
-        ("sec_github_token", "^(gh[opusa]_)", 8), ("sec_aws_access_key", "^(AKIA|ASIA|AGPA|AIDA|ANPA|AROA|AIPA)", 6), ("sec_google_api_key", "^(AIza)", 8),
-        ("sec_stripe_api_key", "^((?:sk|pk)_(?:live|test)_)", 8), ("sec_slack_token", r"^(xox[abps]-\d+-\d+-|xapp-)", 6), ("sec_openai_api_key", "^(sk-(?:proj-)?)", 8), ("sec_google_oauth_token", r"^(ya29\.|1//)", 8),
-    ):
-        out = out.when(kind == type_, prefix(pattern, least))
-    out = out.when(kind.isin("sec_uuid_token", "sec_hex_token", "sec_azure_subscription_key"), T.mask_token(v))
+    types = {d.type for d in policy.all_detectors()}
+    branches: list[tuple[tuple[str, ...], Callable[[], Column | str]]] = [((t,), lambda m=m: m(v)) for t, m in policy.maskers.items()]
+
+    def prefix(pattern: str, least: int) -> Column:
+        head = F.regexp_extract(v, pattern, 1)
+        return F.concat(head, F.repeat(F.lit("*"), F.greatest(F.lit(least), F.length(v) - F.length(head))))
+
+    def sendgrid() -> Column:
+        stars = lambda k: F.repeat(F.lit("*"), F.greatest(F.lit(4), F.length(F.regexp_extract(v, r"^SG\.([^.]+)\.(.+)$", k))))
+        return F.concat(F.lit("SG."), stars(1), F.lit("."), stars(2))
+
+    branches += [
+        (("postal_jp",), lambda: "•••-••••"),
+        (("phone_jp", "phone_us", "phone_e164"), lambda: T.bullets(v)),
+        (("mynumber_jp",), lambda: "[REDACTED:MYNUMBER]"),
+        (("zip_us",), lambda: F.when(F.length(v) > 5, "•••••-••••").otherwise("•••••")),
+        (("ssn_us",), lambda: F.concat(F.lit("***-**-"), F.right(T.digits(v), F.lit(4)))),
+        (("ipv4",), lambda: "•••.•••.•••.•••"),
+        (("ipv6",), lambda: F.when(v.isin("::", "::1"), v).otherwise(T.bullets(v, "[0-9A-Fa-f]"))),
+        (("mac",), lambda: "••:••:••:••:••:••"),
+        (("sec_jwt_token",), lambda: F.array_join(F.transform(F.split(v, r"\."), lambda p: T.mask_token(p, 3, 3, 6)), ".")),
+        (("sec_api_key",), lambda: F.when(v.rlike("(?i)^[a-z]+_."), prefix("(?i)^([a-z]+_)", 4)).otherwise(T.mask_token(v))),
+        (("sec_session_id",), lambda: F.concat(F.substring_index(v, "=", 1), F.lit("="), T.mask_token(F.regexp_replace(v, "^[^=]*=", ""), 3, 3, 6))),
+        (("sec_github_token",), lambda: prefix("^(gh[opusa]_)", 8)),
+        (("sec_aws_access_key",), lambda: prefix("^(AKIA|ASIA|AGPA|AIDA|ANPA|AROA|AIPA)", 6)),
+        (("sec_google_api_key",), lambda: prefix("^(AIza)", 8)),
+        (("sec_stripe_api_key",), lambda: prefix("^((?:sk|pk)_(?:live|test)_)", 8)),
+        (("sec_slack_token",), lambda: prefix(r"^(xox[abps]-\d+-\d+-|xapp-)", 6)),
+        (("sec_openai_api_key",), lambda: prefix("^(sk-(?:proj-)?)", 8)),
+        (("sec_google_oauth_token",), lambda: prefix(r"^(ya29\.|1//)", 8)),
+        (("sec_sendgrid_api_key",), sendgrid),
+        (("sec_uuid_token", "sec_hex_token", "sec_azure_subscription_key"), lambda: T.mask_token(v)),
+        (("sec_webhook_url",), lambda: headers.masked_webhook(v)),
+        (("sec_signed_url",), lambda: headers.masked_signed(v)),
+        (("sec_cookie",), lambda: headers.masked_cookies(v, policy.cookie_allow)),
+        (("sec_set_cookie",), lambda: headers.masked_set_cookie(v, policy.cookie_allow)),
+        (("sec_auth_header",), lambda: "[REDACTED:AUTH]"),
+        (("sec_url_token",), lambda: "[REDACTED:URL-TOKEN]"),
+        (("sec_client_secret",), lambda: "[REDACTED:CLIENT-SECRET]"),
+    ]
     plain = F.concat(F.lit("[REDACTED:"), kind, F.lit("]"))
-    last4 = F.when(kind == "credit_card", F.concat(F.lit("**** **** **** "), F.right(T.digits(v), F.lit(4)))).otherwise(F.concat(plain, F.right(v, F.lit(4))))
-    return out.otherwise(F.when(kind.isin(*policy.keep_last4), last4).otherwise(plain) if policy.keep_last4 else plain)
+    if policy.keep_last4:
+        last4 = F.when(kind == "credit_card", F.concat(F.lit("**** **** **** "), F.right(T.digits(v), F.lit(4)))).otherwise(F.concat(plain, F.right(v, F.lit(4))))
+        plain = F.when(kind.isin(*policy.keep_last4), last4).otherwise(plain)
+    out = None
+    for kinds, value in branches:
+        if types.intersection(kinds):
+            out = (F if out is None else out).when(kind.isin(*kinds), value())
+    return plain if out is None else out.otherwise(plain)
 
 
 def replacement(hit: Column, policy: Policy) -> Column:
@@ -289,12 +364,27 @@ def rewrite(src: Column, hits: Column, policy: Policy = Policy()) -> Column:
     return F.when(F.size(hits) > 0, F.aggregate(hits, start, step, end)).otherwise(src)
 
 
-def with_hits(docs: DataFrame, policy: Policy = Policy(), text: str = "text", src: str = "src", hits: str = "hits") -> DataFrame:
-    """``docs`` with the normalised text and its hits."""
-    return docs.withColumn(src, T.normalize(F.col(text))).withColumn(hits, detect(F.col(src), policy))
+def with_hits(docs: DataFrame, policy: Policy = Policy(), text: str = "text", src: str = "src", hits: str = "hits", truncated: str = "truncated") -> DataFrame:
+    """``docs`` with the normalised text, its hits, and whether a limit left any out."""
+    found = docs.withColumn(src, T.normalize(F.col(text))).withColumn("__found", detected(F.col(src), policy))
+    return found.withColumns({hits: F.col("__found.hits"), truncated: F.col("__found.truncated")}).drop("__found")
+
+
+def hit_rows(docs: DataFrame, policy: Policy = Policy(), text: str = "text") -> DataFrame:
+    """One row for each hit: the other columns of ``docs``, then the hit's as ``h``."""
+    found = docs.withColumn("__src", T.normalize(F.col(text))).select(*[c for c in docs.columns if c != text], detect(F.col("__src"), policy).alias("__hits"))
+    # an outer explode, as a plain one would be given a filter that detects everything again
+    rows = found.select(*[c for c in docs.columns if c != text], F.explode_outer("__hits").alias("h"))
+    return rows.where("h IS NOT NULL")
 
 
-def redact(docs: DataFrame, policy: Policy = Policy(), text: str = "text", out: str = "redacted") -> DataFrame:
-    """``docs`` with the redacted text; a text without hits is only normalised."""
-    found = with_hits(docs, policy, text, "__src", "__hits")
-    return found.withColumn(out, rewrite(F.col("__src"), F.col("__hits"), policy)).drop("__src", "__hits")
+def redact(docs: DataFrame, policy: Policy = Policy(), text: str = "text", out: str = "redacted", truncated: str | None = None) -> DataFrame:
+    """``docs`` with the redacted text; a text without hits is only normalised.
+
+    With ``truncated`` there is a column of that name: whether ``most_hits`` left hits in.
+    """
+    found = with_hits(docs, policy, text, "__src", "__hits", "__truncated")
+    found = found.withColumn(out, rewrite(F.col("__src"), F.col("__hits"), policy))
+    if truncated:
+        found = found.withColumn(truncated, F.col("__truncated"))
+    return found.drop("__src", "__hits", "__truncated")

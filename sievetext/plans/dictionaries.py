@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 import re
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -15,6 +17,7 @@ from sievetext.operators.pii import Policy
 from sievetext.sources.tables import dictionary_entries
 
 MOST_ENTRIES = 10_000
+LOG = logging.getLogger(__name__)
 
 
 def confidence(pattern: str, risk: str) -> float:
@@ -47,15 +50,24 @@ def compile_dictionary(entries: DataFrame) -> tuple[Detector, ...]:
 class DictionaryReloader:
     """Recompiles when the control table's newest version changes; bad loads keep the old set.
 
-    The control table holds (source_id, version, body), body being dictionary JSON.
+    The control table holds (source_id, version, body), body being dictionary JSON. A failed load
+    is logged and counted; the next is tried after ``wait`` seconds, twice as long after each
+    further failure, up to ``longest``. The first load must succeed.
     """
 
     read_control: Callable[[SparkSession], DataFrame]
     policy: Policy = field(default_factory=Policy)
     version: int | None = None
     loads: int = 0
+    failures: int = 0
+    wait: float = 1.0
+    longest: float = 300.0
+    clock: Callable[[], float] = time.monotonic
+    _next: float = 0.0
 
     def current(self, spark: SparkSession) -> Policy:
+        if self.failures and self.clock() < self._next:
+            return self.policy
         try:
             control = self.read_control(spark)
             newest = control.agg(F.max("version")).first()[0]
@@ -63,9 +75,14 @@ class DictionaryReloader:
                 latest = control.withColumn("__n", F.max("version").over(_by_source())).where("version = __n").drop("__n")
                 self.policy = replace(self.policy, detectors=compile_dictionary(dictionary_entries(latest)))
                 self.version, self.loads = newest, self.loads + 1
+            self.failures = 0
         except Exception:
             if self.version is None:
                 raise
+            self.failures += 1
+            pause = min(self.longest, self.wait * 2 ** (self.failures - 1))
+            self._next = self.clock() + pause
+            LOG.warning("dictionary load failed, kept version %s, next try in %s s", self.version, pause, exc_info=True)
         return self.policy
 
 

@@ -116,9 +116,52 @@ def quoting(pattern: str, category: str = "custom") -> Rule:
     return Rule(pattern, "quote", category)
 
 
+#: Personal data by type, as (pattern, flags, severity, replacement).
+PERSONAL = {
+    "email": (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "i", "medium", "[EMAIL_REDACTED]"),
+    "phone": (r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b", "", "medium", "[PHONE_REDACTED]"),
+    "ssn": (r"\b\d{3}-\d{2}-\d{4}\b", "", "high", "[SSN_REDACTED]"),
+    "ip": (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "", "low", "[IP_REDACTED]"),
+    "creditcard": (r"\b(?:\d[ -]?){12,18}\d\b", "", "critical", "[CREDIT_CARD_REDACTED]"),
+}
+
+
+def personal_patterns(*types: str) -> tuple[Pattern, ...]:
+    """Patterns of the personal data named; unknown names are left out."""
+    known = [t for t in types if t in PERSONAL]
+    return tuple(Pattern(f"pii_{t}_{k}", PERSONAL[t][0], PERSONAL[t][2], "personal", 70, PERSONAL[t][1]) for k, t in enumerate(known))
+
+
+def personal_rules(*types: str) -> tuple[Rule, ...]:
+    """Rules that replace the personal data named."""
+    return tuple(Rule(PERSONAL[t][0], "replace", "pii", PERSONAL[t][3], PERSONAL[t][1], 2) for t in types if t in PERSONAL)
+
+
 #: Fixed values of the templates.
 TEMPLATES = {
-    "financial": GuardPolicy("financial", (Pattern("account_number", r"\b\d{8,12}\b", "high", "financial", 80), Pattern("routing_number", r"\b\d{9}\b", "medium", "financial", 70)), (replacement(r"\b\d{8,12}\b", "[ACCOUNT]", "financial"),), 40),
-    "healthcare": GuardPolicy("healthcare", (Pattern("medical_record", r"\bMRN[:\s]*\d{6,}\b", "high", "healthcare", 85),), (replacement(r"\bMRN[:\s]*\d{6,}\b", "[MEDICAL_RECORD]", "healthcare"),), 30),
-    "government": GuardPolicy("government", (Pattern("classified", r"\b(?:top\s+secret|classified|confidential)\b", "critical", "government", 95),), (replacement(r"\b(?:top\s+secret|classified|confidential)\b", "[CLASSIFIED]", "government"),), 20),
-}
+    "financial": GuardPolicy(
+        "financial",
+        (*personal_patterns("creditcard", "ssn"), Pattern("bank_account", r"\b\d{8,17}\b", "high", "financial", 75, ""), Pattern("routing_number", r"\b\d{9}\b", "high", "financial", 70, "")),
+        (*personal_rules("creditcard", "ssn"), Rule(r"\b\d{8,17}\b", "replace", "financial", "[ACCOUNT_NUMBER]", "", 2)),
+        40, description="Financial services security policy", tags=("finance", "pci", "sensitive"),
+    ),
+    "healthcare": GuardPolicy(
+        "healthcare",
+        (*personal_patterns("ssn", "phone", "email"), Pattern("medical_record", r"\bMRN[-\s]?\d{6,10}\b", "critical", "healthcare", 90), Pattern("patient_id", r"\bPID[-\s]?\d{8}\b", "critical", "healthcare", 90)),
+        (*personal_rules("ssn", "phone", "email"), Rule(r"\bMRN[-\s]?\d{6,10}\b", "replace", "healthcare", "[MEDICAL_RECORD]", "i", 3), Rule(r"\bPID[-\s]?\d{8}\b", "replace", "healthcare", "[PATIENT_ID]", "i", 3)),
+        30, description="HIPAA-compliant healthcare security policy", tags=("healthcare", "hipaa", "phi", "sensitive"),
+    ),
+    "government": GuardPolicy(
+        "government",
+        (*personal_patterns("ssn", "email"), Pattern("classified_marker", r"\b(TOP SECRET|SECRET|CONFIDENTIAL|CLASSIFIED)\b", "critical", "security", 100), Pattern("security_clearance", r"\b(TS\/SCI|SECRET|CONFIDENTIAL)\s+CLEARANCE\b", "high", "security", 85)),
+        (*personal_rules("ssn", "email"), Rule(r"\b(TOP SECRET|SECRET|CONFIDENTIAL|CLASSIFIED)\b", "replace", "security", "[CLASSIFICATION_REDACTED]", "i", 5)),
+        20, description="Government/Defense security policy", tags=("government", "defense", "classified", "sensitive"),
+    ),
+}
+
+
+def from_template(name: str, base: str | None = None, patterns: tuple[Pattern, ...] = (), rules: tuple[Rule, ...] = (), **changes) -> GuardPolicy:
+    """A policy of its own, on a template or on nothing, with further patterns and rules."""
+    start = TEMPLATES[base] if base else GuardPolicy(name)
+    named = {"description": f"Custom policy: {name}", "tags": ()} | changes
+    return replace(start, name=name, patterns=start.patterns + patterns, rules=start.rules + rules, **named)

@@ -85,8 +85,7 @@ FROM hits"""
 )
 def pii_hits_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every email and card of every document, with its place and confidence."""
-    found = pii.with_hits(read_texts(spark, sf_dir, "documents").select("doc_id", "text"))
-    hit = found.select("doc_id", F.explode("hits").alias("h"))
+    hit = pii.hit_rows(read_texts(spark, sf_dir, "documents").select("doc_id", "text"))
     return hit.select("doc_id", *[F.col(f"h.{c}").alias(c) for c in ("type", "start", "end", "value", "confidence")])
 
 
@@ -107,8 +106,8 @@ def pii_redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pii_all_packs_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of every document under all detector packs, by type and risk."""
     policy = pii.Policy(packs=("core", "network", "jp", "us", "security"))
-    found = pii.with_hits(read_texts(spark, sf_dir, "documents").select("doc_id", "text"), policy)
-    return found.select(F.explode("hits").alias("h")).groupBy(F.col("h.type").alias("type"), F.col("h.risk").alias("risk")).agg(F.count(F.lit(1)).alias("hits"), F.round(F.avg("h.confidence"), 6).alias("confidence"))
+    found = pii.hit_rows(read_texts(spark, sf_dir, "documents").select("doc_id", "text"), policy)
+    return found.groupBy(F.col("h.type").alias("type"), F.col("h.risk").alias("risk")).agg(F.count(F.lit(1)).alias("hits"), F.round(F.avg("h.confidence"), 6).alias("confidence"))
 
 
 @query(rf"WITH {_SRC} SELECT doc_id, md5(s) AS text_md5, length(s) AS n_chars FROM src")
@@ -186,7 +185,7 @@ def _sql_matches(severity: str | None = None) -> tuple[str, str]:
     """SQL for the matches' number and weighted risk terms (severity weights by name)."""
     kept = [p for p in ordered(PATTERNS) if severity in (None, p.severity)]
     flag = lambda p: "(?i)" if "i" in p.flags else ""
-    n = {p.id: f"least(10, len(regexp_extract_all(c, '{flag(p)}{p.pattern}')))" for p in kept}
+    n = {p.id: f"len(regexp_extract_all(c, '{flag(p)}{p.pattern}'))" for p in kept}
     return " + ".join(n.values()), " + ".join(f"{n[p.id]} * {guard.RISK_WEIGHT[p.severity]} * {p.weight / 100}" for p in kept)
 
 
@@ -261,18 +260,10 @@ TERMS = ({"pattern": r"\bthe\s+of\b", "type": "term_a", "risk": "low", "priority
 
 
 @query(
-    rf"""WITH {_SRC} SELECT doc_id, len(regexp_extract_all(s, '(?i)\bthe\s+of\b')) AS term_a FROM src WHERE len(regexp_extract_all(s, '(?i)\bthe\s+of\b')) BETWEEN 1 AND 200 AND regexp_full_match(s, '[\x00-\x7F]*')"""
+    rf"""WITH {_SRC}, t AS (SELECT doc_id, 'term_a' AS type, len(regexp_extract_all(s, '(?i)\bthe\s+of\b')) AS hits FROM src UNION ALL SELECT doc_id, 'term_b', len(regexp_extract_all(s, '(?i)\bque\s+la\b')) FROM src)
+SELECT doc_id, type, hits FROM t WHERE hits > 0"""
 )
 def dictionary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of a compiled dictionary in ASCII documents; an invalid pattern is left out."""
-    compiled = compile_entries(list(TERMS))[:1]
-    docs = read_texts(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("src")).where(F.col("src").rlike(r"^[\x00-\x7F]*$"))
-    found = docs.select("doc_id", F.size(spans(F.col("src"), compiled[0].pattern, pii.MOST_HITS)).cast("long").alias("term_a"))
-    return found.where("term_a > 0")
-
-
-@query()
-def dictionary_hits_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of hits of every valid term of a dictionary in every document that has any."""
     docs = read_texts(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("src"))
     terms = F.array(*[F.struct(F.lit(d.type).alias("type"), F.regexp_count("src", F.lit(d.pattern)).cast("long").alias("hits")) for d in compile_entries(list(TERMS))])
@@ -352,10 +343,12 @@ def stats_confidence_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH s AS (SELECT count(*) FILTER (l_returnflag = 'A') AS n1, count(*) FILTER (l_returnflag = 'R') AS n2, avg(l_quantity) FILTER (l_returnflag = 'A') AS m1, avg(l_quantity) FILTER (l_returnflag = 'R') AS m2, var_samp(l_quantity) FILTER (l_returnflag = 'A') AS v1, var_samp(l_quantity) FILTER (l_returnflag = 'R') AS v2 FROM lineitem)
-SELECT n1 + n2 - 2 AS df, round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)), 6) AS t FROM s"""
+, r AS (SELECT n1 + n2 - 2 AS df, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)) AS t FROM s),
+p AS (SELECT *, CASE WHEN abs(t) < 1 THEN 0.5 WHEN abs(t) > 4 THEN 0.001 ELSE greatest(0.001, 0.5 * exp(-abs(t))) END AS p FROM r)
+SELECT df, round(t, 6) AS t, round(CAST(p AS DOUBLE), 6) AS p, p < 0.05 AS significant FROM p"""
 )
 def stats_t_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.t_test(read_table(spark, sf_dir, "lineitem"), "l_quantity", "l_returnflag", "A", "R").withColumn("t", F.round("t", 6))
+    return evaluation.t_test(read_table(spark, sf_dir, "lineitem"), "l_quantity", "l_returnflag", "A", "R").withColumns({"t": F.round("t", 6), "p": F.round("p", 6)})
 
 
 @query("SELECT round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem")

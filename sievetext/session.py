@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,12 +33,14 @@ def read_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate data.
 
-    It is the one that ``spark.checkpoint.dir`` names; only a session without that setting
-    (tests) gets a temporary folder.
+    It is the one that ``spark.checkpoint.dir`` names. Only a local session without that setting
+    (tests) gets a temporary folder; on a cluster that would be another one on each machine.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sievetext-checkpoint-"))
     return context.getCheckpointDir()
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -61,10 +62,23 @@ def chunk_windows(stream: DataFrame, size: int = 1024, overlap: int = 128, key:
     return stream.groupBy(key).applyInPandasWithState(step, f"stream_id {kind}, window long, position long, text string, is_last boolean", "buffer string, position long, count long", "append", "NoTimeout")
 
 
-def chunk_summary(scanned: DataFrame, by: list[str] = ()) -> DataFrame:
+def chunk_summary(scanned: DataFrame, by: list[str] = (), threshold: float = 60) -> DataFrame:
     """Chunks, dangerous ones, mean and highest risk, matches, and whether the mean is safe."""
     out = scanned.groupBy(*by).agg(F.count(F.lit(1)).alias("chunks"), F.count_if(~F.col("safe")).alias("dangerous"), F.round(F.avg("risk"), 2).alias("average_risk"), F.max("risk").alias("highest_risk"), F.sum(F.size("matches")).alias("matches"))
-    return out
+    return out.withColumn("safe", F.col("average_risk") < threshold)
+
+
+def scan_windows(stream: DataFrame, rules: guard.Guard = guard.Guard(), size: int = 1024, overlap: int = 128, **columns) -> DataFrame:
+    """Matches of every stream by their place in the whole stream, each told once.
+
+    Chunks are joined into overlapping windows; a match is told by the window in whose part before
+    the next window's start it begins, so none is cut (up to ``overlap`` characters) or told twice.
+    """
+    windows = chunk_windows(stream, size, overlap, **columns)
+    found = guard.scan(windows, replace(rules, sanitize=False, separate=False))
+    rows = found.select("stream_id", "window", "position", "is_last", F.explode_outer("matches").alias("m")).where("m IS NOT NULL")
+    own = F.col("is_last") | (F.col("m.index") < size - overlap)
+    return rows.where(own).select("stream_id", "window", (F.col("position") + F.col("m.index")).alias("index"), *[F.col(f"m.{c}").alias(c) for c in ("pattern", "match", "severity", "category", "confidence")])
 
 
 def redact_with_reload(stream: DataFrame, reloader: DictionaryReloader, sink: Callable[[DataFrame, int], None], text: str = "text"):

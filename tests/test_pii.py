@@ -35,21 +35,50 @@ def test_core_detection(spark):
     assert got[12] == [("email", "a@b.io"), ("email", "c@d.io")]
 
 
-def test_rejected_matches_do_not_count_towards_the_cap(spark):
+def test_every_hit_counts_unless_a_limit_is_set(spark):
+    mails = " ".join(f"u{k}@corp.io" for k in range(300))
+    docs = spark.createDataFrame([(0, mails), (1, "one a@corp.io"), (2, None)], "k int, text string")
+    out = pii.redact(docs, truncated="cut").orderBy("k").collect()
+    assert "@" not in out[0]["redacted"] and out[0]["redacted"].count("[REDACTED:email]") == 300 and not out[0]["cut"]
+    out = pii.redact(docs, pii.Policy(most_hits=200), truncated="cut").orderBy("k").collect()
+    assert out[0]["redacted"].count("@") == 100 and [r["cut"] for r in out] == [True, False, False]
+    with pytest.raises(ValueError):
+        pii.Policy(most_hits=0)
+
+
+def test_rejected_matches_do_not_count_towards_a_limit(spark):
     card, bad = "4539 1488 0343 6467", "4539 1488 0343 6468"
+    limited = pii.Policy(most_hits=200)
     texts = [f"{bad}, " * 230 + f"card {card} end", f"{card}, " * 230, "at 1.2.3.4 " * 230 + " from " * 20 + "host 203.0.113.9 end", "x?sv=1&sr=2 " * 230 + "w " * 300 + "u?sv=1&sr=2&sp=3"]
-    got = hits(spark, texts)
-    assert got[0] == [("credit_card", card)] and len(got[1]) == 200
-    network = hits(spark, [texts[2].replace("at 1.2.3.4", "version 1.2.3.4")], pii.Policy(packs=("network",)))
+    got = hits(spark, texts, limited)
+    assert got[0] == [("credit_card", card)] and len(got[1]) == 200 and len(hits(spark, texts[1:2])[0]) == 230
+    network = hits(spark, [texts[2].replace("at 1.2.3.4", "version 1.2.3.4")], pii.Policy(packs=("network",), most_hits=200))
     assert ("ipv4", "203.0.113.9") in network[0]
     signed = hits(spark, [texts[3]], pii.Policy(packs=("security",)))[0]
     assert signed[-1] == ("sec_signed_url", "?sv=1&sr=2&sp=3") and len(signed) == 7
-    out = pii.redact(spark.createDataFrame([(texts[0],)], "text string")).first()["redacted"]
+    out = pii.redact(spark.createDataFrame([(texts[0],)], "text string"), limited).first()["redacted"]
     assert card not in out and out.count(bad) == 230
     strict = hits(spark, ["4242 4242 4242 4242, " * 230 + "w " * 60 + f"card payment visa {card}"], pii.Policy(strictness="balanced"))[0]
     assert strict == [("credit_card", card)]
 
 
+def test_security_masks(spark):
+    policy = pii.Policy(packs=("core", "security"), cookie_allow=("theme", "ui_*"))
+    texts = [
+        "Cookie: a=1; b=2", "Cookie: sid=abcdefghij; theme=darkdarkdark; ui_x=abcdefghijkl", "Set-Cookie: sid=abcdefghij; Path=/", "Set-Cookie: sid=abc", "Authorization: Bearer abcdefgh12345678",
+        "sendgrid key SG." + "a" * 20 + "." + "b" * 18, 'u "https://hooks.slack.com/services/T12345678/B12345678/' + "c" * 24 + '" x', "p?X-Amz-Credential=abc&X-Amz-Signature=def", "g?access_token=abcdefgh1234", "g?client_id=abcdefgh1234",
+    ]
+    out = [r["redacted"] for r in pii.redact(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string"), policy).orderBy("k").collect()]
+    assert out == [
+        texts[0], "Cookie: sid=ab******ij; theme=darkdarkdark; ui_x=abcdefghijkl", "Set-Cookie: sid=ab******ij; Path=/", texts[3], "[REDACTED:AUTH]",
+        "sendgrid key SG." + "*" * 20 + "." + "*" * 18, 'u "https://hooks.slack.com/services/T12345678/*********/' + "*" * 12 + '" x', "p[REDACTED:SIGNED-URL]", "g[REDACTED:URL-TOKEN]", "g[REDACTED:CLIENT-SECRET]",
+    ]
+    own = pii.Policy(maskers={"email": lambda v: F.concat(F.lit("<"), F.length(v).cast("string"), F.lit(">"))})
+    assert pii.redact(spark.createDataFrame([("to bob@corp.io",)], "text string"), own).first()["redacted"] == "to <11>"
+    with pytest.raises(ValueError):
+        pii.Policy(cookie_allow=("a*b",))
+
+
 def test_region_and_network_packs(spark):
     got = hits(
         spark,
@@ -144,4 +173,9 @@ def test_evaluation(spark):
     assert sorted((r.id, r.outcome, r.type) for r in judged.collect()) == [(1, "fp", "email"), (1, "tp", "email"), (2, "fn", "phone"), (3, "fp", "email"), (4, "fn", "phone"), (4, "fp", "email")]
     m = evaluation.metrics(judged).first()
     assert (m.tp, m.fp, m.fn, m.precision) == (1, 3, 2, 0.25) and m.f1 == pytest.approx(2 * 0.25 / 3)
+    noted = [(0, 50, "x", "a" * 50), (5, 10, "x", "aaaaa"), (20, 30, "x", "a" * 10), (60, 99, "x", ""), (51, 52, "x", "b")]
+    entry = spark.createDataFrame([("a" * 70, noted)], "text string, annotations array<struct<start:int,end:int,type:string,value:string>>")
+    assert sorted((r.a.start, r.why) for r in evaluation.broken_annotations(entry).collect()) == [(5, "overlap"), (20, "overlap"), (51, "value"), (60, "bounds")]
+    few = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", 4.0)], "g string, v double")
+    assert tuple(evaluation.t_test(few, "v", "g", "a", "b").first()) == (1, 0.0, 1.0, False)
     assert {r.bucket: (r.n, r.tp) for r in evaluation.confidence_histogram(judged).collect()} == {0: (1, 0), 1: (0, 0), 2: (0, 0), 3: (3, 1)}

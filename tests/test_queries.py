@@ -38,12 +38,12 @@ def test_every_term_is_looked_for_in_every_document(spark, tmp_path):
     texts = ["the of " * 250, "é THE  of it", "dice que\u00a0la casa, QUE la", "the\u3000of que la", "theé the ofé", "none", "", None, "_the of", "the of_"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     edge = {(0, "term_a", 250), (1, "term_a", 1), (2, "term_b", 2), (3, "term_a", 1), (3, "term_b", 1), (4, "term_a", 1)}
-    assert set(map(tuple, queries.QUERIES["dictionary_hits_all_terms"](spark, str(tmp_path)).collect())) == edge
+    assert set(map(tuple, queries.QUERIES["dictionary_hits"](spark, str(tmp_path)).collect())) == edge
     terms = {"term_a": r"\bthe\s+of\b", "term_b": r"\bque\s+la\b"}
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", queries.T.normalize(queries.F.col("text")).alias("s")).collect()
     want = {(d.doc_id, t, n) for d in docs for t, p in terms.items() if (n := len(re.findall(p, d.s or "", re.I | re.A)))}
     assert {t for _, t, _ in want} == set(terms)
-    assert set(map(tuple, queries.QUERIES["dictionary_hits_all_terms"](spark, SF).collect())) == want
+    assert set(map(tuple, queries.QUERIES["dictionary_hits"](spark, SF).collect())) == want
 
 
 def test_entry_points(spark):
