@@ -158,7 +158,7 @@ SECURITY = (
     _secret("sec_hex_token", r"(?<![¥$€£¢0-9a-fA-F])\b[0-9a-fA-F]{32,}\b(?![¥$€£¢0-9a-fA-F])", 0, 0.65, f"{SESSION} {AUTH}", risk="medium", bounded=False),
     _secret("sec_session_id", r"(?<![¥$€£¢])\b(?:session|sess|jsessionid|phpsessid)=[A-Za-z0-9+/=._-]{8,}(?![¥$€£¢])", 0, 0.85, flags="i", bounded=False),
     _secret("sec_client_secret", r"[?&](?:client_id|client_secret)=(?![¥$€£¢])[^&\s¥$€£¢]{8,}(?![¥$€£¢])", 0, 0.9, trigger="client_", flags="i", bounded=False),
-    _secret("sec_url_token", r"[?&](?:token|access_token|refresh_token|client_secret|auth_token)=(?![¥$€£¢])[^&\s¥$€£¢]{8,}(?![¥$€£¢])", 0, 0.8, trigger="? &", flags="i", bounded=False),
+    _secret("sec_url_token", r"[?&](?:token|access_token|client_secret|refresh_token|auth_token)=(?![¥$€£¢])[^&\s¥$€£¢]{8,}(?![¥$€£¢])", 0, 0.8, trigger="? &", flags="i", bounded=False),
     _secret("sec_url_token", r"[?&]api_key=(?![¥$€£¢])[^&\s¥$€£¢]{8,}(?![¥$€£¢])", 0, 0.65, trigger="? &", risk="medium", flags="i", bounded=False),
     _secret("sec_cookie", r"Cookie\s*:\s*[^;\r\n]+(?:;\s*[^;\r\n]+)*", 0, 0.7, COOKIE, risk="medium", flags="i", bounded=False, test=_cookie),
     _secret("sec_set_cookie", r"Set-Cookie\s*:\s*[^;\r\n]+(?:;\s*[^;\r\n]+)*", 0, 0.72, COOKIE, risk="medium", flags="i", bounded=False, test=_set_cookie),

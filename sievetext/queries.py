@@ -9,16 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievetext import pack_queries
 from sievetext.functions import text as T
 from sievetext.functions.regexes import spans
 from sievetext.operators import evaluation, guard, packs, pii, validators
 from sievetext.operators.injection import PATTERNS, ordered
 from sievetext.plans.dictionaries import compile_entries, removed_sources
+
 from sievetext.session import read_table, read_texts
 from sievetext.sources import jsonrpc
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES: dict = dict(pack_queries.QUERIES)
+ORACLES: dict = dict(pack_queries.ORACLES)
 
 
 def query(oracle: str | None = None):
