@@ -130,6 +130,26 @@ def prefilter(text: Column) -> Column:
     )
 
 
+def prefilter_regions(text: Column, size: int = 1000) -> Column:
+    """(start, end, flags) of the pieces of a text that could hold any of what ``prefilter`` looks for."""
+    pieces = F.transform(chunks(text, size), lambda c: F.struct(c["position"].alias("start"), (c["position"] + F.length(c["chunk"])).alias("end"), prefilter(c["chunk"]).alias("flags")))
+    return F.filter(pieces, lambda p: p["flags"]["email"] | p["flags"]["credit_card"] | p["flags"]["ipv6"])
+
+
+def quick_email(text: Column) -> Column:
+    """Cheap form test: lengths of the local part, the domain and its last label."""
+    local, domain = F.substring_index(text, "@", 1), F.substring_index(text, "@", -1)
+    last = F.substring_index(domain, ".", -1)
+    one = F.regexp_count(text, F.lit("@")) == 1
+    return F.coalesce(one & F.length(local).between(1, 64) & F.length(domain).between(1, 253) & domain.contains(".") & F.length(last).between(2, 63), F.lit(False))
+
+
+def quick_ip(text: Column) -> Column:
+    """Cheap form test: four dotted parts, or two to seven colons."""
+    colons = F.regexp_count(text, F.lit(":"))
+    return F.coalesce((F.size(F.split(text, r"\.")) == 4) | colons.between(2, 7), F.lit(False))
+
+
 def mask_token(token: Column, start: int = 4, end: int = 4, least: int = 8) -> Column:
     """Stars between a kept head and tail, each at most a third of the token."""
     size = F.length(token)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column
+
 from sievetext.operators.guard import Guard
 from sievetext.operators.injection import EXECUTE, HIJACK, OVERRIDE, PATTERNS, Pattern, Rule
 
@@ -85,3 +90,8 @@ def guard_for(*packs: str, threshold: float | None = None, sanitize: bool = True
 def guard_at(level: str) -> Guard:
     packs, threshold, sanitize = LEVELS[level]
     return guard_for(*packs, threshold=threshold, sanitize=sanitize)
+
+
+def is_unsafe(text: Column) -> Column:
+    """Whether any pattern of the core pack is in the text."""
+    return reduce(or_, (text.rlike(p.java) for p in CORE))

@@ -18,7 +18,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievetext.functions import headers
+from sievetext.functions import headers, network
 from sievetext.functions import text as T
 from sievetext.functions.regexes import CHUNK, fold_spans, let, spans, to_java
 from sievetext.operators import validators
@@ -54,6 +54,8 @@ class Policy:
     detectors: tuple[Detector, ...] = ()
     #: Hits of a text that are kept; none given: all.
     most_hits: int | None = None
+    #: Whether string values of JSON texts are hits by their keys too, before the built-in detectors.
+    json: bool = False
     #: Names of cookies that are no secrets; one final ``*`` stands for any ending.
     cookie_allow: tuple[str, ...] = ()
     #: Masks by type, in place of the built-in ones: value -> replacement.
@@ -238,6 +240,8 @@ def allowed(hit: Column, src: Column, policy: Policy) -> Column:
     if test:
         private = hit["value"].rlike(r"^(10|127)\.|^172\.(1[6-9]|2[0-9]|3[01])\.|^192\.168\.")
         ok = ok | ((hit["type"] == "ipv4") & private)
+        if "ipv6" in types:
+            ok = ok | ((hit["type"] == "ipv6") & F.coalesce(network.parse_ipv6(hit["value"])["private"], F.lit(False)))
         ok = ok | ((hit["type"] == "email") & value.rlike("@example\\.(com|org|net)|noreply|no-reply"))
         ok = ok | ((hit["type"] == "credit_card") & T.digits(hit["value"]).isin(*TEST_CARDS))
     return ~listed(policy.deny) & ok
@@ -259,8 +263,8 @@ def confidence(hit: Column, src: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(0.99), score + F.when(hit["type"] == "email", shape).otherwise(0.0)))
 
 
-def detected(src: Column, policy: Policy = Policy()) -> Column:
-    """(hits, truncated) of an already normalised text; offsets count code points of that text."""
+def detected(src: Column, policy: Policy = Policy(), more: Column | None = None) -> Column:
+    """(hits, truncated) of an already normalised text, ``more`` being further hits to resolve with them; offsets count code points of that text."""
 
     def final(found: Column, text: Column) -> Column:
         kept = F.filter(resolve(found), lambda h: ~allowed(h, text, policy))
@@ -272,6 +276,7 @@ def detected(src: Column, policy: Policy = Policy()) -> Column:
 
     def of(text: Column) -> Column:
         found = let(F.lower(text), lambda low: _all_hits(policy.all_detectors(), text, low, policy.strictness))
+        found = found if more is None else F.concat(more, found)
         none = F.struct(F.expr(NONE).alias("hits"), F.lit(False).alias("truncated"))
         if policy.most_hits is None:
             full = lambda f: F.struct(final(f, text).alias("hits"), F.lit(False).alias("truncated"))
@@ -366,13 +371,21 @@ def rewrite(src: Column, hits: Column, policy: Policy = Policy()) -> Column:
 
 def with_hits(docs: DataFrame, policy: Policy = Policy(), text: str = "text", src: str = "src", hits: str = "hits", truncated: str = "truncated") -> DataFrame:
     """``docs`` with the normalised text, its hits, and whether a limit left any out."""
-    found = docs.withColumn(src, T.normalize(F.col(text))).withColumn("__found", detected(F.col(src), policy))
-    return found.withColumns({hits: F.col("__found.hits"), truncated: F.col("__found.truncated")}).drop("__found")
+    found = docs.withColumn(src, T.normalize(F.col(text)))
+    more = None
+    if policy.json:
+        from sievetext.sources.jsonrpc import json_hits
+
+        found = json_hits(found, src, "__json")
+        shaped = lambda h: F.struct(*[h[c].alias(c) for c in ("type", "start", "end", "value", "risk")], F.lit(-5).alias("priority"), h["confidence"].alias("confidence"), F.lit(-1).alias("ord"))
+        more = F.transform("__json", shaped)
+    found = found.withColumn("__found", detected(F.col(src), policy, more))
+    return found.withColumns({hits: F.col("__found.hits"), truncated: F.col("__found.truncated")}).drop("__found", "__json")
 
 
 def hit_rows(docs: DataFrame, policy: Policy = Policy(), text: str = "text") -> DataFrame:
     """One row for each hit: the other columns of ``docs``, then the hit's as ``h``."""
-    found = docs.withColumn("__src", T.normalize(F.col(text))).select(*[c for c in docs.columns if c != text], detect(F.col("__src"), policy).alias("__hits"))
+    found = with_hits(docs, policy, text, "__src", "__hits", "__truncated")
     # an outer explode, as a plain one would be given a filter that detects everything again
     rows = found.select(*[c for c in docs.columns if c != text], F.explode_outer("__hits").alias("h"))
     return rows.where("h IS NOT NULL")

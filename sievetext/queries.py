@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievetext import pack_queries
+from sievetext.functions import network, tokens
 from sievetext.functions import text as T
 from sievetext.functions.regexes import spans
-from sievetext.operators import evaluation, guard, packs, pii, validators
+from sievetext.operators import evaluation, guard, literals, packs, pii, validators
 from sievetext.operators.injection import PATTERNS, ordered
 from sievetext.plans.dictionaries import compile_entries, removed_sources
 
@@ -380,6 +381,65 @@ def running_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sum(flags).over(Window.partitionBy("conv_id").orderBy("turn")).alias("seen"))
 
 
+_G = lambda n: f"substr(md5(CAST(o_orderkey AS STRING)), {4 * n + 1}, 4)"
+_ADDRESS = (
+    f"CASE o_orderkey % 7 WHEN 0 THEN {' || chr(58) || '.join(_G(n) for n in range(8))} WHEN 1 THEN 'fe80::' || {_G(0)} || ':' || {_G(1)} || '%eth0' WHEN 2 THEN '[2001:db8::' || {_G(2)} || ']' "
+    f"WHEN 3 THEN '::ffff:10.0.0.' || CAST(o_orderkey % 256 AS STRING) WHEN 4 THEN 'fd00:1::' || {_G(3)} || '::1' WHEN 5 THEN '::1' ELSE {' || chr(58) || '.join(_G(n) for n in range(7))} END"
+)
+
+
+@query(
+    f"""WITH a AS (SELECT o_orderkey, o_orderkey % 7 AS c, {_ADDRESS} AS address FROM orders), n AS (SELECT *, CASE c WHEN 0 THEN address WHEN 1 THEN 'fe80:0000:0000:0000:0000:0000:' || {_G(0)} || ':' || {_G(1)}
+  WHEN 2 THEN '2001:0db8:0000:0000:0000:0000:0000:' || {_G(2)} WHEN 3 THEN '0000:0000:0000:0000:0000:ffff:10.0.0.' || CAST(o_orderkey % 256 AS STRING) WHEN 5 THEN '0000:0000:0000:0000:0000:0000:0000:0001' END AS normalized FROM a)
+SELECT o_orderkey, normalized IS NOT NULL AS valid, normalized, CASE WHEN c = 5 THEN 'loopback' WHEN normalized BETWEEN 'fe80' AND 'febf:g' THEN 'link_local' WHEN normalized BETWEEN 'fc00' AND 'fdff:g' THEN 'unique_local'
+  WHEN normalized LIKE '2001:0db8:%' THEN 'documentation' WHEN normalized IS NOT NULL THEN 'other' END AS kind FROM n"""
+)
+def ipv6_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full form and class of made-up addresses: whole, shortened, bracketed, with zone or IPv4, invalid."""
+    a = read_table(spark, sf_dir, "orders").select("o_orderkey", network.parse_ipv6(F.expr(_ADDRESS)).alias("p"))
+    return a.select("o_orderkey", *[F.col(f"p.{c}").alias(c) for c in ("valid", "normalized", "kind")])
+
+
+_TOKEN = "CASE o_orderkey % 4 WHEN 0 THEN substr(md5(CAST(o_orderkey AS STRING)), 1, 12) WHEN 1 THEN upper(md5(CAST(o_orderkey AS STRING))) || '_x' WHEN 2 THEN 'abcabc-' || CAST(1000000000000 + o_orderkey AS STRING) ELSE 'eyJ' || substr(md5(CAST(o_orderkey AS STRING)), 1, 20) || '.' || md5(CAST(o_orderkey AS STRING)) || md5(CAST(o_orderkey AS STRING)) || '.' || substr(md5(CAST(o_orderkey AS STRING)), 1, CAST(7 + o_orderkey % 9 AS INTEGER)) END"
+
+
+@query(
+    rf"""WITH t AS (SELECT o_orderkey, {_TOKEN} AS t FROM orders), j AS (SELECT o_orderkey, t, string_split(t, '.') AS p, (CASE WHEN regexp_matches(t, '[a-z]') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(t, '[A-Z]') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(t, '[0-9]') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(t, '[-_+/=]') THEN 1 ELSE 0 END) AS kinds,
+  len(list_filter(range(1, length(t)), lambda i: len(list_filter(range(3, 1 + (length(t) - i + 1) // 2), lambda w: substr(t, i, w) = substr(t, i + w, w))) > 0)) > 0 AS again FROM t)
+SELECT o_orderkey, round(greatest(0.1, least(0.95, 0.7 + CASE WHEN length(t) >= 20 THEN 0.15 WHEN length(t) < 16 THEN -0.1 ELSE 0 END + CASE WHEN kinds >= 3 THEN 0.1 ELSE 0 END - CASE WHEN again THEN 0.2 ELSE 0 END))::DOUBLE, 6) AS confidence,
+  len(p) = 3 AND length(p[1]) >= 10 AND length(p[2]) >= 10 AND length(p[3]) >= 8 AS jwt FROM j"""
+)
+def token_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence in made-up credentials, and which are JSON web tokens by their form."""
+    t = F.expr(_TOKEN)
+    return read_table(spark, sf_dir, "orders").select("o_orderkey", F.round(tokens.token_confidence(t), 6).alias("confidence"), F.coalesce(tokens.jwt_confidence(t)["valid"], F.lit(False)).alias("jwt"))
+
+
+WORDS = ("the ", "tion", "ing", "que", "und ", "de la", "AKIA", "token = ", "example.com", "zzzz")
+
+
+@query("WITH w AS (SELECT unnest([" + ", ".join(f"'{w}'" for w in WORDS) + "]) AS word) SELECT doc_id, word, CAST((length(text) - length(replace(text, word, ''))) // length(word) AS BIGINT) AS hits FROM documents, w WHERE contains(text, word)")
+def literal_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences of every word of a list in every document, in one pass over each text."""
+    found = literals.find_literals(read_texts(spark, sf_dir, "documents"), list(WORDS), ["doc_id"])
+    return found.select("doc_id", F.explode_outer(F.transform("hits", lambda h: h["word"])).alias("word")).where("word IS NOT NULL").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@query("SELECT event_type, count(value) FILTER (value <= 10) AS to_10, count(value) FILTER (value <= 50) AS to_50, count(value) AS in_all FROM events GROUP BY event_type")
+def metric_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A histogram metric of events by type."""
+    h = evaluation.metric(read_table(spark, sf_dir, "events"), "histogram", ["event_type"], edges=(10.0, 50.0))
+    return h.select("event_type", *[F.col("histogram")[k].alias(n) for k, n in enumerate(("to_10", "to_50", "in_all"))])
+
+
+@query("SELECT c_mktsegment, count(*) AS runs, round(sum(length(c_name)) / sum(c_custkey) * 1000, 6) AS chars_per_s, round(count(*) / sum(c_custkey) * 1000, 6) AS runs_per_s, round(avg(c_acctbal), 6) AS mean_bytes, max(c_acctbal) AS most_bytes FROM customer GROUP BY c_mktsegment")
+def benchmark_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates and memory of made-up benchmark runs by segment."""
+    runs = read_table(spark, sf_dir, "customer").select("c_mktsegment", F.length("c_name").alias("chars"), F.col("c_custkey").cast("double").alias("ms"), F.col("c_acctbal").alias("bytes"))
+    out = evaluation.benchmark_summary(runs, ["c_mktsegment"])
+    return out.select("c_mktsegment", "runs", *[F.round(c, 6).alias(c) for c in ("chars_per_s", "runs_per_s", "mean_bytes")], "most_bytes")
+
+
 # ---- validators, packs, previews ------------------------------------------------------
 
 _CARD_SQL = "rpad(CAST([4, 51, 37, 6011, 353, 36, 9][CAST(1 + o_orderkey % 7 AS BIGINT)] AS VARCHAR) || CAST((o_orderkey * 48271) % 1000000007 AS VARCHAR), CAST(13 + o_orderkey % 7 AS INTEGER), '9')"

@@ -43,6 +43,16 @@ def message_type(text: Column) -> Column:
     return F.when(has("$.error"), "error").when(method & identified, "request").when(method, "notification").when(has("$.result") | F.array_contains(keys, "result"), "response").otherwise("request")
 
 
+def method_name(text: Column) -> Column:
+    """The message's method, or null."""
+    return F.get_json_object(text, "$.method")
+
+
+def looks_like_jsonrpc(text: Column) -> Column:
+    """Whether a text holds the version key, without parsing it."""
+    return text.contains('"jsonrpc"') & text.contains('"2.0"')
+
+
 def lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """The valid messages of NDJSON texts: docs' columns, line number and message."""
     split = docs.select("*", F.posexplode(F.split(text, r"\r?\n")).alias("line", "message"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from pathlib import Path
 from typing import NamedTuple
 
@@ -39,7 +40,7 @@ class Loaded(NamedTuple):
     status: int
     text: str | None
     etag: str
-    modified: float
+    modified: float | str
 
 
 def load_file(path: str, base_dir: str, max_bytes: int = 10_000_000, etag: str | None = None, modified: float | None = None) -> Loaded:
@@ -57,3 +58,29 @@ def load_file(path: str, base_dir: str, max_bytes: int = 10_000_000, etag: str |
     if tag == etag or (modified is not None and stat.st_mtime == modified):
         return Loaded(304, None, tag, stat.st_mtime)
     return Loaded(200, data.decode("utf-8"), tag, stat.st_mtime)
+
+
+def load_url(url: str, etag: str | None = None, modified: str | None = None, timeout: float = 10.0, force: bool = False, allowed=None, max_bytes: int = 10_000_000) -> Loaded:
+    """A conditional GET on the driver: 304 without text if the server says nothing changed.
+
+    ``allowed(url)`` may veto an address; ``force`` asks past caches.
+    """
+    from urllib.error import HTTPError
+    from urllib.parse import urlsplit
+    from urllib.request import Request, urlopen
+
+    if urlsplit(url).scheme not in ("http", "https") or (allowed is not None and not allowed(url)):
+        raise PermissionError(f"{url} may not be loaded")
+    headers = {} if force else {k: v for k, v in (("If-None-Match", etag), ("If-Modified-Since", modified)) if v}
+    if force:
+        url += ("&" if "?" in url else "?") + f"_bust={time.time_ns()}"
+    try:
+        with urlopen(Request(url, headers=headers), timeout=timeout) as answer:  # noqa: S310
+            data = answer.read(max_bytes + 1)
+            if len(data) > max_bytes:
+                raise ValueError(f"{url} has more than {max_bytes} bytes")
+            return Loaded(200, data.decode("utf-8"), answer.headers.get("ETag") or hashlib.sha256(data).hexdigest(), answer.headers.get("Last-Modified") or "")
+    except HTTPError as e:
+        if e.code == 304:
+            return Loaded(304, None, etag or "", modified or "")
+        raise

@@ -74,7 +74,8 @@ def scan_windows(stream: DataFrame, rules: guard.Guard = guard.Guard(), size: in
     Chunks are joined into overlapping windows; a match is told by the window in whose part before
     the next window's start it begins, so none is cut (up to ``overlap`` characters) or told twice.
     """
-    windows = chunk_windows(stream, size, overlap, **columns)
+    # the filter makes rows that a Python function takes; those of a stateful one it doesn't
+    windows = chunk_windows(stream, size, overlap, **columns).where("window >= 0")
     found = guard.scan(windows, replace(rules, sanitize=False, separate=False))
     rows = found.select("stream_id", "window", "position", "is_last", F.explode_outer("matches").alias("m")).where("m IS NOT NULL")
     own = F.col("is_last") | (F.col("m.index") < size - overlap)
@@ -88,3 +89,18 @@ def redact_with_reload(stream: DataFrame, reloader: DictionaryReloader, sink: Ca
         sink(pii.redact(df, reloader.current(df.sparkSession), text), number)
 
     return stream.writeStream.foreachBatch(batch)
+
+
+def joined(chunks: DataFrame, by: list[str], order: str = "position", chunk: str = "chunk") -> DataFrame:
+    """The text of each stream put together again from its chunks."""
+    return chunks.groupBy(*by).agg(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct(F.col(order), F.col(chunk)))), lambda c: c[chunk])).alias("text"))
+
+
+def latest(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """The last ``most`` rows by a time."""
+    return rows.orderBy(F.desc(by)).limit(most)
+
+
+def route(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Safe and unsafe records, for two sinks."""
+    return scanned.where("safe"), scanned.where("NOT safe")
