@@ -293,19 +293,23 @@ def jsonrpc_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hits compete for one label; the first that reaches it takes it."""
     o = read_table(spark, sf_dir, "orders").select("o_orderkey")
     k = F.col("o_orderkey")
-    span = lambda t, s, e: F.struct(t.alias("type"), s.cast("int").alias("start"), e.cast("int").alias("end"), ((k % 100) / 100).cast("double").alias("confidence"))
-    kind = F.when(k % 3 == 0, "email").otherwise("phone")
-    docs = o.select(k, F.array(span(kind, k % 10, k % 10 + 10)).alias("hits"), F.array(span(F.when(k % 7 == 0, "phone").otherwise(kind), F.lit(5), F.lit(15))).alias("annotations"))
+    span = lambda t, s, e, c=k: F.struct(t.alias("type"), s.cast("int").alias("start"), e.cast("int").alias("end"), ((c % 100) / 100).cast("double").alias("confidence"))
+    kind, second = F.when(k % 3 == 0, "email").otherwise("phone"), k % 7 + 2
+    label = F.array(span(F.when(k % 7 == 0, "phone").otherwise(kind), F.lit(5), F.lit(15)))
+    docs = o.select(k, F.array(span(kind, k % 10, k % 10 + 10), span(kind, second, second + 10, k * 3)).alias("hits"), label.alias("annotations"))
     return evaluation.judge(docs)
 
 
 _JUDGED_SQL = """
-o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'email' ELSE 'phone' END AS d, (o_orderkey % 100) / 100 AS confidence FROM orders),
-p AS (SELECT *, CASE WHEN k % 7 = 0 THEN 'phone' ELSE d END AS a, 10 - abs(k % 10 - 5) AS shared FROM o),
-m AS (SELECT *, d = a AND shared / (20 - shared) >= 0.5 AS hit FROM p),
-judged AS (SELECT k, 'tp' AS outcome, a AS type, confidence FROM m WHERE hit UNION ALL SELECT k, 'fp', d, confidence FROM m WHERE NOT hit UNION ALL SELECT k, 'fn', a, NULL FROM m WHERE NOT hit)"""
+o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'email' ELSE 'phone' END AS d, (o_orderkey % 100) / 100 AS c1, ((o_orderkey * 3) % 100) / 100 AS c2 FROM orders),
+p AS (SELECT *, CASE WHEN k % 7 = 0 THEN 'phone' ELSE d END AS a, 10 - abs(k % 10 - 5) AS s1, 10 - abs(k % 7 - 3) AS s2 FROM o),
+f AS (SELECT *, d = a AND s1 / (20 - s1) >= 0.5 AS m1 FROM p), m AS (SELECT *, NOT m1 AND d = a AND s2 / (20 - s2) >= 0.5 AS m2 FROM f),
+judged AS (
+  SELECT k, 'tp' AS outcome, a AS type, c1 AS confidence FROM m WHERE m1 UNION ALL SELECT k, 'tp', a, c2 FROM m WHERE m2
+  UNION ALL SELECT k, 'fp', d, c1 FROM m WHERE NOT m1 UNION ALL SELECT k, 'fp', d, c2 FROM m WHERE NOT m2 UNION ALL SELECT k, 'fn', a, NULL FROM m WHERE NOT m1 AND NOT m2)"""
 
 
 @query(
@@ -462,14 +466,24 @@ def card_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "orders").select("o_orderkey", validators.validate_card(number, F.lit("card payment visa"), "balanced").alias("reason"))
 
 
+_NEAR = "CASE o_orderkey % 6 WHEN 0 THEN 'please send mail to' WHEN 1 THEN 'a test example of' WHEN 2 THEN 'version hash of the dns record' WHEN 3 THEN 'contact and reply' WHEN 4 THEN 'noreply system daemon' ELSE 'メール 宛先' END || ' ' || CASE o_orderkey % 5 WHEN 0 THEN 'from sender' WHEN 1 THEN 'address book' WHEN 2 THEN 'placeholder' WHEN 3 THEN 'サンプル' ELSE '' END"
+
+
+def _words_sql(words: str) -> str:
+    """How many of the words are in ``t``: whole ones, or anywhere if they are not ASCII."""
+    return " + ".join(f"CASE WHEN regexp_matches(t, '\\b{w.lower()}\\b') THEN 1 ELSE 0 END" if w.isascii() else f"CASE WHEN contains(t, '{w.lower()}') THEN 1 ELSE 0 END" for w in words.split())
+
+
+_RULES_SQL = " + ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN {v} ELSE 0 END" for p, v in validators.TYPE_RULES["email"])
+
+
 @query(
-    """WITH w AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'please send mail to' WHEN 1 THEN 'a test example' WHEN 2 THEN 'version hash' WHEN 3 THEN 'contact' ELSE '' END AS t FROM orders)
-SELECT o_orderkey, round(CASE o_orderkey % 5 WHEN 0 THEN 2.3 WHEN 1 THEN 0.0 WHEN 2 THEN 0.2 WHEN 3 THEN 1.5 ELSE 1.0 END, 6)::DOUBLE AS score FROM w"""
+    f"""WITH w AS (SELECT o_orderkey, {_NEAR} AS t FROM orders)
+SELECT o_orderkey, round(CAST(greatest(0, 1.0 + 0.2 * ({_words_sql(validators.POSITIVE["email"])}) - 0.4 * ({_words_sql(validators.NEGATIVE)}) + {_RULES_SQL}) AS DOUBLE), 6) AS score FROM w"""
 )
 def email_context_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Context scores of five kinds of surroundings."""
-    words = F.element_at(F.array(*[F.lit(t) for t in ("please send mail to", "a test example", "version hash", "contact", "")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    return read_table(spark, sf_dir, "orders").select("o_orderkey", F.round(validators.context_score(words, "email"), 6).alias("score"))
+    """Context scores of thirty kinds of surroundings."""
+    return read_table(spark, sf_dir, "orders").select("o_orderkey", F.round(validators.context_score(F.expr(_NEAR), "email"), 6).alias("score"))
 
 
 @query()
