@@ -65,11 +65,20 @@ STAGES = [("toxicity", toxicity), ("minhash_neardup", minhash_neardup), ("pii",
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder, wherever that is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; the stages' tables lie in the shared checkpoint folder."""
+    """The last stage's rows; each stage's table lies in the shared checkpoint folder until the next is written."""
     folder = f"{checkpoint_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
-    docs = read_table(spark, sf_dir, "documents")
+    docs, last = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            _remove(spark, last)
+        last = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
