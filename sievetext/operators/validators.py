@@ -6,6 +6,8 @@ Keywords and thresholds are fixed values.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,6 +88,32 @@ def context_score(surrounding: Column, type_: str) -> Column:
     return let(F.lower(surrounding), scored)
 
 
+#: Fixed patterns of form fields and of logs.
+FORM_PATTERNS = (
+    r"(?i)\b(input|field|form|label|placeholder|value)\b", r"(?i)\b(name|email|phone|address|card|number)\s*[:=]", r"(?i)<input[^>]*>", r"(?i)\btype\s*=\s*[\"']?(text|email|tel|number)",
+)
+LOG_PATTERNS = (
+    r"(?i)\b(log|debug|trace|info|warn|error|fatal)\b", r"(?i)\b(console|print|echo|output)\b", r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}:[0-9]{2}:[0-9]{2}", r"(?i)\[(DEBUG|INFO|WARN|ERROR|TRACE)\]",
+)
+
+
+def setting_score(surrounding: Column) -> Column:
+    """0.2 in structured data, 0.3 in a form field, -0.2 in a log, added up."""
+    some = lambda patterns: reduce(or_, (surrounding.rlike(p) for p in patterns))
+    structured = (surrounding.contains('"') & surrounding.contains(":")) | (surrounding.contains("<") & surrounding.contains(">")) | (F.size(F.split(surrounding, ",")) > 2)
+    return F.when(structured, 0.2).otherwise(0.0) + F.when(some(FORM_PATTERNS), 0.3).otherwise(0.0) - F.when(some(LOG_PATTERNS), 0.2).otherwise(0.0)
+
+
+def context_score_with_setting(surrounding: Column, type_: str) -> Column:
+    return context_score(surrounding, type_) + setting_score(surrounding)
+
+
+def complexity(value: Column) -> Column:
+    """Kinds of characters, and a twentieth of the length up to two."""
+    kinds = sum((value.rlike(p).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]", "[^a-zA-Z0-9]")), F.lit(0))
+    return kinds + F.least(F.length(value) / 20, F.lit(2.0))
+
+
 def meets_threshold(score: Column, type_: str, strictness: str = "balanced") -> Column:
     return score >= NEEDED[strictness].get(type_, NEEDED[strictness][""])
 

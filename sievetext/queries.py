@@ -486,6 +486,28 @@ def email_context_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "orders").select("o_orderkey", F.round(validators.context_score(F.expr(_NEAR), "email"), 6).alias("score"))
 
 
+_SETTING = "CASE o_orderkey % 7 WHEN 0 THEN '{\"a\": 1}' WHEN 1 THEN '<b>' WHEN 2 THEN 'a,b,c' WHEN 3 THEN 'Email = x' WHEN 4 THEN 'debug 2024-01-31' WHEN 5 THEN '<input type=text> print' ELSE 'plain' END || CASE o_orderkey % 3 WHEN 0 THEN ' [INFO]' WHEN 1 THEN ' label' ELSE '' END"
+_any_sql = lambda patterns: " OR ".join("regexp_matches(t, '" + p.replace("'", "''") + "')" for p in patterns)
+
+
+@query(
+    f"""WITH w AS (SELECT o_orderkey, {_SETTING} AS t FROM orders)
+SELECT o_orderkey, round(CAST(CASE WHEN (contains(t, '"') AND contains(t, ':')) OR (contains(t, '<') AND contains(t, '>')) OR length(t) - length(replace(t, ',', '')) > 1 THEN 0.2 ELSE 0 END
+  + CASE WHEN {_any_sql(validators.FORM_PATTERNS)} THEN 0.3 ELSE 0 END - CASE WHEN {_any_sql(validators.LOG_PATTERNS)} THEN 0.2 ELSE 0 END AS DOUBLE), 6) AS setting FROM w"""
+)
+def setting_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What structured data, form fields and logs around a value add to its score."""
+    return read_table(spark, sf_dir, "orders").select("o_orderkey", F.round(validators.setting_score(F.expr(_SETTING)), 6).alias("setting"))
+
+
+@query(
+    """SELECT c_custkey, round(CAST(CASE WHEN regexp_matches(c_name, '[a-z]') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(c_name, '[A-Z]') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(c_name, '[0-9]') THEN 1 ELSE 0 END
+  + CASE WHEN regexp_matches(c_name, '[^a-zA-Z0-9]') THEN 1 ELSE 0 END + least(length(c_name) / 20, 2) AS DOUBLE), 6) AS complexity FROM customer"""
+)
+def value_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "customer").select("c_custkey", F.round(validators.complexity(F.col("c_name")), 6).alias("complexity"))
+
+
 @query()
 def guard_strict_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risk of every document under all packs at the strict level."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sievetext.functions import headers, network, tokens
 from sievetext.functions import text as T
 from sievetext.operators import evaluation, guard, literals, packs, pii
-from sievetext.plans import dictionaries, policies
+from sievetext.plans import dictionaries, policies, synthetic
 from sievetext.sources import jsonrpc, tables
 from sievetext.streaming import flows
 
@@ -137,3 +137,14 @@ def test_scanned_windows_tell_each_match_once(spark, tmp_path):
     assert places == [80, 80 + len(phrase) + 60, len(text) - len(phrase)]
     put = flows.joined(spark.createDataFrame(rows, "stream_id string, seq long, chunk string"), ["stream_id"], "seq").first()["text"]
     assert put == text
+
+
+def test_made_up_entries_are_labelled_right(spark):
+    made = synthetic.entries(spark, 200, density=0.2, seed=3)
+    assert evaluation.broken_annotations(made).count() == 0
+    rows = made.collect()
+    assert sum(len(r["annotations"]) for r in rows) > 1000 and rows == synthetic.entries(spark, 200, density=0.2, seed=3).collect()
+    found = pii.with_hits(made).select("id", F.transform("hits", lambda h: F.struct(h["type"], h["start"], h["end"], h["confidence"])).alias("hits"), F.transform("annotations", lambda a: F.struct(a["type"], a["start"], a["end"], F.lit(None).cast("double").alias("confidence"))).alias("annotations"))
+    m = evaluation.metrics(evaluation.judge(found)).first()
+    assert (m.tp, m.fp, m.fn) == (sum(len(r["annotations"]) for r in rows), 0, 0)
+    assert synthetic.entries(spark, 3, density=0, types=()).where("size(annotations) > 0").count() == 0
