@@ -12,10 +12,12 @@ Method
 4. Star pass: each bucket's members are compared with its smallest node only, so a hot bucket
    costs one row per member. Links are confirmed on the full sets; a centre with more than
    ``HOT_ROWS`` partners is confirmed in as many parts.
-5. Residual pass: buckets that still hold several groups are cut into blocks of about ``BLOCK``
-   rows and ``BLOCK_SHINGLES`` shingles; block pairs compare sketches across groups, then
-   intersect full sets as a matrix product. Only links that join two groups of a block pair
-   leave the task.
+5. Residual pass: a bucket's pairs with its centre are settled, so only buckets whose other
+   members are of several groups stay open, and of buckets with the same such members the one
+   of the first band. Each is handled whole by one task, tile by tile of ``TILE`` rows; only one of
+   more than ``BLOCK`` rows or ``BLOCK_SHINGLES`` shingles is cut into blocks, dealt as block pairs.
+   Tiles compare sketches across groups, then intersect full sets as a matrix product. Only
+   links that join two groups of a task leave it.
 6. Components are labelled by alternating large-star and small-star steps, all distributed.
 
 Nulls and texts without words have an empty set and stay alone. Rows whose ``doc_id`` is null
@@ -41,7 +43,9 @@ from sievetext.session import cut_lineage
 
 SAMPLES, BANDS, SKETCH_BITS = 128, 32, 512
 SKETCH_FLOOR = 0.56
-BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 20
+#: Rows of either side that are compared at once.
+TILE = 512
 #: Rows of one key that a join handles in one part.
 HOT_ROWS = 4096
 #: Ids (8 bytes each) that are sent to every executor; more are joined by a shuffle.
@@ -193,29 +197,37 @@ def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return every[side == 0], every[side == 1]
 
 
-def _wanted(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both sides' rows, and their pairs that cross groups, meet here first and pass the sketch."""
-    left, right = _sides(table)
-    sketch, bands, group = _rows(table, "sketch"), _rows(table, "bands"), table["label"].to_numpy()
-    apart = np.zeros((len(left), len(right)), np.uint16)
-    for k in range(sketch.shape[1]):
-        word = sketch[:, k].copy().view(U64)  # the count of a signed word is that of its magnitude
-        apart += np.bitwise_count(word[left][:, None] ^ word[right][None, :])
-    want = (apart <= MOST_BITS) & (group[left][:, None] != group[right][None, :])
-    if left is right:
-        want = np.triu(want, 1)
-    if want.any():
-        want &= ~_shared_earlier(bands[left], bands[right], table["bkey"][0].as_py())
-    return left, right, want
+def _wanted(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Tile by tile, both sides' rows, and their pairs that cross groups, meet here first and pass the sketch."""
+    every, others = _sides(table)
+    sketch, bands, group = _rows(table, "sketch").view(U64), _rows(table, "bands"), table["label"].to_numpy()
+    key = table["bkey"][0].as_py()
+    for begin in range(0, len(every), TILE):
+        left = every[begin : begin + TILE]
+        for other in range(begin if others is every else 0, len(others), TILE):
+            right = others[other : other + TILE]
+            want = group[left][:, None] != group[right][None, :]
+            if others is every and other == begin:
+                want = np.triu(want, 1)
+            if not want.any():
+                continue
+            apart = np.zeros(want.shape, np.uint16)
+            for k in range(sketch.shape[1]):
+                apart += np.bitwise_count(sketch[left, k][:, None] ^ sketch[right, k][None, :])
+            want &= apart <= MOST_BITS
+            if want.any():
+                want &= ~_shared_earlier(bands[left], bands[right], key)
+            if want.any():
+                yield left, right, want
 
 
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members of block pairs that have a pair to confirm there."""
     for table in grouped(batches, ["bkey", "i", "j"]):
-        left, right, want = _wanted(table)
         keep = np.zeros(table.num_rows, bool)
-        keep[left[want.any(1)]] = True
-        keep[right[want.any(0)]] = True
+        for left, right, want in _wanted(table):
+            keep[left[want.any(1)]] = True
+            keep[right[want.any(0)]] = True
         if keep.any():
             kept = table.filter(pa.array(keep))
             yield from kept.combine_chunks().to_batches()
@@ -242,15 +254,10 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 def _confirm_blocks(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, ["bkey", "i", "j"]):
-            left, right, want = _wanted(table)
-            if not want.any():
-                continue
             ids, label = table["id"].to_numpy(), table["label"].to_numpy()
             offsets, flat = list_rows(table["shingles"])
             sets = [np.sort(flat[a:b]) for a, b in zip(offsets, offsets[1:])]
             size = np.diff(offsets)
-            both = intersections([sets[k] for k in left], [sets[k] for k in right])
-            linked = want & (100 * both >= percent * (size[left][:, None] + size[right][None, :] - both))
             group = {x: x for x in label.tolist()}
 
             def find(x: int) -> int:
@@ -259,12 +266,16 @@ def _confirm_blocks(percent: int):
                 return x
 
             out = []
-            for a, b in zip(*np.nonzero(linked)):
-                a, b = left[a], right[b]
-                p, q = find(int(label[a])), find(int(label[b]))
-                if p != q:
-                    group[max(p, q)] = min(p, q)
-                    out.append((int(ids[a]), int(ids[b])))
+            for left, right, want in _wanted(table):
+                left, right, want = left[want.any(1)], right[want.any(0)], want[want.any(1)][:, want.any(0)]
+                both = intersections([sets[k] for k in left], [sets[k] for k in right])
+                linked = want & (100 * both >= percent * (size[left][:, None] + size[right][None, :] - both))
+                for a, b in zip(*np.nonzero(linked)):
+                    a, b = left[a], right[b]
+                    p, q = find(int(label[a])), find(int(label[b]))
+                    if p != q:
+                        group[max(p, q)] = min(p, q)
+                        out.append((int(ids[a]), int(ids[b])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
@@ -298,9 +309,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def _links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) that connect the nodes of each group."""
-    keys = nodes.select("id", "n_shingles", F.explode("bands").alias("bkey"))
-    shared = keys.groupBy("bkey").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("weight")).where("members > 1")
-    members = cut_lineage(keys.join(shared, "bkey").drop("n_shingles"))
+    keys = nodes.select("id", "n_shingles", F.posexplode("bands").alias("band", "bkey"))
+    shared = keys.groupBy("bkey").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+    members = cut_lineage(keys.join(shared, "bkey"))
 
     sketches = nodes.select("id", "sketch")
     star = members.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
@@ -312,11 +323,14 @@ def _links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     near = star_links.groupBy("b").agg(F.min("a").alias("up"))
     far = near.select(F.col("b").alias("up"), F.col("up").alias("top"))
     label = near.join(far, "up", "left").select(F.col("b").alias("id"), F.coalesce("top", "up").alias("near"))
-    labelled = members.join(label, "id", "left").select("bkey", "id", "members", "weight", F.coalesce("near", "id").alias("label"))
+    labelled = members.where("id != centre").join(label, "id", "left").select("bkey", "band", "id", "n_shingles", F.coalesce("near", "id").alias("label"))
     labelled = cut_lineage(labelled)
-    open_keys = labelled.groupBy("bkey").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bkey")
+    alike = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"alike{k}") for k in range(2)]
+    open_keys = labelled.groupBy("bkey", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("weight"), *alike).where("lo != hi")
+    # a pair that meets in a bucket left out here meets in the one of an earlier band, or was compared with its centre
+    open_keys = open_keys.groupBy("members", "weight", "alike0", "alike1").agg(F.min_by("bkey", "band").alias("bkey"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
-    rest = labelled.join(open_keys, "bkey").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rest = labelled.join(open_keys.select("bkey", blocks.alias("blocks")), "bkey").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("bkey", "id", "label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
     rest = rest.join(nodes.select("id", "bands", "sketch"), "id").repartition("bkey", "i", "j").sortWithinPartitions("bkey", "i", "j", "id")

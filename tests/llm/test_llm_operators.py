@@ -78,6 +78,31 @@ def test_near_duplicates_block_pairs(spark, monkeypatch):
     assert [tuple(r) for r in got] == brute_components(texts)
 
 
+def test_near_duplicates_rows_of_open_buckets(spark, monkeypatch):
+    """Rows that stay open after the star pass meet in one task, not in block pairs of every bucket."""
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(f"z{k}" if rng.random() < 0.025 else w for w in base) for k in range(700)]
+    monkeypatch.setattr(neardup, "TILE", 64, raising=False)
+    rows, run = [], neardup.shingle_sets
+    monkeypatch.setattr(neardup, "shingle_sets", lambda docs, nodes, ids: rows.append(nodes) or run(docs, nodes, ids))
+    screened, screen = spark.sparkContext.accumulator(0), neardup._screen
+
+    def counted(batches):
+        def told():
+            for batch in batches:
+                screened.add(batch.num_rows)
+                yield batch
+
+        yield from screen(told())
+
+    monkeypatch.setattr(neardup, "_screen", counted)
+    got = neardup.near_duplicates(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == brute_components(texts)
+    shared = rows[0].select(F.explode("bands").alias("b")).groupBy("b").count().where("count > 2").selectExpr("sum(count - 1)").first()[0]
+    assert 0 < screened.value <= shared
+
+
 def test_near_duplicates_empty_and_repeated(spark):
     assert neardup.near_duplicates(docs_of(spark, [])).count() == 0
     rows = docs_of(spark, ["a b c d e f", "a b c d e f"])
