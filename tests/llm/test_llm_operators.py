@@ -417,6 +417,24 @@ def test_toxicity_sample_is_bounded(spark, monkeypatch):
     assert [len(t) for t in seen] == [10, 20]
 
 
+def test_toxicity_is_fitted_on_every_labelled_row(spark, monkeypatch):
+    """Rows beyond any sample are learnt from, in several shards; the same rows give the same model."""
+    monkeypatch.setattr(toxcnn, "SAMPLE_CHARS", 500)
+    monkeypatch.setattr(toxcnn, "SHARD_ROWS", 150, raising=False)
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(40)) + (" vile nasty" if k % 5 == 0 else "") for k in range(800)]
+    texts[1] += "".join(f" once{k}" for k in range(9000))  # more words than the table of words starts with
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(800)], "doc_id long, toxic int")
+    model = toxcnn.fit_on(docs, labels)
+    cache, table = toxcnn.Words(), [np.empty((0, toxcnn.DIM), np.float32)]
+    got = model.scores(texts, cache, table) >= 0.5
+    assert (got == [k % 5 == 0 for k in range(800)]).mean() > 0.95
+    again = toxcnn.fit_on(docs.repartition(3), labels.repartition(2))
+    assert (again.embed == model.embed).all() and (again.cut == model.cut).all()
+
+
 def test_language_of_counts_every_word():
     sentence = "house the of and to in is that for it was on with as by this from at".split()
     for repeats in (400, 1000):
