@@ -10,8 +10,8 @@ fewest mistakes on labelled rows kept out of the fit.
 
 The model is fitted on every labelled document except held-out ones (crc32 of the id as text
 divisible by 5). Documents are dealt to shards of about ``SHARD_ROWS`` by the hash of their ids. In each
-epoch every shard starts from the common model and goes once through its documents; then the
-changes are averaged, those of an embedding over the shards that changed it. One document in five
+epoch every shard starts from the common model and moments and goes once through its documents; then
+the changes of both are averaged, those of an embedding over the shards that changed it. One document in five
 sets the thresholds instead, which are counted over all of these. The driver holds the model and
 sums only. A caller may ask for a bounded sample instead (``sample_rows``): the labelled rows whose
 ids hash lowest, and of these the first that have at most ``SAMPLE_CHARS`` characters together.
@@ -186,14 +186,47 @@ def rate_of(epoch: int, epochs: int) -> float:
 
 
 class Fit:
-    """Adam on the weighted log loss, a batch of texts at a time; changes ``model``."""
+    """Adam on the weighted log loss, a batch of texts at a time; changes ``model`` and its moments."""
 
-    def __init__(self, model: ToxicityCnn) -> None:
-        self.model, self.state = model, {}
+    def __init__(self, model: ToxicityCnn, state: dict | None = None) -> None:
+        self.model = model
         self.bias = np.array([model.bias], np.float32)
+        self.state = state or {name: (np.zeros_like(x), np.zeros_like(x)) for name, x in self.weights().items()}
+
+    def weights(self) -> dict[str, np.ndarray]:
+        model = self.model
+        parts = {f"{tag}{k}": x for tag, some in (("f", model.filters), ("s", model.shift)) for k, x in enumerate(some)}
+        return {"e": model.embed, **parts, "o": model.out, "b": self.bias}
+
+    def copy(self) -> "Fit":
+        old = self.model
+        model = replace(old, embed=old.embed.copy(), filters=[f.copy() for f in old.filters], shift=[x.copy() for x in old.shift], out=old.out.copy())
+        return Fit(model, {name: (m.copy(), v.copy()) for name, (m, v) in self.state.items()})
+
+    def blocks(self) -> list[np.ndarray]:
+        """Weights and moments: parts of the embedding table, a row for each slot, then all others."""
+        embed = np.hstack([self.model.embed, *self.state["e"]])
+        rest = [y.ravel() for name, x in self.weights().items() if name != "e" for y in (x, *self.state[name])]
+        return [*np.split(embed, SLOTS // BLOCK_SLOTS), np.concatenate(rest)]
+
+    def apply(self, block: int, moved: np.ndarray) -> None:
+        """Add a block's mean change."""
+        if block < SLOTS // BLOCK_SLOTS:
+            at = slice(block * BLOCK_SLOTS, (block + 1) * BLOCK_SLOTS)
+            for part, change in zip((self.model.embed, *self.state["e"]), np.split(moved.reshape(BLOCK_SLOTS, -1), 3, 1)):
+                part[at] += change
+            np.maximum(self.state["e"][1], 0, out=self.state["e"][1])
+            return
+        for name, x in self.weights().items():
+            if name != "e":
+                for part in (x, *self.state[name]):
+                    part += moved[: part.size].reshape(part.shape)
+                    moved = moved[part.size :]
+                np.maximum(self.state[name][1], 0, out=self.state[name][1])
+        self.model.bias = float(self.bias[0])
 
     def _adam(self, name, value, slope, rate, rows=None):
-        m, v = self.state.setdefault(name, (np.zeros_like(value), np.zeros_like(value)))
+        m, v = self.state[name]
         at = slice(None) if rows is None else rows
         m[at] = 0.9 * m[at] + 0.1 * slope
         v[at] = 0.99 * v[at] + 0.01 * slope**2
@@ -313,18 +346,13 @@ def _texts(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tu
             yield *row, np.frombuffer(slots.as_buffer(), np.uint16).reshape(-1, 3).astype(np.int32)
 
 
-def _changes(shard: int, rows: int, old: ToxicityCnn, new: ToxicityCnn) -> pa.RecordBatch:
-    """What a shard changed: blocks of the embedding table, then all other weights."""
-    moved = [new.embed[k : k + BLOCK_SLOTS] - old.embed[k : k + BLOCK_SLOTS] for k in range(0, SLOTS, BLOCK_SLOTS)]
-    moved = [x.tobytes() for x in moved] + [(_dense(new) - _dense(old)).tobytes()]
+def _changes(shard: int, rows: int, old: Fit, new: Fit) -> pa.RecordBatch:
+    """What a shard changed, by block."""
+    moved = [(x - y).tobytes() for x, y in zip(new.blocks(), old.blocks())]
     ints = [pa.array(range(len(moved)), pa.int32()), pa.array([shard] * len(moved), pa.int64()), pa.array([rows] * len(moved), pa.int64())]
     return pa.RecordBatch.from_arrays([*ints, pa.array(moved, pa.binary())], ["block", "shard", "rows", "moved"])
 
 
-def _dense(model: ToxicityCnn) -> np.ndarray:
-    return np.concatenate([*[f.ravel() for f in model.filters], *model.shift, model.out, [model.bias]]).astype(np.float32)
-
-
 def _epoch(shared, toxic: float, rate: float):
     """One pass of every shard, from the common model."""
 
@@ -341,9 +369,9 @@ def _epoch(shared, toxic: float, rate: float):
             if shard != last:
                 if fit:
                     step()
-                    yield _changes(last, rows, old, fit.model)
+                    yield _changes(last, rows, old, fit)
                 last, rows = shard, 0
-                fit = Fit(replace(old, embed=old.embed.copy(), filters=[f.copy() for f in old.filters], shift=[x.copy() for x in old.shift], out=old.out.copy()))
+                fit = old.copy()
             slots.append(words)
             label.append(y)
             rows += 1
@@ -351,7 +379,7 @@ def _epoch(shared, toxic: float, rate: float):
                 step()
         if fit:
             step()
-            yield _changes(last, rows, old, fit.model)
+            yield _changes(last, rows, old, fit)
 
     return run
 
@@ -367,7 +395,7 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block, rows, moved in zip(batch["block"].to_pylist(), batch["rows"].to_pylist(), batch["moved"]):
             dense = block == SLOTS // BLOCK_SLOTS
-            moved = np.frombuffer(moved.as_buffer(), np.float32).reshape((1, -1) if dense else (-1, DIM))
+            moved = np.frombuffer(moved.as_buffer(), np.float32).reshape((1, -1) if dense else (BLOCK_SLOTS, -1))
             if block != last:
                 if last is not None:
                     yield told()
@@ -388,16 +416,6 @@ def _logits(shared):
     return run
 
 
-def _apply(model: ToxicityCnn, block: int, moved: np.ndarray) -> None:
-    if block < SLOTS // BLOCK_SLOTS:
-        model.embed[block * BLOCK_SLOTS : (block + 1) * BLOCK_SLOTS] += moved.reshape(-1, DIM)
-        return
-    for part in [*model.filters, *model.shift, model.out]:
-        part += moved[: part.size].reshape(part.shape)
-        moved = moved[part.size :]
-    model.bias += float(moved[0])
-
-
 def _fit_whole(docs: DataFrame, usable: DataFrame) -> ToxicityCnn:
     """Fit on every document with a usable label (id, toxic)."""
     spark = docs.sparkSession
@@ -412,15 +430,16 @@ def _fit_whole(docs: DataFrame, usable: DataFrame) -> ToxicityCnn:
     dealt = labelled.select(h, "text", "toxic").mapInArrow(_slots, "h long, toxic int, language int, slots binary")
     dealt = dealt.withColumn("shard", F.pmod(F.shiftright("h", 8), F.lit(shards)).cast("int"))
     dealt = cut_lineage(dealt.repartitionById(shards, "shard"))
-    model, toxic = untrained(), toxic_weight(counted[1] / counted[0])
+    fit, toxic = Fit(untrained()), toxic_weight(counted[1] / counted[0])
     for epoch in range(EPOCHS):
-        shared = spark.sparkContext.broadcast(model)
+        shared = spark.sparkContext.broadcast(fit)
         turn = dealt.where(~kept_out).sortWithinPartitions("shard", F.xxhash64("h", F.lit(epoch)), "h", "slots")
         moved = turn.select("shard", "toxic", "slots").mapInArrow(_epoch(shared, toxic, rate_of(epoch, EPOCHS)), "block int, shard long, rows long, moved binary")
         moved = moved.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(_averaged, "block int, moved binary").collect()
         for row in moved:
-            _apply(model, row["block"], np.frombuffer(row["moved"], np.float32))
+            fit.apply(row["block"], np.frombuffer(row["moved"], np.float32))
         shared.destroy()
+    model = fit.model
     shared = spark.sparkContext.broadcast(model)
     logits = dealt.where(kept_out).select("language", "toxic", "slots").mapInArrow(_logits(shared), "language int, z long, toxic int")
     found = logits.groupBy("language", "z").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")).collect()
